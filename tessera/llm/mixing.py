@@ -132,7 +132,7 @@ def mix(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple[
     bucketed = sized.groupBy("src", "size", "bucket").agg(F.count("*").alias("n"))
     hist = sized.groupBy("src", "size").agg(F.count("*").alias("n"))
     total = sized.groupBy("src").agg(F.sum("size").alias("source_size"))
-    goal = total.groupBy(F.lit(0)).applyInPandas(_plan(share, most, weights), "src string, source_size long, target double")
+    goal = total.withColumn("every", F.lit(0)).groupBy("every").applyInPandas(_plan(share, most, weights), "src string, source_size long, target double")
     plan = hist.join(goal, "src").groupBy("src").applyInPandas(
         _fit_source, "src string, size long, source_size long, target double, passes long, n_take long"
     )
