@@ -11,6 +11,7 @@ from .byte_bpe import digests
 from .common import table
 from .mixing import mix
 from .simhash import simhash_groups
+from .suffix_dedup import dedup_substrings
 from .token_counts import count_tokens
 
 
@@ -30,11 +31,16 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing_subset_sum": op3_mixing_subset_sum,
     "op4_simhash_pigeonring": op4_simhash_pigeonring,
     "op6_token_counts": op6_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
 }
 
 ORACLES: dict[str, str] = {}
