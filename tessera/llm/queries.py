@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import digests
+from .chaining import passages
 from .common import table
 from .mixing import mix
 from .simhash import simhash_groups
@@ -15,6 +16,11 @@ from .suffix_dedup import dedup_substrings
 from .token_counts import count_tokens
 
 
+def op2_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages(table(spark, sf_dir, "documents"))
+    return found.selectExpr("doc_id", "n_words", "n_removed", "bigint(size(spans)) as n_spans", "sources")
+
+
 def op3_mixing_subset_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -36,6 +42,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_collinear_chaining": op2_collinear_chaining,
     "op3_mixing_subset_sum": op3_mixing_subset_sum,
     "op4_simhash_pigeonring": op4_simhash_pigeonring,
     "op6_token_counts": op6_token_counts,
