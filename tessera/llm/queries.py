@@ -11,6 +11,8 @@ from .byte_bpe import digests
 from .chaining import passages
 from .common import table
 from .mixing import mix
+from .ngram_lm import ORACLE as NGRAM_ORACLE
+from .ngram_lm import score
 from .simhash import simhash_groups
 from .suffix_dedup import dedup_substrings
 from .token_counts import count_tokens
@@ -41,6 +43,10 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_collinear_chaining": op2_collinear_chaining,
     "op3_mixing_subset_sum": op3_mixing_subset_sum,
@@ -48,6 +54,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op10_stupid_backoff": op10_stupid_backoff,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_stupid_backoff": NGRAM_ORACLE,
+}
