@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import digests
 from .chaining import passages
 from .common import table
+from .embedding_dedup import link_vectors
 from .mixing import mix
 from .ngram_lm import ORACLE as NGRAM_ORACLE
 from .ngram_lm import score
+from .quality import classify
 from .simhash import simhash_groups
 from .suffix_dedup import dedup_substrings
 from .token_counts import count_tokens
@@ -31,10 +33,18 @@ def op4_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -51,7 +61,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_collinear_chaining": op2_collinear_chaining,
     "op3_mixing_subset_sum": op3_mixing_subset_sum,
     "op4_simhash_pigeonring": op4_simhash_pigeonring,
+    "op5_sorted_projections": op5_sorted_projections,
     "op6_token_counts": op6_token_counts,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_stupid_backoff": op10_stupid_backoff,
