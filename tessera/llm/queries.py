@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import digests
 from .chaining import passages
+from .chroma import group_recordings
 from .common import table
 from .embedding_dedup import link_vectors
 from .mixing import mix
@@ -20,6 +21,11 @@ from .suffix_dedup import dedup_substrings
 from .token_counts import count_tokens
 
 
+def op1_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # no table holds audio: a text's bytes are read as 8-bit samples
+    return group_recordings(table(spark, sf_dir, "documents"), "doc_id", "text", kind="u8").withColumnRenamed("id", "doc_id")
+
+
 def op2_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passages(table(spark, sf_dir, "documents"))
     return found.selectExpr("doc_id", "n_words", "n_removed", "bigint(size(spans)) as n_spans", "sources")
@@ -58,6 +64,7 @@ def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chroma_fingerprints": op1_chroma_fingerprints,
     "op2_collinear_chaining": op2_collinear_chaining,
     "op3_mixing_subset_sum": op3_mixing_subset_sum,
     "op4_simhash_pigeonring": op4_simhash_pigeonring,
