@@ -1,17 +1,510 @@
-"""Registry of the retrieval engine's queries and their DuckDB counterparts."""
+"""Registry of the retrieval engine's queries and their DuckDB counterparts.
+
+Every query runs over its whole tables. Scores are rounded to six places on output and to nine where
+they rank; ties fall to the smaller key; counts and ranks are BIGINT.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .. import constants as K
+from ..functions import text as T
+from ..functions.splitter import split_column
+from ..functions.vectors import normalize
+from ..operators import agentic, cache, evaluation, fusion, ingest, lexical, observability, pipelines, sections, vector
+from . import oracle_parts as O
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+AS_OF = "2024-01-31 00:00:00"
+
+
+def register(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def big(c: str):
+    return F.col(c).cast("bigint").alias(c)
+
+
+def r6(c, name: str | None = None):
+    c = F.col(c) if isinstance(c, str) else c
+    out = F.round(c, 6)
+    return out.alias(name) if name else out
+
+
+def documents(spark, d) -> DataFrame:
+    return read(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("content"))
+
+
+def bench_queries(spark, d) -> DataFrame:
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def one_query(spark, d) -> DataFrame:
+    """The benchmark passage with the smallest id."""
+    return bench_queries(spark, d).orderBy("query_id").limit(1)
+
+
+def stored_vectors(spark, d) -> DataFrame:
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+
+
+def query_vectors(spark, d) -> DataFrame:
+    """Each benchmark passage asks with the vector of its own number."""
+    items = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    return items.join(read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+
+
+def index_of(spark, d) -> lexical.LexicalIndex:
+    return lexical.build_index(documents(spark, d), "key")
+
+
+_BENCH = "with query as (select item_id as query_id, text as query from benchmark),"
+_ONE = "with query as (select item_id as query_id, text as query from benchmark order by item_id limit 1),"
+
+
+# lexical -------------------------------------------------------------------------------------------
+
+
+@register(f"{_ONE}{O.bm25()} select query_id, key, rank, round(score, 6) as score from ranked where rank <= 10")
+def bm25_topk(spark, d):
+    return lexical.search(index_of(spark, d), one_query(spark, d), 10).select("query_id", "key", "rank", r6("score", "score"))
+
+
+@register(f"{_BENCH}{O.bm25()} select query_id, key, rank, round(score, 6) as score from ranked where rank <= 5")
+def bm25_multi_query(spark, d):
+    return lexical.search(index_of(spark, d), bench_queries(spark, d), 5).select("query_id", "key", "rank", r6("score", "score"))
+
+
+@register(f"{_BENCH}{O.bm25()} select token, count(*)::bigint as df, round(any_value(term.idf), 6) as idf from post join term using (token) group by token")
+def term_stats(spark, d):
+    return index_of(spark, d).terms.select("token", big("df"), r6("idf", "idf"))
+
+
+@register(f"{_BENCH}{O.bm25()} select n::bigint as n, round(avgdl, 6) as avgdl from corp")
+def corpus_stats(spark, d):
+    return index_of(spark, d).corpus.select(big("n"), r6("avgdl", "avgdl"))
+
+
+@register(f"select doc_id, array_to_string(list_sort({O.tokens('text')}), ' ') as tokens, len({O.tokens('text')})::bigint as n from documents")
+def tokenize(spark, d):
+    got = lexical.with_tokens(documents(spark, d))
+    return got.select(F.col("key").alias("doc_id"), F.array_join(F.array_sort("tokens"), " ").alias("tokens"), F.size("tokens").cast("bigint").alias("n"))
+
+
+_HALVES = "documents where doc_id % 2 = 0 union all select doc_id, text from documents where doc_id % 2 = 1"
+
+
+@register(f"{_BENCH}{O.bm25()} select token, count(*)::bigint as df, round(any_value(term.idf), 6) as idf from post join term using (token) group by token")
+def index_append(spark, d):
+    docs = documents(spark, d)
+    first = lexical.build_index(docs.where("key % 2 = 0"), "key")
+    return lexical.append(first, docs.where("key % 2 = 1"), "key").terms.select("token", big("df"), r6("idf", "idf"))
+
+
+# vectors -------------------------------------------------------------------------------------------
+
+_SIM = f"""sims as (select q.vec_id as query_id, v.vec_id as key, {O.cosine("v.embedding", "q.embedding")} as score
+  from embeddings v, embeddings q where q.vec_id in (select item_id from benchmark)),
+ vr as (select *, row_number() over (partition by query_id order by round(score, 9) desc, key) as rank from sims)"""
+
+
+@register(f"with {_SIM} select query_id, key, rank, round(score, 6) as score from vr where query_id = (select min(item_id) from benchmark) and rank <= 10")
+def vector_topk(spark, d):
+    q = query_vectors(spark, d).orderBy("query_id").limit(1)
+    return vector.search(stored_vectors(spark, d), q, 10).select("query_id", "key", "rank", r6("score", "score"))
+
+
+@register(f"with {_SIM} select query_id, key, rank, round(score, 6) as score from vr where rank <= 5")
+def vector_knn_join(spark, d):
+    return vector.search(stored_vectors(spark, d), query_vectors(spark, d), 5).select("query_id", "key", "rank", r6("score", "score"))
+
+
+@register("""with n as (select vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as l from embeddings)
+ select vec_id, round(l, 4) as length, round(list_sum(list_transform(embedding, lambda x: (x / l) * (x / l))), 4) as unit_square, len(embedding)::bigint as dims from n""")
+def vector_normalize(spark, d):
+    from ..functions.vectors import dot, norm
+
+    unit = normalize(F.col("embedding"))
+    return read(spark, d, "embeddings").withColumn("u", unit).select(
+        "vec_id", F.round(norm(F.col("embedding")), 4).alias("length"), F.round(dot(F.col("u"), F.col("u")), 4).alias("unit_square"), F.size("embedding").cast("bigint").alias("dims")
+    )
+
+
+@register("select count(*)::bigint as vectors, max(len(embedding))::bigint as dimension, (select count(*) from documents)::bigint as chunks from embeddings")
+def index_stats(spark, d):
+    v = read(spark, d, "embeddings").agg(F.count("*").alias("vectors"), F.max(F.size("embedding")).cast("bigint").alias("dimension"))
+    return v.crossJoin(F.broadcast(read(spark, d, "documents").agg(F.count("*").alias("chunks"))))
+
+
+@register()
+def ann_topk(spark, d):
+    return vector.search_approximate(stored_vectors(spark, d), query_vectors(spark, d), 5).select("query_id", "key", "rank", r6("score", "score"))
+
+
+# fusion --------------------------------------------------------------------------------------------
+
+
+def hit_lists(spark, d, fetch: int = 20):
+    return vector.search(stored_vectors(spark, d), query_vectors(spark, d), fetch), lexical.search(index_of(spark, d), bench_queries(spark, d), fetch)
+
+
+_FUSE = f"""{_BENCH}{O.bm25()}, {_SIM},
+ v as (select query_id, key, score, rank, count(*) over (partition by query_id) as n, max(score) over (partition by query_id) as m from vr where rank <= 20),
+ b as (select query_id, key, score, rank, count(*) over (partition by query_id) as n, max(score) over (partition by query_id) as m from ranked where rank <= 20),
+ j as (select coalesce(v.query_id, b.query_id) as query_id, coalesce(v.key, b.key) as key, v.rank as vrank, b.rank as brank, v.score as vs, b.score as bs, v.n as vn0, b.n as bn0, v.m as vm0, b.m as bm0
+   from v full outer join b on v.query_id = b.query_id and v.key = b.key),
+ k as (select *, coalesce(max(vn0) over (partition by query_id), 0) as vn, coalesce(max(bn0) over (partition by query_id), 0) as bn,
+   max(vm0) over (partition by query_id) as vm, max(bm0) over (partition by query_id) as bm from j),
+ rrf as (select query_id, key, 1.0::double / (60 + coalesce(vrank, vn + 60)) + 1.0::double / (60 + coalesce(brank, bn + 60)) as score from k),
+ wgt as (select query_id, key, 0.6::double * (case when vm > 0 then coalesce(vs, 0) / vm else 0 end) + 0.4::double * (case when bm > 0 then coalesce(bs, 0) / bm else 0 end) as score from k)"""
+
+
+@register(f"{_FUSE} select query_id, key, round(score, 6) as score from rrf")
+def rrf_fusion(spark, d):
+    return fusion.fuse(*hit_lists(spark, d), "rrf").select("query_id", "key", r6("score", "score"))
+
+
+@register(f"{_FUSE} select query_id, key, round(score, 6) as score from wgt")
+def weighted_fusion(spark, d):
+    return fusion.fuse(*hit_lists(spark, d), "weighted").select("query_id", "key", r6("score", "score"))
+
+
+_HEUR = f"(1 + (case when contains(lower(text), lower(query)) then 0.2::double else 0 end) + 0.15::double * {O.overlap('query', 'text')}) * {O.quality('text')}"
+_HYBRID = f"""{_FUSE}, h as (select r.query_id, r.key, r.score * {_HEUR} as score from rrf r join documents d on d.doc_id = r.key join query using (query_id)),
+ hr as (select *, row_number() over (partition by query_id order by round(score, 9) desc, key) as rank from h)"""
+
+
+@register(f"{_HYBRID} select query_id, key, rank, round(score, 6) as score from hr where rank <= 10")
+def hybrid_heuristics(spark, d):
+    """Flagship: both retrievers, rank fusion, exact-match, overlap and quality heuristics, top 10 per query."""
+    q = bench_queries(spark, d).join(query_vectors(spark, d), "query_id", "left")
+    got = fusion.hybrid_search(documents(spark, d), stored_vectors(spark, d), index_of(spark, d), q, 10)
+    return got.select("query_id", "key", "rank", r6("score", "score"))
+
+
+@register(f"""with x as (select d.doc_id, d.source, e.ts, greatest(0, floor((epoch_us(timestamp '{AS_OF}') - epoch_us(e.ts)) / 86400000000.0)) as days
+  from documents d left join events e on e.event_id = d.doc_id)
+ select doc_id, days::bigint as age_days, round(1 + coalesce(0.1::double / (1 + days / 30.0::double), 0) + (case source when 'src1' then 0.3::double when 'src2' then 0.15::double else 0 end), 6) as factor from x""")
+def metadata_boost(spark, d):
+    docs = read(spark, d, "documents").join(read(spark, d, "events").select(F.col("event_id").alias("doc_id"), "ts"), "doc_id", "left")
+    as_of = F.lit(AS_OF).cast("timestamp_ntz" if dict(docs.dtypes)["ts"] == "timestamp_ntz" else "timestamp")
+    as_of, ts = as_of.cast("timestamp"), F.col("ts").cast("timestamp")
+    days = F.greatest(F.lit(0), F.floor((F.unix_micros(as_of) - F.unix_micros(ts)) / 86_400_000_000))
+    return docs.select("doc_id", F.when(ts.isNotNull(), days).otherwise(F.lit(0)).cast("bigint").alias("age_days"), r6(fusion.metadata_factor(ts, F.col("source"), as_of, 0.1, {"src1": 0.3, "src2": 0.15}), "factor"))
+
+
+# text ----------------------------------------------------------------------------------------------
+
+
+@register(f"select doc_id, round({O.quality('text')}, 6) as quality from documents")
+def chunk_quality(spark, d):
+    return documents(spark, d).select(F.col("key").alias("doc_id"), r6(T.quality(F.col("content")), "quality"))
+
+
+@register(f"with query as (select text as query from benchmark order by item_id limit 1) select doc_id, round({O.overlap('query', 'text')}, 6) as overlap, contains(lower(text), lower(query)) as exact from documents, query")
+def query_overlap(spark, d):
+    rows = documents(spark, d).crossJoin(F.broadcast(one_query(spark, d)))
+    return rows.select(F.col("key").alias("doc_id"), r6(T.overlap(F.col("query"), F.col("content")), "overlap"), T.exact_phrase(F.col("query"), F.col("content")).alias("exact"))
+
+
+_NORM = r"trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@register(f"select conv_id, turn, {_NORM} as normalized, sha256({_NORM}) as query_hash from conversations")
+def query_normalize_hash(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", T.normalize_query(F.col("text")).alias("normalized"), T.query_hash(F.col("text")).alias("query_hash"))
+
+
+@register(f"select count(*)::bigint as queries, count(distinct sha256({_NORM}))::bigint as embedded, round(1 - count(distinct sha256({_NORM}))::double / count(*), 6) as hit_rate from conversations")
+def embedding_cache(spark, d):
+    got = cache.query_embedding_cache(read(spark, d, "conversations"), "text").agg(F.sum("n").cast("bigint").alias("queries"), F.count("*").alias("embedded"))
+    return got.select("queries", "embedded", r6(1 - F.col("embedded") / F.col("queries"), "hit_rate"))
+
+
+@register(f"select conv_id, turn, {O.classify('text')} as class from conversations")
+def classify_query(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", T.classify(F.col("text")).alias("class"))
+
+
+_CAT = "case " + " ".join(f"when contains(lower(p), {O.lit(k)}) then {O.lit(v)}" for k, v in K.CATEGORIES) + " else null end"
+_TYPE = f"""case when {O.any_of('lower(html)', K.TUTORIAL_WORDS)} then 'tutorial' when regexp_matches(url, '\\.(yaml|yml)$') then 'config'
+ when {O.any_of('lower(html)', K.REFERENCE_WORDS)} then 'reference' when {O.any_of('lower(html)', K.GUIDE_WORDS)} then 'guide'
+ when {O.any_of('lower(html)', K.CONCEPT_WORDS)} then 'concept' else 'guide' end"""
+
+
+@register(f"""select page_id, coalesce(list_filter(list_transform(string_split(url, '/'), lambda p: {_CAT}), lambda c: c is not null)[1], 'general') as category, {_TYPE} as doc_type,
+ array_to_string(list_sort(list_filter({O.word_list(K.TAG_TERMS)}, lambda t: contains(lower(html), t)))[1:10], ',') as tags from pages""")
+def doc_metadata(spark, d):
+    html, url = F.col("html"), F.col("url")
+    return read(spark, d, "pages").select("page_id", T.category(url).alias("category"), T.doc_type(html, url).alias("doc_type"), F.array_join(T.tags(html), ",").alias("tags"))
+
+
+@register("""select event_id, round(greatest(0.0::double, least(1.0::double, coalesce(try_cast(json_extract_string(props, '$.k') as double), 0.5::double))), 6) as score from events""")
+def json_score_parse(spark, d):
+    return read(spark, d, "events").select("event_id", r6(T.json_score(F.col("props"), "k"), "score"))
+
+
+@register("""select source as label, doc_id, '[' || source || '] ' || text as prompt_text, substr(text, 1, 200) as preview from documents""")
+def contextual_prefix(spark, d):
+    return read(spark, d, "documents").select(F.col("source").alias("label"), "doc_id", ingest.contextual_prefix(F.col("source"), F.col("text")).alias("prompt_text"), T.preview(F.col("text"), 200).alias("preview"))
+
+
+# sections ------------------------------------------------------------------------------------------
+
+
+def markdown(spark, d) -> DataFrame:
+    """Each conversation as a markdown document: H1, then an H2 (user) or H3 (others) for each turn."""
+    turns = read(spark, d, "conversations")
+    head = F.when(F.col("role") == "user", "## ").otherwise("### ")
+    one_line = F.regexp_replace("text", r"[^\p{L}\p{N} ]+", " ")
+    line = F.concat(head, F.lit("Turn "), F.col("turn"), F.lit("\n"), one_line)
+    body = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"])
+    docs = turns.groupBy("conv_id").agg(body.alias("body"))
+    return docs.select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("Conversation "), F.col("conv_id")).alias("title"), F.concat(F.lit("# Conversation "), F.col("conv_id"), F.lit("\n\n"), F.array_join("body", "\n")).alias("content"))
+
+
+# every turn is two lines below two lines of title; a user's turn opens a section, others nest below it
+_TURNS = """t as (select conv_id, turn, role, regexp_replace(text, '[^\\p{L}\\p{N} ]+', ' ', 'g') as body,
+   row_number() over (partition by conv_id order by turn) as i, count(*) over (partition by conv_id) as n,
+   sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) as u from conversations),
+ lead_ as (select conv_id, sum(case when u = 0 then 1 else 0 end) as lead from t group by conv_id),
+ s as (select conv_id as doc_id, case when role = 'user' then 2 else 3 end as level, 'Turn ' || turn as title,
+   1 + 2 * i as line_start, 2 + 2 * i as line_end, i + 1 as ord, body, u, lead,
+   case when role = 'user' then '1.' || (lead + u) when u = 0 then '1.' || i
+        else '1.' || (lead + u) || '.' || (row_number() over (partition by conv_id, u order by turn) - 1) end as node_id
+   from t join lead_ using (conv_id)
+   union all select distinct conv_id, 1, 'Conversation ' || conv_id, 1, 2, 1, '', 0, 0, '1' from conversations)"""
+
+
+@register(f"with {_TURNS} select doc_id, node_id, level::bigint as level, title, line_start::bigint as line_start, line_end::bigint as line_end, ord::bigint as ord from s")
+def section_tree(spark, d):
+    return sections.build_sections(markdown(spark, d)).select("doc_id", "node_id", big("level"), "title", big("line_start"), big("line_end"), big("ord"))
+
+
+@register(f"with {_TURNS} select doc_id, node_id, case when level = 1 then '# ' || title || chr(10) else repeat('#', level::int) || ' ' || title || chr(10) || body end as content from s")
+def section_content(spark, d):
+    docs = markdown(spark, d)
+    return sections.section_text(docs, sections.build_sections(docs)).select("doc_id", "node_id", "content")
+
+
+@register(f"""with {_TURNS} select doc_id, string_agg(repeat('  ', len(string_split(node_id, '.'))::int - 1) || '[' || node_id || '] ' || title || ' (lines ' || line_start || '-' || line_end || ')', chr(10) order by ord) as toc,
+ count(*)::bigint as n_sections from s group by doc_id""")
+def section_toc(spark, d):
+    return sections.toc(sections.build_sections(markdown(spark, d)))
+
+
+@register(f"""with {_TURNS}, x as (select s.doc_id, s.node_id, p.pos, greatest(0.1::double, 1 - 0.1::double * p.pos) as score
+   from s join (values ('1.1', 0), ('9.9', 1), ('1', 2), ('1.1.1', 3)) p(node_id, pos) using (node_id)),
+ r as (select *, row_number() over (order by round(score, 9) desc, doc_id, pos) as rank from x) select doc_id, node_id, round(score, 6) as score, rank from r where rank <= 25""")
+def section_rank(spark, d):
+    tree = sections.build_sections(markdown(spark, d))
+    ids = F.array(*[F.lit(x) for x in ("1.1", "9.9", "1", "1.1.1")])
+    choices = tree.select("doc_id").distinct().select(F.lit(0).alias("query_id"), "doc_id", F.col("doc_id").alias("doc_ord"), ids.alias("ids"))
+    return sections.rank_sections(choices, tree, 25).select("doc_id", "node_id", r6("score", "score"), "rank")
+
+
+# cache ---------------------------------------------------------------------------------------------
+
+
+def response_cache(spark, d) -> DataFrame:
+    """Every vector as a cached query, stored and used at the time of the event of the same id."""
+    e = read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("created_at"))
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return v.join(e, "id").select("id", F.concat(F.lit("q"), F.col("id")).alias("query"), F.concat(F.lit("a"), F.col("id")).alias("response"), "embedding", "created_at", F.col("created_at").alias("last_used_at"))
+
+
+_CACHE = f"""c as (select v.vec_id as id, v.embedding, e.ts as created_at from embeddings v join events e on e.event_id = v.vec_id),
+ as_of as (select timestamp '{AS_OF}' as t)"""
+_TTL = 20 * 86_400
+
+
+@register(f"""with {_CACHE}, q as (select vec_id as query_id, list_reverse(embedding) as embedding from embeddings where vec_id in (select item_id from benchmark)),
+ s as (select query_id, id, created_at, {O.cosine("c.embedding", "q.embedding")} as score from c, q),
+ n as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as r from s)
+ select query_id, case when ok then id end as cache_id, round(score, 6) as similarity, ok as hit from (select *, score >= 0.45 and epoch_us(t) - epoch_us(created_at) <= {_TTL}::bigint * 1000000 as ok from n, as_of where r = 1)""")
+def semantic_cache_lookup(spark, d):
+    asked = query_vectors(spark, d).withColumn("embedding", F.reverse("embedding"))
+    got = cache.lookup(response_cache(spark, d), asked, F.lit(AS_OF).cast("timestamp"), 0.45, _TTL)
+    return got.select("query_id", "cache_id", r6("similarity", "similarity"), "hit")
+
+
+@register(f"""with {_CACHE} select id, rank from (select id, row_number() over (order by created_at desc, id desc) as rank from c, as_of where epoch_us(t) - epoch_us(created_at) <= {_TTL}::bigint * 1000000) where rank <= 50""")
+def cache_lru_ttl(spark, d):
+    kept = cache.evict(response_cache(spark, d), F.lit(AS_OF).cast("timestamp"), 50, _TTL)
+    return kept.select("id", F.row_number().over(Window.orderBy(F.desc("last_used_at"), F.desc("id"))).cast("bigint").alias("rank"))
+
+
+@register(f"with {_CACHE} select count(*)::bigint as size, count(*) filter (epoch_us(t) - epoch_us(created_at) > {_TTL}::bigint * 1000000)::bigint as expired, 1000::bigint as max_size from c, as_of")
+def cache_stats(spark, d):
+    return cache.stats(response_cache(spark, d), F.lit(AS_OF).cast("timestamp"), _TTL)
+
+
+# pipelines -----------------------------------------------------------------------------------------
+
+
+@register(f"""{_BENCH}{O.bm25()}, pool as (select r.query_id, r.key, r.score, substr(d.text, 1, 80) as start from ranked r join documents d on d.doc_id = r.key where r.rank <= 5),
+ one as (select *, row_number() over (partition by start order by round(score, 9) desc, query_id, key) as r from pool),
+ best as (select key, score, row_number() over (order by round(score, 9) desc, query_id, key) as rank from one where r = 1) select key, round(score, 6) as score, rank from best where rank <= 50""")
+def agentic_pool_dedup(spark, d):
+    hits = lexical.search(index_of(spark, d), bench_queries(spark, d), 5).join(documents(spark, d), "key")
+    return agentic.rank_pool(hits, 50).select("key", r6("score", "score"), "rank")
+
+
+_TERMS = ("the", "and", "der", "para", "les")
+
+
+@register(f"""{_BENCH}{O.bm25()}, x as (select query_id, len(list_filter({O.word_list(_TERMS)}, lambda t: contains(lower(d.text), t))) as hits, d.text from ranked r join documents d on d.doc_id = r.key where r.rank <= 5)
+ select query_id, round(sum(case when hits > 0 then 1 else 0 end)::double / 5, 6) as precision, round(sum(hits)::double / 5, 6) as term_coverage,
+ round(len(list_filter({O.word_list(_TERMS)}, lambda t: contains(string_agg(lower(text), chr(10)), t)))::double / {len(_TERMS)}, 6) as coverage from x group by query_id""")
+def precision_at_k(spark, d):
+    hits = lexical.search(index_of(spark, d), bench_queries(spark, d), 5).join(documents(spark, d), "key")
+    return evaluation.retrieval_metrics(hits, F.array(*[F.lit(t) for t in _TERMS]), 5).select("query_id", r6("precision", "precision"), r6("term_coverage", "term_coverage"), r6("coverage", "coverage"))
+
+
+@register("""select lang as category, count(*)::bigint as n, round(avg(l.quality), 6) as quality, round(avg(d.n_chars), 6) as n_chars from documents d join labels l using (doc_id) group by lang""")
+def eval_by_category(spark, d):
+    rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").withColumnRenamed("lang", "category")
+    return evaluation.category_means(rows, "category", "quality", "n_chars").select("category", big("n"), r6("quality", "quality"), r6("n_chars", "n_chars"))
+
+
+_RUNS = "runs as (select event_type as run, count(*)::bigint as n, avg(value) as seconds, max(value) as top from events group by event_type)"
+
+
+@register(f"""with {_RUNS} select arg_max(run, seconds) as most, arg_min(run, seconds) as least, arg_max(run, top / 1000 - seconds / 1000) as balanced from runs""")
+def best_config(spark, d):
+    runs = read(spark, d, "events").groupBy(F.col("event_type").alias("run")).agg(F.avg("value").alias("seconds"), F.max("value").alias("top"))
+    balance = F.col("top") / 1000 - F.col("seconds") / 1000
+    return runs.agg(F.max_by("run", "seconds").alias("most"), F.min_by("run", "seconds").alias("least"), F.max_by("run", balance).alias("balanced"))
+
+
+@register("""select doc_id, round(0.4 * faithfulness + 0.4 * relevance + 0.2 * context, 4) as overall from
+ (select l.doc_id, l.quality::double as faithfulness, (1 - l.toxic)::double as relevance, (l.doc_id % 7) / 8.0::double as context from labels l)""")
+def judge_overall(spark, d):
+    rows = read(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("f"), (1 - F.col("toxic")).cast("double").alias("r"), (F.col("doc_id") % 7 / 8.0).alias("c"))
+    return rows.select("doc_id", evaluation.overall(F.col("f"), F.col("r"), F.col("c")).alias("overall"))
+
+
+# observability -------------------------------------------------------------------------------------
+
+
+@register("select event_type, user_id % 10 as status, count(*)::bigint as n from events group by 1, 2")
+def http_counter(spark, d):
+    return observability.counter(read(spark, d, "events").withColumn("status", F.col("user_id") % 10), "event_type", "status")
+
+
+_LE = "(values " + ", ".join(f"({b}::double, '{float(b)}')" for b in K.HTTP_BUCKETS) + ", (1e308, '+Inf')) b(bound, le)"
+
+
+@register(f"""select event_type, le, count(value) filter (value <= bound)::bigint as n, round(sum(value), 4) as total, count(value)::bigint as count from events, {_LE} group by event_type, le""")
+def latency_histogram(spark, d):
+    got = observability.histogram(read(spark, d, "events"), "value", K.HTTP_BUCKETS, "event_type")
+    return got.select("event_type", "le", "n", F.round("total", 4).alias("total"), "count")
+
+
+@register("""with s as (select event_type, list_sort(list(value)) as v, count(value) as n from events group by event_type)
+ select event_type, n::bigint as n, v[1] as min, v[n] as max, v[floor(n * 0.5)::bigint + 1] as median, v[floor(n * 0.95::double)::bigint + 1] as p95, v[floor(n * 0.99::double)::bigint + 1] as p99 from s""")
+def latency_percentiles(spark, d):
+    return observability.nearest_rank(read(spark, d, "events"), "value", {"median": 0.5, "p95": 0.95, "p99": 0.99}, "event_type")
+
+
+@register("""select event_type, round(avg(value), 6) as mean, min(value) as min, max(value) as max, round(median(value), 6) as median, round(stddev_samp(value), 6) as stdev from events group by event_type""")
+def latency_summary(spark, d):
+    return observability.summary(read(spark, d, "events"), "value", "event_type").select("event_type", r6("mean", "mean"), "min", "max", r6("median", "median"), r6("stdev", "stdev"))
+
+
+@register(f"""with {_RUNS}, b as (select seconds as base from runs where run = (select min(run) from runs))
+ select run, round(base / seconds, 6) as speedup, round((base - seconds) * 100 / base, 6) as saved_percent, run = (select arg_min(run, seconds) from runs) as fastest from runs, b""")
+def run_compare(spark, d):
+    runs = read(spark, d, "events").groupBy(F.col("event_type").alias("run")).agg(F.avg("value").alias("seconds"))
+    first = runs.agg(F.min("run")).first()[0]
+    return observability.compare_runs(runs, first).select("run", r6("speedup", "speedup"), r6("saved_percent", "saved_percent"), "fastest")
+
+
+@register("""select event_type as error_type, count(*)::bigint as n, array_to_string(list(props order by event_id)[1:3], '|') as examples from events where value > 50 group by event_type""")
+def error_guide(spark, d):
+    errors = read(spark, d, "events").where("value > 50").select(F.col("event_type").alias("error_type"), F.col("event_id").alias("doc_idx"), F.col("props").alias("message"))
+    return observability.errors_by_type(errors).select("error_type", "n", F.array_join("examples", "|").alias("examples"))
+
+
+@register("""select count(*)::bigint as documents, sum(n_chars)::bigint as chunks, count(*) filter (n_chars < 200)::bigint as errors, round(sum(n_chars) / count(*)::double, 6) as chunks_per_doc,
+ round(count(*) filter (n_chars < 200) / count(*)::double, 6) as error_rate from documents""")
+def ingest_throughput(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", F.col("n_chars").alias("n_chunks"), F.lit(1.0).alias("seconds"), F.when(F.col("n_chars") < 200, "short").alias("error"))
+    return observability.throughput(rows).select("documents", big("chunks"), "errors", r6("chunks_per_doc", "chunks_per_doc"), r6("error_rate", "error_rate"))
+
+
+@register("""with x as (select avg((event_id % 3 = 0)::int) as h, avg(value) filter (event_id % 3 = 0) as a, avg(value) filter (event_id % 3 <> 0) as b from events)
+ select round(h * 100, 6) as hit_rate, round(h * a + (1 - h) * b, 6) as effective_latency, round(b / (h * a + (1 - h) * b), 6) as throughput_gain from x""")
+def cache_effect(spark, d):
+    got = observability.cache_effect(read(spark, d, "events").withColumn("hit", F.col("event_id") % 3 == 0), "hit", "value")
+    return got.select(*[r6(c, c) for c in got.columns])
+
+
+@register(f"""with x as (select query_id, s.strategy from (select item_id as query_id from benchmark) q, (values ('rrf'), ('vector'), ('weighted')) s(strategy)) select strategy, count(*)::bigint as n from x group by strategy""")
+def compare_strategies(spark, d):
+    return pipelines.strategies(bench_queries(spark, d)).groupBy("strategy").agg(F.count("*").alias("n"))
+
+
+@register("select batch, count(*)::bigint as n, min(doc_id) as first, max(doc_id) as last from (select doc_id, ceil(row_number() over (order by doc_id) / 100.0)::bigint as batch from documents) group by batch")
+def ingest_batches(spark, d):
+    return ingest.batches(read(spark, d, "documents").select("doc_id"), "doc_id", 100).groupBy("batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+
+
+# without SQL counterpart: the splitter and the model-driven pipelines --------------------------------
+
+
+@register()
+def chunk_documents(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id"), F.col("source").alias("title"), F.col("text").alias("content"))
+    return ingest.chunk(docs).select("doc_id", big("chunk_index"), "content")
+
+
+@register()
+def splitter(spark, d):
+    return markdown(spark, d).select("doc_id", F.explode(split_column(F.col("content"), 300, 60)).alias("chunk"))
+
+
+@register()
+def answer_pipeline(spark, d):
+    return pipelines.answer(read(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("content")), bench_queries(spark, d), 5)
+
+
+@register()
+def agentic_loop(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"))
+    return pipelines.answer_agentic(docs, one_query(spark, d), 5)
+
+
+@register()
+def section_answer(spark, d):
+    return pipelines.answer_from_sections(markdown(spark, d), one_query(spark, d), 5)
+
+
+@register()
+def evaluate_answers(spark, d):
+    return pipelines.judge(read(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("content")), bench_queries(spark, d), 5)
