@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space; words are maximal runs of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +26,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and cuts the lineage."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -66,3 +75,28 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
         before = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def _compress(batches):
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        packed = [press.compress(v.as_py() or b"") for v in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], ["id", "packed", "rest"])
+
+
+def packed_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(id, packed, rest)`` of rows with an id, and of rows without one.
+
+    packed: the UTF-8 text, zstd-compressed, so that it waits on disk at half the size of Spark's own
+    compression; rest: the other columns as one struct, whatever their names. With the explicit filter
+    and the new names every join on ``id`` that takes all three columns reads the same exchange.
+    """
+    others = [docs[c] for c in docs.columns if c != "text"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").cast("binary").alias("_text"), F.struct(*others).alias("rest"))
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("packed", T.BinaryType()), rows.schema["rest"]])
+    with_id = rows.where("_id is not null").mapInArrow(_compress, schema).where("id is not null")
+    return with_id, rows.where("_id is null").mapInArrow(_compress, schema)
+
+
+def unpacked(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
