@@ -351,7 +351,7 @@ def _decode(path: str):
     return run
 
 
-def _digests(path: str):
+def _digests(path: str, with_ids: bool):
     def run(batches):
         vocab = vocabulary(path)
         for part in _encode(path)(batches):
@@ -363,10 +363,10 @@ def _digests(path: str):
                 n.append(int(b - a))
                 h_ids.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 h_text.append(hashlib.sha256(vocab.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), pa.array(h_ids), pa.array(h_text)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            cols, names = [part.column(0), pa.array(n, pa.int64()), pa.array(h_ids), pa.array(h_text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                cols, names = [*cols, part.column(1)], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
@@ -385,6 +385,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(_decode(path), "doc_id long, decoded binary")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of encoding and decoding every whole text."""
-    return _rows(docs).mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids])`` of encoding and decoding every whole text."""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return _rows(docs).mapInArrow(_digests(path, with_ids), schema)

@@ -148,9 +148,8 @@ def mix(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple[
 
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; every row of a repeated id gets the id's most copies."""
-    copies = mix(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    return (
-        docs.join(copies, docs.doc_id.eqNullSafe(F.col("_id")))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-        .select(*[docs[c] for c in docs.columns])
-    )
+    taken = mix(docs, **options).where("copies > 0")
+    copies = taken.groupBy(F.col("doc_id").alias("__tessera_id")).agg(F.max("copies").cast("int").alias("__tessera_copies"))
+    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__tessera_id"]))
+    repeated = joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), copies["__tessera_copies"])).alias("__tessera_copy"))
+    return repeated.drop("__tessera_copy")

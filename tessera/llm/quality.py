@@ -233,5 +233,5 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 def reject(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps."""
-    kept = classify(docs, labels, **options).where("keep").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = classify(docs, labels, **options).where("keep").select(F.col("doc_id").alias("__tessera_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__tessera_id"]), "left_semi")

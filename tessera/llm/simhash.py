@@ -270,8 +270,8 @@ def simhash_groups(docs: DataFrame, t: int = 3, n: int = 3) -> DataFrame:
     )
 
 
-def keep_first(docs: DataFrame, t: int = 3, n: int = 5) -> DataFrame:
+def keep_first(docs: DataFrame, t: int = 3, n: int = 3) -> DataFrame:
     """The rows of ``docs`` whose document comes first in its near-duplicate group."""
     groups = simhash_groups(docs, t, n)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs.doc_id == F.col("_kept_id"), "left_semi")
+    kept = groups.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("__tessera_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__tessera_id"]), "left_semi")
