@@ -1,4 +1,7 @@
-"""File sources and report sinks. Paths go through Spark's readers, so any file system will do."""
+"""File sources and report sinks. Paths go through Spark's readers, so any file system will do.
+
+Those readers pass over names that begin with ``_`` or ``.``.
+"""
 
 from __future__ import annotations
 
