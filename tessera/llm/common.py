@@ -72,7 +72,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         e = cut(small.distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == before:
-            return e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+            star = e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+            return star.unionByName(star.select(F.col("component").alias("node"), "component").distinct())
         before = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 

@@ -3,7 +3,7 @@
 Each pass draws 64 random hyperplanes; a vector's sign bits, concatenated, are its sort key. Vectors
 are ordered by key (range partitions, so no key meets in one task) and each is compared with the
 next ``WINDOW`` in order by cosine in double precision. Passes are independent; their number follows
-from the number of vectors so that a pair at the threshold is expected to meet in 95 % of cases at
+from the number of vectors so that a pair at the threshold is expected to meet in 99 % of cases at
 every size. A partition emits a spanning forest of the pairs it verified, not the pairs. The union of
 all passes' edges gives the components.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import components, cut, partitions
 
 THRESHOLD, WINDOW, BLOCK, SEED = 0.9, 64, 512, 5
-RECALL = 0.95
+RECALL = 0.99
 
 
 def n_passes(n: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
