@@ -35,11 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, packed_texts, partitions, unpacked
 from .induced import permuted_common_prefixes, suffix_array
 
 WIDTH, GRAM = 50, 20
-GROUP_BYTES = 4 << 20
+#: Texts are scanned in groups, and long texts in pieces, of about this size; pieces overlap by MARGIN.
+GROUP_BYTES, MARGIN = 1 << 18, 128
+#: Shards for each shuffle partition: a shard's arrays take some 50 bytes a gram in one Python worker.
+SHARDS = 2
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
 _CTX = (1 << 48) - 1
@@ -146,19 +149,24 @@ def _scan(width: int, gram: int, parts: int):
     """Texts -> for each shard the packed grams; part -1 - p carries spans that are already known."""
     side = width - gram
 
-    def emit(ids, raw):
+    def emit(ids, raw, base, core):
         sizes = np.array([len(t) for t in raw], dtype=np.int64)
         starts = np.concatenate(([0], np.cumsum(sizes)))
         b = np.frombuffer(b"".join(raw), dtype=np.uint8)
         at, key = minimisers(b, starts, width, gram)
         text = np.searchsorted(starts, at, side="right") - 1
+        # a piece's margins belong to its neighbours
+        own = (at - starts[text] >= core[text, 0]) & (at - starts[text] < core[text, 1])
+        at, key, text = at[own], key[own], text[own]
+        zero = starts - np.append(base, 0)
         lo, hi = np.maximum(starts[text], at - side), np.minimum(starts[text + 1], at + width)
         # how the surroundings are cut off at the text's ends is part of them
         ctx = (_Prefix(b).span(lo, hi) + (at - lo).astype(np.uint64) * _STEPS[2]) & np.uint64(_CTX)
-        pos, doc = at - starts[text], ids[text]
+        pos, doc = at - zero[text], ids[text]
         by, _, _, late = _later(key, ctx, doc)
         known, kept = by[late], np.sort(by[~late])
-        shard = ((key[kept] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        # minimisers are small hashes: mix once more, or the first shards get nearly all
+        shard = ((key[kept] * _MULT >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         kept, shard = kept[order], shard[order]
         out_part, out_seeds, out_docs = [], [], []
@@ -174,7 +182,7 @@ def _scan(width: int, gram: int, parts: int):
                 out_part.append(p)
                 out_seeds.append(seeds)
                 out_docs.append(ids[local[0]].tobytes())
-        d, a, z = merge_spans(doc[known], (lo - starts[text])[known], (hi - starts[text])[known])
+        d, a, z = merge_spans(doc[known], (lo - zero[text])[known], (hi - zero[text])[known])
         if len(d):
             out_part.append(int(d[0]) % parts)
             out_seeds.append(b"")
@@ -184,21 +192,28 @@ def _scan(width: int, gram: int, parts: int):
         return pa.RecordBatch.from_arrays([pa.array(out_part, pa.int32()), pa.array(out_seeds, pa.binary()), pa.array(out_docs, pa.binary())], ["part", "seeds", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, raw, size = [], [], 0
+        held, size = [], 0
+
+        def close():
+            ids, raw, base, core = zip(*held)
+            return emit(np.array(ids, dtype=np.int64), list(raw), np.array(base, dtype=np.int64), np.array(core, dtype=np.int64))
+
         for batch in batches:
             number = batch.column(0).to_numpy(zero_copy_only=False)
             for i, value in enumerate(batch.column(1)):
                 text = value.as_py()
                 if text is None or len(text) < width:
                     continue
-                ids.append(number[i])
-                raw.append(text)
-                size += len(text)
-                if size >= GROUP_BYTES:
-                    if (out := emit(np.array(ids, dtype=np.int64), raw)) is not None:
-                        yield out
-                    ids, raw, size = [], [], 0
-        if raw and (out := emit(np.array(ids, dtype=np.int64), raw)) is not None:
+                for a in range(0, len(text), GROUP_BYTES):
+                    z = min(len(text), a + GROUP_BYTES)
+                    lo, hi = max(0, a - MARGIN), min(len(text), z + MARGIN)
+                    held.append((number[i], text[lo:hi], lo, (a - lo, z - lo)))
+                    size += hi - lo
+                    if size >= GROUP_BYTES:
+                        if (out := close()) is not None:
+                            yield out
+                        held, size = [], 0
+        if held and (out := close()) is not None:
             yield out
 
     return run
@@ -242,19 +257,24 @@ def _shard(width: int, gram: int):
                     yield _pieces(0, d, np.zeros(len(d), dtype=np.uint64), a, z, np.zeros(len(d)))
         if not held:
             return
-        key, ctx, doc, pos, left, right = (np.concatenate(x) for x in zip(*held))
+        columns = list(zip(*held))
         held.clear()
+        key, ctx, doc = (np.concatenate(c) for c in columns[:3])
         by, first, group, late = _later(key, ctx, doc)
-        key, doc, pos, left, right = key[by], doc[by], pos[by], left[by], right[by]
-        lo, hi = pos - side + left, pos + right
+        del ctx, group
+        key, doc = key[by], doc[by]
+        pos, left, right = (np.concatenate(c).astype(np.int32)[by] for c in columns[3:])
+        del columns, by
+        lo, hi = pos - np.int32(side) + left, pos + right
+        del left, right
+        d, a, z = merge_spans(doc[late], lo[late], hi[late])
+        yield _pieces(0, d, np.zeros(len(d), dtype=np.uint64), a, z, np.zeros(len(d)))
         new_key = np.concatenate(([True], key[1:] != key[:-1]))
-        of_key = np.cumsum(new_key) - 1
+        of_key = np.cumsum(new_key, dtype=np.int32) - np.int32(1)
         starts = np.flatnonzero(new_key)
         least = np.minimum.reduceat(doc, starts)
         several = np.maximum.reduceat(doc, starts) != least
-        surroundings = np.add.reduceat(first.astype(np.int64), starts)
-        d, a, z = merge_spans(doc[late], lo[late], hi[late])
-        yield _pieces(0, d, np.zeros(len(d), dtype=np.uint64), a, z, np.zeros(len(d)))
+        surroundings = np.add.reduceat(first, starts, dtype=np.int32)
         border = (several & (surroundings > 1))[of_key] & ~late
         # the key's smallest document only serves as a reference: once for each of its surroundings
         border &= (doc != least[of_key]) | first
@@ -267,13 +287,13 @@ _SLICE_SCHEMA = "key long, doc_id long, lo int, bytes binary"
 
 
 def _slices(batches):
-    """(doc_id, text, pieces) -> the surroundings' bytes."""
+    """(id, packed, pieces) -> the surroundings' bytes."""
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
             keys, docs, lows, out = [], [], [], []
             for doc, text, pieces in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist()):
-                raw = text.as_py() or b""
+                raw = unpacked(text.as_py())
                 for p in pieces:
                     keys.append(p["key"])
                     docs.append(doc)
@@ -310,7 +330,7 @@ def shared_spans(pieces: list[bytes], doc: np.ndarray, lo: np.ndarray, width: in
     return merge_spans(doc[owner[hit]], at, at + width)
 
 
-def _sort_shard(width: int, most_bytes: int = 8 << 20):
+def _sort_shard(width: int, most_bytes: int = 2 << 20):
     """Rows sorted by key -> spans. A shard is sorted in runs of whole keys of about ``most_bytes``."""
 
     def out(held):
@@ -334,31 +354,23 @@ def _sort_shard(width: int, most_bytes: int = 8 << 20):
     return run
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
-
-
-def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """``(doc_id, lo, hi)``: byte spans (not yet merged) that go, for documents with any."""
+def repeated_spans(docs: DataFrame, packed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """``(doc_id, lo, hi)``: byte spans (not yet merged) that go, for documents with any; packed: of ``packed_texts``."""
     n = partitions(docs.sparkSession)
-    texts = _texts(docs)
-    packed = texts.where("doc_id is not null").mapInArrow(_scan(width, gram, n), _GRAM_SCHEMA)
-    found = cut(packed.repartitionById(n, F.col("part")).mapInArrow(_shard(width, gram), _PIECE_SCHEMA))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).where("doc_id is not null")
+    scanned = texts.mapInArrow(_scan(width, gram, SHARDS * n), _GRAM_SCHEMA)
+    found = cut(scanned.repartitionById(SHARDS * n, F.col("part")).mapInArrow(_shard(width, gram), _PIECE_SCHEMA))
     wanted = found.where("kind = 1").groupBy("doc_id").agg(F.collect_set(F.struct("key", "lo", "hi")).alias("pieces"))
-    sliced = (
-        texts.join(wanted.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"))
-        .select("doc_id", "text", "pieces")
-        .mapInArrow(_slices, _SLICE_SCHEMA)
-    )
+    sliced = packed.join(wanted, F.col("id") == F.col("doc_id")).select("id", "packed", "pieces", "rest").mapInArrow(_slices, _SLICE_SCHEMA)
     sorted_ = sliced.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sort_shard(width), "doc_id long, lo int, hi int")
     return found.where("kind = 0").select("doc_id", "lo", "hi").unionByName(sorted_)
 
 
 def _cut_out(batches):
-    for batch in batches:
+    for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
         n_bytes, n_removed, n_spans, digest = [], [], [], []
         for text, spans in zip(batch.column(1), batch.column(2).to_pylist()):
-            raw = text.as_py() or b""
+            raw = unpacked(text.as_py())
             lo = np.array([s["lo"] for s in spans or []], dtype=np.int64)
             hi = np.minimum(np.array([s["hi"] for s in spans or []], dtype=np.int64), len(raw))
             keep = lo < hi
@@ -377,8 +389,8 @@ def _cut_out(batches):
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``, one row per document."""
-    spans = repeated_spans(docs, width, gram).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    joined = _texts(docs).join(spans.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(
-        _cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    )
+    packed, without_id = packed_texts(docs.select("doc_id", "text"))
+    spans = repeated_spans(docs, packed, width, gram).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    joined = packed.join(spans, F.col("id") == F.col("doc_id"), "left").select("id", "packed", "spans", "rest")
+    without_id = without_id.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    return joined.unionByName(without_id).mapInArrow(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
