@@ -124,14 +124,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     """Weights and, last, the intercept; Newton steps with a ridge. Without both classes: probability 0."""
     if not len(y) or y.min() == y.max():
         return np.append(np.zeros(x.shape[1]), -20.0)
-    z = np.column_stack((x, np.ones(len(x))))
-    keep = np.full(z.shape[1], ridge)
+    width = x.shape[1] + 1
+    keep = np.full(width, ridge)
     keep[-1] = 1e-6
-    beta = np.zeros(z.shape[1])
+    beta = np.zeros(width)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        v = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((z * v[:, None]).T @ z + np.diag(keep), z.T @ (y - p) - keep * beta)
+        # block sums: the driver never holds a second copy of the matrix
+        gram, slope = np.diag(keep), -keep * beta
+        for at in range(0, len(x), 1000):
+            z = np.column_stack((x[at : at + 1000], np.ones(len(x[at : at + 1000])))).astype(float)
+            p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+            gram = gram + (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z
+            slope = slope + z.T @ (y[at : at + 1000] - p)
+        step = np.linalg.solve(gram, slope)
         beta += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
@@ -170,10 +175,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = np.unique(np.array(chosen, dtype=np.int64))
     got = picked.mapInArrow(_matrix(chosen), "doc_id long, x binary, low int, toxic int").toPandas().sort_values(["doc_id", "low", "toxic"])
     width = N_SHAPE + len(chosen)
-    x = np.frombuffer(b"".join(bytes(v) for v in got["x"]), dtype="<f4").reshape(-1, width).astype(float)
-    mean = x.mean(axis=0) if len(x) else np.zeros(width)
-    scale = np.maximum(x.std(axis=0), 1e-3) if len(x) else np.ones(width)
-    weights = np.stack([fit_logistic((x - mean) / scale, got[h].to_numpy(float)) for h in HEADS])
+    x = np.empty((len(got), width), dtype=np.float32)
+    for i, v in enumerate(got.pop("x")):
+        x[i] = np.frombuffer(v, dtype="<f4")
+    mean = x.mean(axis=0, dtype=float) if len(x) else np.zeros(width)
+    scale = np.maximum(np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x, dtype=float) / max(1, len(x)) - mean**2, 0)), 1e-3)
+    x -= mean.astype(np.float32)
+    x /= scale.astype(np.float32)
+    weights = np.stack([fit_logistic(x, got[h].to_numpy(float)) for h in HEADS])
     return Model(chosen, mean, scale, weights)
 
 
