@@ -23,7 +23,7 @@ def suffix_types(t: np.ndarray) -> np.ndarray:
     change = np.flatnonzero(t[:-1] != t[1:])
     rises = t[change] < t[change + 1]
     # each position takes the type of the next change at or after it; after the last one: larger
-    upto = np.searchsorted(change, np.arange(n))
+    upto = np.cumsum(np.concatenate(([False], t[:-1] != t[1:])))
     inside = upto < len(change)
     s[inside] = rises[upto[inside]]
     return s
@@ -43,7 +43,7 @@ def _append(order: np.ndarray, sa: np.ndarray, at: np.ndarray, chars: np.ndarray
 def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Suffix array from the leftmost-smaller suffixes in order (of their suffixes or substrings)."""
     n, k = len(t), len(ends)
-    sa = np.full(n, -1, dtype=np.int64)
+    sa = np.full(n, -1, dtype=np.int32 if n < 1 << 31 else np.int64)
     begins = np.concatenate(([0], ends[:-1]))
     chars = t[lms]
     low = ends - np.bincount(chars, minlength=k)
@@ -95,7 +95,7 @@ def _doubling(t: np.ndarray) -> np.ndarray:
         after = np.zeros(n, dtype=np.int64)
         after[: max(0, n - width)] = rank[width:]
         key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         new = np.empty(n, dtype=np.int64)
         new[order] = np.cumsum(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])))
@@ -112,6 +112,8 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         return np.arange(n)
     if t.max() >= BUCKETS:
         return _doubling(t)
+    # narrow characters are sorted by radix
+    t = t.astype(np.uint8 if t.max() < 256 else np.uint16)
     s = suffix_types(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
     ends = np.cumsum(np.bincount(t))
@@ -146,17 +148,41 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
 def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """For each position, the common prefix with the suffix before it in order, counted up to ``most``.
 
-    Computed in text order of positions, all at once: position i keeps comparing while it agrees.
+    Computed for all positions of the text at once, eight characters a step while they agree; the
+    first differing character is the lowest set byte of the two words' exclusive or.
     """
+    n = len(t)
+    out = np.zeros(n, dtype=np.int32)
+    if n < 2:
+        return out
+    if t.max() >= 256:
+        return _by_character(t, sa, most)
+    word = np.zeros(n + 8, dtype=np.uint64)
+    word[:n] = t
+    for shift in (1, 2, 4):
+        word[:-shift] |= word[shift:] << np.uint64(8 * shift)
+    at, before = sa[1:].astype(np.int64), sa[:-1].astype(np.int64)
+    room = np.minimum(n - np.maximum(at, before), most)
+    got = np.zeros(n - 1, dtype=np.int64)
+    live = np.arange(n - 1)
+    while len(live):
+        k = got[live]
+        x = word[at[live] + k] ^ word[before[live] + k]
+        low = np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3  # 8 if x is 0
+        got[live] = k + low
+        live = live[(low == 8) & (got[live] < room[live])]
+    out[at] = np.minimum(got, room)
+    return out
+
+
+def _by_character(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     n = len(t)
     before = np.full(n, -1, dtype=np.int64)
     before[sa[1:]] = sa[:-1]
-    out = np.zeros(n, dtype=np.int64)
+    out = np.zeros(n, dtype=np.int32)
     live = np.flatnonzero(before >= 0)
     for k in range(most):
         live = live[(live + k < n) & (before[live] + k < n)]
         live = live[t[live + k] == t[before[live] + k]]
-        if not len(live):
-            break
         out[live] = k + 1
     return out

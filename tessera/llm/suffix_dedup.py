@@ -306,9 +306,14 @@ def shared_spans(pieces: list[bytes], doc: np.ndarray, lo: np.ndarray, width: in
     """Spans (doc, lo, hi) of ``width``-byte strings of ``pieces`` that a piece of a smaller document holds."""
     sizes = np.array([len(p) for p in pieces], dtype=np.int64)
     # alphabet: the bytes that occur, and 0 between pieces
-    b = np.frombuffer(b"\0".join(pieces), dtype=np.uint8).astype(np.int64) + 1
+    raw = np.frombuffer(b"\0".join(pieces), dtype=np.uint8)
     begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
+    used = np.bincount(raw, minlength=256) > 0
+    narrow = np.cumsum(used).astype(np.uint16)
+    b = narrow[raw]
     b[begin[1:] - 1] = 0
+    if b.max() < 256:
+        b = b.astype(np.uint8)
     sa = suffix_array(b)
     common = permuted_common_prefixes(b, sa, width)
     n_starts = np.maximum(sizes - width + 1, 0)
