@@ -13,6 +13,13 @@ comparisons and emits n - 1 edges, never all pairs. A bucket of more than ``WIDE
 not walked: its members go to a second stage whose keys also fix the third segment (budget 2), which
 leaves 16 free bits, so no bucket there can exceed 65,536 fingerprints. Nothing is dropped.
 
+The pipeline's stage asks for more than 64 bits at 3 differing can tell: documents whose sets of
+5-word shingles have Jaccard similarity 0.8 or more (``similar_groups``). At 0.8 about 15 % of the bits
+differ, so a ring over one fingerprint has no chain left that is both selective and sure. Instead a
+document has ``LANES`` independent fingerprints, and its keys are chains over permuted rings of all
+their bits, each with budget 0; their length follows from the number of documents, their number from
+the wanted recall at the threshold. Candidates are then checked by the shingle sets themselves.
+
 Defined results: a null text counts as empty; a text without words has fingerprint 0 and links like
 any other; equal fingerprints share a class; rows with a null id are kept with a null component;
 only ``doc_id`` and ``text`` are read, so extra columns cannot clash.
@@ -29,10 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, partitions
+from .words import MIX, Words, grams, mixed, text_groups
 
 BITS, SEGMENTS, SEED = 64, 4, 42
 WIDTH = BITS // SEGMENTS
 WIDE = 2048
+SHINGLE, SIMILAR, RECALL, LANES = 5, 0.8, 0.97, 8
+#: Differing bits of one fingerprint: beyond FAR no pair at the threshold (99.7 %), up to SURE one walk step. Buckets up to SMALL are compared in full.
+FAR, SURE, SMALL = 18, 6, 32
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: For each half byte, its four bits in four 16-bit lanes.
 _LANES = np.array([sum(((x >> k) & 1) << (16 * k) for k in range(4)) for x in range(16)], dtype=np.uint64)
@@ -270,8 +281,163 @@ def simhash_groups(docs: DataFrame, t: int = 3, n: int = 3) -> DataFrame:
     )
 
 
-def keep_first(docs: DataFrame, t: int = 3, n: int = 3) -> DataFrame:
+def shingle_sets(raw: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of each text's n-word shingles (of all words, in a shorter text), and their count by text."""
+    w = Words(raw)
+    first, h = grams(w, n)
+    text = w.text[first]
+    sizes = np.diff(w.first)
+    for k in np.flatnonzero((sizes > 0) & (sizes < n)):
+        one = np.array([sizes[k]], dtype=np.uint64)
+        for x in w.hash[w.first[k] : w.first[k + 1]]:
+            one = mixed(one + MIX[2]) + x
+        text, h = np.append(text, k), np.append(h, mixed(one))
+    by = np.lexsort((h, text))
+    text, h = text[by], h[by]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])))[: len(h)]
+    return h[new], np.bincount(text[new], minlength=len(raw))
+
+
+def _many_fingerprints(n: int, lanes: int):
+    def run(batches):
+        for part, raw in text_groups(batches):
+            h, counts = shingle_sets(raw, n)
+            salts = np.arange(1, lanes + 1, dtype=np.uint64) * MIX[2] if len(h) else []
+            fps = np.stack([majority(mixed(h + s), counts) for s in salts], axis=1) if len(salts) else np.zeros((len(raw), lanes), dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f.tobytes() for f in fps], pa.binary())], ["doc_id", "fp"])
+
+    return run
+
+
+def _sets(n: int):
+    def run(batches):
+        for part, raw in text_groups(batches):
+            h, counts = shingle_sets(raw, n)
+            upto = np.cumsum(counts)
+            low = h.astype("<u4")
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([low[u - c : u].tobytes() for u, c in zip(upto, counts)], pa.binary())], ["id", "held"])
+
+    return run
+
+
+def plan_keys(n_docs: int, least: float = SIMILAR, recall: float = RECALL) -> tuple[int, int]:
+    """(bits a key, keys a document): about one other document by chance in a bucket, ``recall`` of pairs at ``least`` meet."""
+    bits = min(30, max(12, int(np.ceil(np.log2(max(2, n_docs))))))
+    agree = 1 - np.arccos(2 * least / (1 + least)) / np.pi
+    return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - agree**bits)))
+
+
+def _ring_keys(bits: int, tables: int, lanes: int):
+    """Rows ``(key, id, fp)``; a table's key is ``bits`` bits of all fingerprints, its fp one of them."""
+    rng = np.random.default_rng(SEED)
+    picks = np.stack([rng.permutation(BITS * lanes)[:bits] for _ in range(tables)])
+    power = np.int64(1) << np.arange(bits, dtype=np.int64)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                words = np.frombuffer(b"".join(v.as_py() for v in part.column(1)), dtype="<u8").reshape(-1, lanes)
+                cells = np.unpackbits(words.view(np.uint8), axis=1).astype(np.int64)
+                for t in range(tables):
+                    key = cells[:, picks[t]] @ power | np.int64(t) << 40
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(words[:, t % lanes].copy().view(np.int64))], ["key", "id", "fp"])
+
+    return run
+
+
+def near_walk(ids: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
+    """Candidates of one large bucket: SURE ones as a spanning tree, doubtful ones with every member reached."""
+    edges, doubt = [], {}
+    while len(ids) > 1:
+        queue, ids, fps = [(ids[0], fps[0])], ids[1:], fps[1:]
+        while queue and len(ids):
+            a, x = queue.pop()
+            apart = np.bitwise_count(fps ^ x)
+            sure = apart <= SURE
+            for b in ids[(apart <= FAR) & ~sure]:
+                doubt.setdefault(b, []).append(a)
+            for b, y in zip(ids[sure], fps[sure]):
+                edges.append((a, b))
+                doubt.pop(b, None)
+                queue.append((b, y))
+            ids, fps = ids[~sure], fps[~sure]
+    return edges + [(a, b) for b, some in doubt.items() for a in some]
+
+
+def _meet(batches):
+    """Sorted rows (key, id, fp) -> candidates (a, b)."""
+
+    def out(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+    def pairs(key, ids, fps):
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sizes = np.diff(np.append(first, len(key)))
+        small = np.repeat(sizes <= SMALL, sizes)
+        for d in range(1, SMALL):
+            at = np.flatnonzero((key[d:] == key[:-d]) & small[d:])
+            if not len(at):
+                break
+            at = at[np.bitwise_count(fps[at] ^ fps[at + d]) <= FAR]
+            yield out(ids[at], ids[at + d])
+        for i, size in zip(first[sizes > SMALL], sizes[sizes > SMALL]):
+            edges = np.array(near_walk(ids[i : i + size], fps[i : i + size]), dtype=np.int64).reshape(-1, 2)
+            yield out(edges[:, 0], edges[:, 1])
+
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+        if not len(cols[0]):
+            continue
+        cols[2] = cols[2].view(np.uint64)
+        last = int(np.searchsorted(cols[0], cols[0][-1]))
+        if last or (held and held[0][0][0] != cols[0][0]):
+            held.append([c[:last] for c in cols])
+            yield from pairs(*(np.concatenate(c) for c in zip(*held)))
+            held = []
+        held.append([c[last:] for c in cols])
+    if held:
+        yield from pairs(*(np.concatenate(c) for c in zip(*held)))
+
+
+def _similar(least: float):
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_py(), dtype="<u4") for v in (a, b))
+                both = len(np.intersect1d(x, y))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, n: int = SHINGLE, least: float = SIMILAR, recall: float = RECALL, lanes: int = LANES) -> DataFrame:
+    """``(doc_id, component_id)``, one row per document: components of pairs whose n-word shingle sets are ``least`` alike."""
+    parts = partitions(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    prints = cut(texts.mapInArrow(_many_fingerprints(n, lanes), "doc_id long, fp binary"))
+    reps = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    bits, tables = plan_keys(reps.count(), least, recall)
+    rows = reps.select("rep", "fp").mapInArrow(_ring_keys(bits, tables, lanes), "key long, id long, fp long")
+    pairs = cut(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long").where("a < b").distinct())
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # a repeated id counts with its first set
+    sets = texts.mapInArrow(_sets(n), "id long, held binary").join(asked, F.col("id") == F.col("doc_id"), "left_semi").groupBy("id").agg(F.first("held").alias("held"))
+    left, right = (sets.select(F.col("id").alias(c), F.col("held").alias(f"held_{c}")) for c in ("a", "b"))
+    links = pairs.join(left, "a").join(right, "b").select("a", "b", "held_a", "held_b").mapInArrow(_similar(least), "a long, b long")
+    groups = components(links)
+    by_fp = reps.join(groups, reps.rep == groups.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    known = prints.where("doc_id is not null").join(by_fp, "fp").select("doc_id", "component_id")
+    return known.unionByName(prints.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("component_id")))
+
+
+def keep_first(docs: DataFrame, n: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
     """The rows of ``docs`` whose document comes first in its near-duplicate group."""
-    groups = simhash_groups(docs, t, n)
+    groups = similar_groups(docs, n, least)
     kept = groups.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("__tessera_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__tessera_id"]), "left_semi")

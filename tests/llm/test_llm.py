@@ -104,6 +104,24 @@ def test_pipeline_keeps_one_of_each_group(docs, corpus):
     assert kept.columns == docs.columns
 
 
+def test_pipeline_stage_finds_near_copies_of_five_word_shingles(spark):
+    rng = random.Random(8)
+    rows, near = [], []
+    for i in range(300):
+        text = [f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(40, 400))]
+        copy = list(text)
+        for k in rng.sample(range(len(copy)), max(1, len(copy) // 60)):
+            copy[k] = "changed"
+        sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (text, copy)]
+        if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
+            near.append(1000 + i)
+        rows += [(i, " ".join(text)), (1000 + i, " ".join(copy)), (2000 + i, " ".join(text[: len(text) // 2]))]
+    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = {i for i, _ in rows} - kept
+    assert len(near) > 200 and len(gone & set(near)) >= 0.9 * len(near)
+    assert gone <= set(near)
+
+
 # 9
 
 
