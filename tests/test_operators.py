@@ -1,11 +1,13 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.config import Settings
 from tessera.models import HashEmbedder, OverlapReranker, RuleLlm, rerank_with
 from tessera.operators import agentic, cache, fusion, ingest, lexical, observability, pipelines, sections, vector
+from tessera.plans import catalog
 from tessera.sources import files
 
 
@@ -60,6 +62,17 @@ def test_approximate_search_recall(spark, sf):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+def test_ann_topk_recall_without_the_query_itself(spark):
+    d = "/root/testdata/sf0.01"
+    got = {(r["query_id"], r["key"]) for r in catalog.ann_topk(spark, d).collect()}
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked = {r[0] for r in spark.read.parquet(f"{d}/benchmark.parquet").select("item_id").collect()} & set(ids.tolist())
+    best = {(q, int(k)) for q in asked for k in ids[np.argsort(-(x @ x[ids == q][0]), kind="stable")[:5]] if k != q}
+    assert len(got & best) >= 0.9 * len(best)
+
+
 DOC = "# Guide\nintro\n## Install\nstep\n### Linux\nrun\n## Use\ntry\n## End\nbye"
 
 
