@@ -85,11 +85,20 @@ def answer_agentic(docs: DataFrame, queries: DataFrame, k: int, max_iterations:
     return spark.createDataFrame(rows, "query_id long, answer string, iterations long, complete boolean, confidence double")
 
 
-def answer_from_sections(docs: DataFrame, queries: DataFrame, k: int, model: Llm | None = None) -> DataFrame:
-    """Section-tree retrieval: the model picks node ids from every document's table of contents, in parallel."""
+def answer_from_sections(docs: DataFrame, queries: DataFrame, k: int, model: Llm | None = None, broadcast_rows: int = 1000) -> DataFrame:
+    """Section-tree retrieval: the model picks node ids from every document's table of contents, in parallel.
+
+    Up to ``broadcast_rows`` questions are broadcast; more are dealt into blocks joined by equality.
+    """
     model = model or RuleLlm()
     tree = sections.build_sections(docs)
-    asked = sections.toc(tree).crossJoin(F.broadcast(queries.select("query_id", "query").limit(1000)))
+    contents, questions = sections.toc(tree), queries.select("query_id", "query")
+    if questions.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        asked = contents.crossJoin(F.broadcast(questions))
+    else:
+        blocks = -(-questions.count() // broadcast_rows)
+        dealt = questions.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        asked = contents.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "_block").drop("_block")
     reply = complete(F.concat(F.lit("TASK navigate\n"), F.col("toc"), F.lit("\nQuestion: "), F.col("query")), model)
     choices = asked.select("query_id", "doc_id", F.col("doc_id").alias("doc_ord"), F.slice(json_nodes(reply), 1, 4).alias("ids"))
     best = sections.rank_sections(choices, tree, k)

@@ -503,7 +503,7 @@ def agentic_loop(spark, d):
 
 @register()
 def section_answer(spark, d):
-    return pipelines.answer_from_sections(markdown(spark, d), one_query(spark, d), 5)
+    return pipelines.answer_from_sections(markdown(spark, d), bench_queries(spark, d), 5)
 
 
 @register()

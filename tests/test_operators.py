@@ -81,6 +81,13 @@ def tree(spark, text, title="T"):
     return docs, sections.build_sections(docs)
 
 
+def test_sections_answer_every_question(spark):
+    docs, _ = tree(spark, DOC)
+    asked = spark.range(1001).select(F.col("id").alias("query_id"), F.lit("How to install on Linux?").alias("query"))
+    got = pipelines.answer_from_sections(docs, asked, 2).collect()
+    assert sorted(r["query_id"] for r in got) == list(range(1001)) and len({r["answer"] for r in got}) == 1
+
+
 def test_section_tree(spark):
     _, got = tree(spark, DOC)
     rows = got.orderBy("ord").collect()
