@@ -14,7 +14,10 @@ the following letters, numbers or other characters.
 
 Defined results: a null text counts as empty (no ids; digests of the empty string); rows are
 independent, so ties, repeated rows and extra columns do not matter; an empty table gives no rows;
-a piece of any length is merged whole, long ones through a heap.
+a piece of any length is merged whole, long ones through a heap. A long text is encoded in fragments
+cut before a single space between two other characters: a pre-token starts there whatever came
+before, so the fragments' ids are the text's. A vocabulary of more than a million mergeable pairs is
+refused.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ SYM_L, SYM_N, SYM_O, SYM_A1, SYM_A2, SYM_S, SYM_SX, SYM_WX, SYM_END = range(9)
 # states: fresh, in letters, in numbers, in other, in white space, after a joining space, one or two
 # contraction letters to come
 FRESH, IN_L, IN_N, IN_O, IN_S, JOIN, C1, C2 = range(8)
-BLOCK, GROUP_CHARS, CACHE = 64, 1 << 20, 400_000
+BLOCK, GROUP_CHARS, CACHE = 64, 1 << 18, 100_000
 NO_MERGE = 1 << 40
 # hash table of the pairs that merge
 _BITS = 21
@@ -306,20 +309,35 @@ class Vocabulary:
         return self.bytes[at].tobytes()
 
 
+def fragments(text: str, most: int = GROUP_CHARS) -> Iterator[str]:
+    """Consecutive parts of about ``most`` characters, cut where a pre-token starts whatever came before."""
+    white, at = class_table(), 0
+    while len(text) - at > most:
+        cut = text.find(" ", at + most)
+        while 0 <= cut < len(text) - 1 and (white[ord(text[cut - 1])] in (SPACE, WHITE) or white[ord(text[cut + 1])] in (SPACE, WHITE)):
+            cut = text.find(" ", cut + 1)
+        if not 0 <= cut < len(text) - 1:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
 def _groups(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
-    """Runs of texts of about GROUP_CHARS characters; a longer text makes a run of its own."""
+    """Runs of texts of at most about GROUP_CHARS characters; a longer text makes a run of its own."""
     held, size, first = [], 0, 0
     for i in range(len(column)):
-        held.append(column[i].as_py() or "")
-        size += len(held[-1])
-        if size >= GROUP_CHARS or len(held) >= 1024:
-            yield first, i + 1, held
-            held, size, first = [], 0, i + 1
+        text = column[i].as_py() or ""
+        if held and (size + len(text) > GROUP_CHARS or len(held) >= 1024):
+            yield first, i, held
+            held, size, first = [], 0, i
+        held.append(text)
+        size += len(text)
     if held:
         yield first, len(column), held
 
@@ -329,7 +347,11 @@ def _encode(path: str):
         vocab = vocabulary(path)
         for batch in batches:
             for a, b, texts in _groups(batch.column(1)):
-                ids, offsets = vocab.encode_group(texts)
+                if len(texts) == 1 and len(texts[0]) > GROUP_CHARS:
+                    ids = [np.concatenate([vocab.encode_group([part])[0][0].astype(np.int32) for part in fragments(texts[0])])]
+                    offsets = [np.cumsum(vocab.lengths[ids[0]])]
+                else:
+                    ids, offsets = vocab.encode_group(texts)
                 upto = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 lists = [
                     pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate(v).astype(kind)))

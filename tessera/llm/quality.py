@@ -2,8 +2,9 @@
 
 *Document evidence.* Two logistic heads, low quality and toxic, on text-shape features and on the
 presence of the words that separate the labels best. They are fitted on at most ``SAMPLE`` labelled
-rows (those with the smallest hash of the id), the only bounded part; a broadcast of that many ids
-picks the rows, word counts come from a grouped aggregate over hashed words.
+ids (those with the smallest hash of the id), the only bounded part; a broadcast of that many ids
+picks the rows, word counts come from a grouped aggregate over hashed words. The feature rows of the
+sample, some 100 bytes each, are fitted in one executor task; only the weights reach the driver.
 
 *Site evidence.* All documents' probabilities are summed by path (here source and language) and host
 (source). The hosts' spread gives a Beta prior by moments; a host's rate is shrunk toward the global
@@ -15,8 +16,8 @@ A document is rejected if either posterior exceeds one half.
 
 Defined results: a null or empty text has neutral features; null sources and languages are sites of
 their own; without labelled rows of both classes a head gives probability 0; a repeated row gets
-the same result each time; labels of an id that repeats count once each; an empty table gives no
-rows. Only ``doc_id``, ``text``, ``source`` and ``lang`` are read.
+the same result each time; an id trains once: with its lowest quality, its highest toxicity and, of
+several texts, the one with the smallest hash; an empty table gives no rows. Only ``doc_id``, ``text``, ``source`` and ``lang`` are read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .words import LOWER, SPACE, Words, mixed, text_groups
+from .words import BLOCK, LOWER, SPACE, Words, mixed, text_groups
 
 SAMPLE, N_WORDS, BUCKETS = 20_000, 256, 1 << 20
 HEADS = ("low", "toxic")
@@ -38,19 +39,23 @@ _CLASS[SPACE] = 4
 N_SHAPE = 16
 
 
+def _kinds(text: bytes) -> np.ndarray:
+    """Bytes of each class, counted a block at a time."""
+    out = np.zeros(6, dtype=np.int64)
+    for at in range(0, len(text), BLOCK):
+        out += np.bincount(_CLASS[np.frombuffer(text, np.uint8, min(BLOCK, len(text) - at), at)], minlength=6)
+    return out
+
+
 def shape(raw: list[bytes], w: Words) -> np.ndarray:
     """Features of how a text looks, one row per text; all finite, neutral for empty texts."""
     n = len(raw)
     size = np.array([len(t) for t in raw], dtype=np.int64)
-    owner = np.repeat(np.arange(n), size)
-    b = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    kinds = np.bincount(owner * 6 + _CLASS[b], minlength=6 * n).reshape(n, 6)
-    total = np.maximum(size, 1)[:, None]
-    share = kinds / total
+    total = np.maximum(size, 1)
+    share = np.stack([_kinds(t) for t in raw]) / total[:, None]
     words = np.diff(w.first)
     some = np.maximum(words, 1)
-    length = (w.hi - w.lo).astype(float)
-    mean = np.bincount(w.text, length, n) / some
+    mean = np.bincount(w.text, w.hi - w.lo, n) / some
 
     def distinct(keys):
         owner = w.text[: len(keys)]
@@ -65,13 +70,14 @@ def shape(raw: list[bytes], w: Words) -> np.ndarray:
     types, top = distinct(w.hash)
     pair = mixed(w.hash[:-1]) + w.hash[1:] if len(w.hash) > 1 else w.hash[:0]
     pairs, top_pair = distinct(pair)
-    ends = np.concatenate(([0], np.cumsum(size)))
-    last = b[ends[w.text] + w.hi - 1] if len(w.hash) else b[:0]
-    before = b[ends[w.text] + np.maximum(w.hi - 2, w.lo)] if len(w.hash) else b[:0]
-    marked = np.bincount(w.text, _CLASS[last] == 0, n) / some
-    twice = np.bincount(w.text, (_CLASS[last] == 0) & (_CLASS[before] == 0) & (w.hi - w.lo > 1), n) / some
-    alone = np.bincount(w.text, (w.hi - w.lo == 1) & (_CLASS[last] == 0), n) / some
-    lines = np.bincount(owner, b == 10, n) / total[:, 0]
+    b, begin = np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum(size) - size
+    at = begin[w.text]
+    mark = _CLASS[b[at + w.hi - 1]] == 0
+    second = _CLASS[b[at + np.maximum(w.hi - 2, w.lo)]] == 0
+    marked = np.bincount(w.text, mark, n) / some
+    twice = np.bincount(w.text, mark & second & (w.hi - w.lo > 1), n) / some
+    alone = np.bincount(w.text, mark & (w.hi - w.lo == 1), n) / some
+    lines = np.array([t.count(b"\n") for t in raw]) / total
     out = np.column_stack((share, np.log1p(words), np.log1p(mean), types, top, pairs, top_pair, marked, twice, alone, lines))
     out[words == 0] = 0
     return out
@@ -89,14 +95,16 @@ def _letters(raw: list[bytes]) -> Words:
     return Words([t.translate(table.tobytes()) for t in raw])
 
 
-def features(raw: list[bytes], chosen: np.ndarray) -> np.ndarray:
+def features(raw: list[bytes], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shape rows, and the present chosen words as (text, index in ``chosen``), each once."""
     x = shape(raw, Words(raw))
+    if not len(chosen):
+        return x, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     w = _letters(raw)
     at = np.searchsorted(chosen, b := word_buckets(w))
-    hit = (at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == b) if len(chosen) else np.zeros(len(b), dtype=bool)
-    there = np.zeros((len(raw), len(chosen)))
-    there[w.text[hit], at[hit]] = 1
-    return np.column_stack((x, there))
+    hit = chosen[np.minimum(at, len(chosen) - 1)] == b
+    both = np.unique(w.text[hit] * len(chosen) + at[hit])
+    return x, both // len(chosen), both % len(chosen)
 
 
 def _presence(batches):
@@ -111,11 +119,16 @@ def _presence(batches):
         yield pa.RecordBatch.from_arrays([pa.array(v) for v in (keys, *cols)], ["bucket", "n", "low", "toxic"])
 
 
-def _matrix(chosen: np.ndarray):
+def _feature_rows(chosen: np.ndarray):
+    """Rows (doc_id, text, low, toxic) -> one blob each: the labels, the shape as float32, the words' indices as uint16."""
+
     def run(batches):
         for part, raw in text_groups(batches):
-            rows = features(raw, chosen).astype("<f4")
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in rows], pa.binary()), part.column(2), part.column(3)], ["doc_id", "x", "low", "toxic"])
+            x, text, word = features(raw, chosen)
+            upto = np.searchsorted(text, np.arange(len(raw) + 1))
+            low, toxic = (part.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            blobs = [bytes([low[i], toxic[i]]) + x[i].astype("<f4").tobytes() + word[upto[i] : upto[i + 1]].astype("<u2").tobytes() for i in range(len(raw))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], ["doc_id", "x"])
 
     return run
 
@@ -129,7 +142,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     keep[-1] = 1e-6
     beta = np.zeros(width)
     for _ in range(rounds):
-        # block sums: the driver never holds a second copy of the matrix
+        # block sums: no second copy of the matrix
         gram, slope = np.diag(keep), -keep * beta
         for at in range(0, len(x), 1000):
             z = np.column_stack((x[at : at + 1000], np.ones(len(x[at : at + 1000])))).astype(float)
@@ -143,27 +156,58 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return beta
 
 
+def _fit(n_words: int):
+    """All rows of the sample, in order of id -> one row: means, scales and both heads' weights."""
+
+    def run(batches):
+        blobs = [v.as_py() for batch in batches for v in batch.column(1)]
+        width = N_SHAPE + n_words
+        x, y = np.zeros((len(blobs), width), dtype=np.float32), np.zeros((len(blobs), len(HEADS)))
+        for i, blob in enumerate(blobs):
+            y[i] = blob[0], blob[1]
+            x[i, :N_SHAPE] = np.frombuffer(blob, "<f4", N_SHAPE, 2)
+            x[i, N_SHAPE + np.frombuffer(blob, "<u2", offset=2 + 4 * N_SHAPE).astype(np.intp)] = 1
+        blobs.clear()
+        mean = x.mean(axis=0, dtype=float) if len(x) else np.zeros(width)
+        scale = np.maximum(np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x, dtype=float) / max(1, len(x)) - mean**2, 0)), 1e-3)
+        x -= mean.astype(np.float32)
+        x /= scale.astype(np.float32)
+        out = np.concatenate([mean, scale, *(fit_logistic(x, y[:, k]) for k in range(len(HEADS)))])
+        yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], ["weights"])
+
+    return run
+
+
 class Model:
     def __init__(self, chosen: np.ndarray, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray):
-        self.chosen, self.mean, self.scale, self.weights = chosen, mean, scale, weights
+        self.chosen = chosen
+        self.slopes = weights[:, :-1] / scale
+        self.start = weights[:, -1] - self.slopes @ mean
 
     def logits(self, raw: list[bytes]) -> np.ndarray:
-        x = (features(raw, self.chosen) - self.mean) / self.scale
-        return np.clip(x @ self.weights[:, :-1].T + self.weights[:, -1], -20, 20)
+        x, text, word = features(raw, self.chosen)
+        out = x @ self.slopes[:, :N_SHAPE].T + self.start
+        for k in range(len(HEADS)):
+            out[:, k] += np.bincount(text, self.slopes[k, N_SHAPE + word], len(raw))
+        return np.clip(out, -20, 20)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit both heads on at most ``sample`` labelled rows."""
-    rows = labels.select(F.col("doc_id").cast("long"), (F.col("quality") == 0).cast("int").alias("low"), F.col("toxic").cast("int")).na.drop()
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``(doc_id, text, low, toxic)``: one row for each of at most ``sample`` labelled ids."""
+    rows = labels.select(F.col("doc_id").cast("long"), (F.col("quality") == 0).cast("int").alias("low"), (F.col("toxic") == 1).cast("int").alias("toxic")).na.drop()
+    by_id = rows.groupBy("doc_id").agg(F.max("low").alias("low"), F.max("toxic").alias("toxic"))
     # bounded by ``sample``: the ids of the training rows
-    ids = rows.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "low", "toxic").limit(sample)
-    picked = cut(
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
-        .join(F.broadcast(ids), "doc_id")
-        .select("doc_id", "text", "low", "toxic")
-    )
-    counts = picked.mapInArrow(_presence, "bucket long, n long, low long, toxic long").groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("n", "low", "toxic")))
+    ids = by_id.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(sample)
+    text = F.col("text").cast("string").cast("binary")
+    found = docs.select(F.col("doc_id").cast("long"), text.alias("text")).join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("low").alias("low"), F.first("toxic").alias("toxic"))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Fit both heads on at most ``sample`` labelled ids."""
+    picked = cut(training_rows(docs, labels, sample))
     totals = picked.agg(F.count("*").alias("n"), F.sum("low").alias("low"), F.sum("toxic").alias("toxic")).first()
+    counts = cut(picked.mapInArrow(_presence, "bucket long, n long, low long, toxic long").groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("n", "low", "toxic"))))
     chosen = []
     for head in HEADS:
         if not totals["n"] or not totals[head] or totals[head] == totals["n"]:
@@ -173,17 +217,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         gain = F.abs(F.sqrt(with_) - F.sqrt(without))
         chosen += [r["bucket"] for r in counts.orderBy(F.desc(gain), "bucket").limit(N_WORDS // len(HEADS)).select("bucket").collect()]
     chosen = np.unique(np.array(chosen, dtype=np.int64))
-    got = picked.mapInArrow(_matrix(chosen), "doc_id long, x binary, low int, toxic int").toPandas().sort_values(["doc_id", "low", "toxic"])
+    # bounded by ``sample``: the feature rows meet in one task
+    rows = picked.mapInArrow(_feature_rows(chosen), "doc_id long, x binary").repartition(1).sortWithinPartitions("doc_id")
+    made = rows.mapInArrow(_fit(len(chosen)), "weights array<double>").first()
     width = N_SHAPE + len(chosen)
-    x = np.empty((len(got), width), dtype=np.float32)
-    for i, v in enumerate(got.pop("x")):
-        x[i] = np.frombuffer(v, dtype="<f4")
-    mean = x.mean(axis=0, dtype=float) if len(x) else np.zeros(width)
-    scale = np.maximum(np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x, dtype=float) / max(1, len(x)) - mean**2, 0)), 1e-3)
-    x -= mean.astype(np.float32)
-    x /= scale.astype(np.float32)
-    weights = np.stack([fit_logistic(x, got[h].to_numpy(float)) for h in HEADS])
-    return Model(chosen, mean, scale, weights)
+    if made is None:  # the plan of an empty sample has no task
+        return Model(chosen, np.zeros(width), np.ones(width), np.stack([fit_logistic(np.zeros((0, width)), np.zeros(0))] * len(HEADS)))
+    got = np.array(made["weights"])
+    return Model(chosen, got[:width], got[width : 2 * width], got[2 * width :].reshape(len(HEADS), width + 1))
 
 
 def _logits(model: Model):

@@ -84,16 +84,10 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _fingerprints(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                hashes, counts = [], []
-                for text in part.column(1).cast(pa.binary()):
-                    got = shingle_hashes(text.as_py() or b"", n)
-                    counts.append(len(got))
-                    hashes.append(np.array(got, dtype=np.uint64))
-                fp = majority(np.concatenate(hashes), np.array(counts, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        for part, raw in text_groups(batches, most_rows=512):
+            hashes = [np.array(shingle_hashes(text, n), dtype=np.uint64) for text in raw]
+            fp = majority(np.concatenate(hashes), np.array([len(h) for h in hashes], dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     return run
 

@@ -307,6 +307,16 @@ def test_bpe_round_trip(spark):
     assert all((r["offsets"][-1] if r["offsets"] else 0) == len(dict(rows)[r["doc_id"]].encode()) for r in some.collect())
 
 
+def test_long_texts_in_fragments():
+    vocab = byte_bpe.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    rng = random.Random(4)
+    for letters in ("ab' tse\n\té1!", "ab  ", "a"):
+        text = "".join(rng.choice(letters) for _ in range(4000))
+        parts = list(byte_bpe.fragments(text, 100))
+        assert "".join(parts) == text and (len(parts) > 5 or letters == "a")
+        assert np.concatenate([vocab.encode_group([p])[0][0] for p in parts]).tolist() == vocab.encode_group([text])[0][0].tolist()
+
+
 # 10
 
 
