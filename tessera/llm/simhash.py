@@ -18,7 +18,11 @@ The pipeline's stage asks for more than 64 bits at 3 differing can tell: documen
 differ, so a ring over one fingerprint has no chain left that is both selective and sure. Instead a
 document has ``LANES`` independent fingerprints, and its keys are chains over permuted rings of all
 their bits, each with budget 0; their length follows from the number of documents, their number from
-the wanted recall at the threshold. Candidates are then checked by the shingle sets themselves.
+the wanted recall at the threshold. Inside a key's bucket all the lanes' bits together tell pairs that
+are sure to be alike, which make a tree, doubtful ones and ones too far apart. First each doubtful
+member is a candidate with the nearest member walked, so a group of n copies makes about n
+candidates; after the components of what the shingle sets confirm, a second round takes each member
+with the nearest member of every other component in its bucket. So no group makes all its pairs.
 
 Defined results: a null text counts as empty; a text without words has fingerprint 0 and links like
 any other; equal fingerprints share a class; rows with a null id are kept with a null component;
@@ -42,8 +46,8 @@ BITS, SEGMENTS, SEED = 64, 4, 42
 WIDTH = BITS // SEGMENTS
 WIDE = 2048
 SHINGLE, SIMILAR, RECALL, LANES = 5, 0.8, 0.97, 8
-#: Differing bits of one fingerprint: beyond FAR no pair at the threshold (99.7 %), up to SURE one walk step. Buckets up to SMALL are compared in full.
-FAR, SURE, SMALL = 18, 6, 32
+#: Differing bits of all lanes, as deviations from the mean at the threshold: beyond FAR hardly any pair at the threshold, up to SURE hardly any below it.
+FAR, SURE = 3.5, -4.5
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: For each half byte, its four bits in four 16-bit lanes.
 _LANES = np.array([sum(((x >> k) & 1) << (16 * k) for k in range(4)) for x in range(16)], dtype=np.uint64)
@@ -321,8 +325,15 @@ def plan_keys(n_docs: int, least: float = SIMILAR, recall: float = RECALL) -> tu
     return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - agree**bits)))
 
 
+def reach(least: float, lanes: int) -> tuple[int, int]:
+    """Differing bits of ``lanes`` fingerprints up to which a pair is sure, and up to which it is doubtful."""
+    bits, p = BITS * lanes, np.arccos(2 * least / (1 + least)) / np.pi
+    mean, spread = bits * p, np.sqrt(bits * p * (1 - p))
+    return int(mean + SURE * spread), int(np.ceil(mean + FAR * spread))
+
+
 def _ring_keys(bits: int, tables: int, lanes: int):
-    """Rows ``(key, id, fp)``; a table's key is ``bits`` bits of all fingerprints, its fp one of them."""
+    """Rows ``(key, id, label, fp)`` of rows (id, label, fp); a table's key is ``bits`` bits of all fingerprints."""
     rng = np.random.default_rng(SEED)
     picks = np.stack([rng.permutation(BITS * lanes)[:bits] for _ in range(tables)])
     power = np.int64(1) << np.arange(bits, dtype=np.int64)
@@ -331,69 +342,97 @@ def _ring_keys(bits: int, tables: int, lanes: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                words = np.frombuffer(b"".join(v.as_py() for v in part.column(1)), dtype="<u8").reshape(-1, lanes)
+                words = np.frombuffer(b"".join(v.as_py() for v in part.column(2)), dtype="<u8").reshape(-1, lanes)
                 cells = np.unpackbits(words.view(np.uint8), axis=1).astype(np.int64)
                 for t in range(tables):
                     key = cells[:, picks[t]] @ power | np.int64(t) << 40
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(words[:, t % lanes].copy().view(np.int64))], ["key", "id", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *part.columns], ["key", "id", "label", "fp"])
 
     return run
 
 
-def near_walk(ids: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
-    """Candidates of one large bucket: SURE ones as a spanning tree, doubtful ones with every member reached."""
-    edges, doubt = [], {}
-    while len(ids) > 1:
-        queue, ids, fps = [(ids[0], fps[0])], ids[1:], fps[1:]
-        while queue and len(ids):
-            a, x = queue.pop()
-            apart = np.bitwise_count(fps ^ x)
-            sure = apart <= SURE
-            for b in ids[(apart <= FAR) & ~sure]:
-                doubt.setdefault(b, []).append(a)
-            for b, y in zip(ids[sure], fps[sure]):
-                edges.append((a, b))
-                doubt.pop(b, None)
-                queue.append((b, y))
-            ids, fps = ids[~sure], fps[~sure]
-    return edges + [(a, b) for b, some in doubt.items() for a in some]
-
-
-def _meet(batches):
-    """Sorted rows (key, id, fp) -> candidates (a, b)."""
-
-    def out(a, b):
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+def _apart(fps: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fps ^ x).sum(axis=-1, dtype=np.int64)
+
 
-    def pairs(key, ids, fps):
+def near_walk(ids: np.ndarray, fps: np.ndarray, sure: int, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates of a bucket: a tree over the sure pairs, and each other member with the nearest one walked before it."""
+    a, b = [], []
+    near, least = np.full(len(ids), -1, dtype=np.int64), np.full(len(ids), far + 1, dtype=np.int64)
+    left, queue = np.arange(len(ids)), []
+    while len(left):
+        if not queue:
+            x, left = left[0], left[1:]
+            if near[x] >= 0:
+                a.append(ids[near[x] : near[x] + 1])
+                b.append(ids[x : x + 1])
+        else:
+            x = queue.pop()
+        if not len(left):
+            break
+        apart = _apart(fps[left], fps[x])
+        joined = apart <= sure
+        found, left, apart = left[joined], left[~joined], apart[~joined]
+        a.append(np.full(len(found), ids[x]))
+        b.append(ids[found])
+        queue += found.tolist()
+        nearer = left[apart < least[left]]
+        least[nearer], near[nearer] = apart[apart < least[left]], x
+    return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
+
+
+def other_pairs(ids: np.ndarray, labels: np.ndarray, fps: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each member of a bucket but those of the commonest label with its nearest member of every other label, if within ``far`` bits."""
+    _, which, counts = np.unique(labels, return_inverse=True, return_counts=True)
+    a, b = [], []
+    for i in np.flatnonzero(which != np.argmax(counts)):
+        apart = _apart(fps, fps[i])
+        other = np.flatnonzero((which != which[i]) & (apart <= far))
+        other = other[np.lexsort((apart[other], which[other]))]
+        other = other[np.concatenate(([True], which[other][1:] != which[other][:-1]))[: len(other)]]
+        a.append(np.full(len(other), ids[i]))
+        b.append(ids[other])
+    return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
+
+
+def _meet(lanes: int, sure: int, far: int, again: bool):
+    """Sorted rows (key, id, label, fp) -> candidates (a, b): of the first round, or the rest."""
+
+    def pairs(key, ids, labels, fps):
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(first, len(key)))
-        small = np.repeat(sizes <= SMALL, sizes)
-        for d in range(1, SMALL):
-            at = np.flatnonzero((key[d:] == key[:-d]) & small[d:])
-            if not len(at):
-                break
-            at = at[np.bitwise_count(fps[at] ^ fps[at + d]) <= FAR]
-            yield out(ids[at], ids[at + d])
-        for i, size in zip(first[sizes > SMALL], sizes[sizes > SMALL]):
-            edges = np.array(near_walk(ids[i : i + size], fps[i : i + size]), dtype=np.int64).reshape(-1, 2)
-            yield out(edges[:, 0], edges[:, 1])
-
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-        if not len(cols[0]):
-            continue
-        cols[2] = cols[2].view(np.uint64)
-        last = int(np.searchsorted(cols[0], cols[0][-1]))
-        if last or (held and held[0][0][0] != cols[0][0]):
-            held.append([c[:last] for c in cols])
-            yield from pairs(*(np.concatenate(c) for c in zip(*held)))
-            held = []
-        held.append([c[last:] for c in cols])
-    if held:
-        yield from pairs(*(np.concatenate(c) for c in zip(*held)))
+        a, b = [], []
+        two = first[sizes == 2]
+        near = (_apart(fps[two], fps[two + 1]) <= far) & ((labels[two] != labels[two + 1]) | (not again))
+        a.append(ids[two[near]])
+        b.append(ids[two[near] + 1])
+        for i, size in zip(first[sizes > 2], sizes[sizes > 2]):
+            here = slice(i, i + size)
+            if again and (labels[here] == labels[i]).all():
+                continue
+            x, y = other_pairs(ids[here], labels[here], fps[here], far) if again else near_walk(ids[here], fps[here], sure, far)
+            a.append(x)
+            b.append(y)
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            if not len(cols[0]):
+                continue
+            cols.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype="<u8").reshape(-1, lanes))
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            if last or (held and held[0][0][0] != cols[0][0]):
+                held.append([c[:last] for c in cols])
+                yield pairs(*(np.concatenate(c) for c in zip(*held)))
+                held = []
+            held.append([c[last:] for c in cols])
+        if held:
+            yield pairs(*(np.concatenate(c) for c in zip(*held)))
+
+    return run
 
 
 def _similar(least: float):
@@ -417,14 +456,26 @@ def similar_groups(docs: DataFrame, n: int = SHINGLE, least: float = SIMILAR, re
     prints = cut(texts.mapInArrow(_many_fingerprints(n, lanes), "doc_id long, fp binary"))
     reps = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     bits, tables = plan_keys(reps.count(), least, recall)
-    rows = reps.select("rep", "fp").mapInArrow(_ring_keys(bits, tables, lanes), "key long, id long, fp long")
-    pairs = cut(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long").where("a < b").distinct())
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # a repeated id counts with its first set
-    sets = texts.mapInArrow(_sets(n), "id long, held binary").join(asked, F.col("id") == F.col("doc_id"), "left_semi").groupBy("id").agg(F.first("held").alias("held"))
-    left, right = (sets.select(F.col("id").alias(c), F.col("held").alias(f"held_{c}")) for c in ("a", "b"))
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", "held_a", "held_b").mapInArrow(_similar(least), "a long, b long")
-    groups = components(links)
+    sure, far = reach(least, lanes)
+
+    def candidates(labelled: DataFrame, again: bool) -> DataFrame:
+        rows = labelled.mapInArrow(_ring_keys(bits, tables, lanes), "key long, id long, label long, fp binary")
+        ordered = rows.repartition(parts, "key").sortWithinPartitions("key")
+        return cut(ordered.mapInArrow(_meet(lanes, sure, far, again), "a long, b long").where("a < b").distinct())
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        # a repeated id counts with its first set
+        sets = texts.mapInArrow(_sets(n), "id long, held binary").join(asked, F.col("id") == F.col("doc_id"), "left_semi").groupBy("id").agg(F.min("held").alias("held"))
+        left, right = (sets.select(F.col("id").alias(c), F.col("held").alias(f"held_{c}")) for c in ("a", "b"))
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "held_a", "held_b").mapInArrow(_similar(least), "a long, b long")
+
+    first = cut(confirmed(candidates(reps.select("rep", F.col("rep").alias("label"), "fp"), False)))
+    groups = components(first)
+    labelled = reps.join(groups, reps.rep == groups.node, "left").select("rep", F.coalesce("component", "rep").alias("label"), "fp")
+    rest = candidates(labelled, True)
+    if rest.limit(1).count():
+        groups = components(first.unionByName(confirmed(rest)))
     by_fp = reps.join(groups, reps.rep == groups.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     known = prints.where("doc_id is not null").join(by_fp, "fp").select("doc_id", "component_id")
     return known.unionByName(prints.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("component_id")))

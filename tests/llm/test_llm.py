@@ -205,8 +205,66 @@ def test_fuzzy_passage(spark):
     assert got[1]["n_removed"] == got[3]["n_removed"] == 0
 
 
+def test_passages_whose_seeds_smaller_documents_share_out(spark):
+    """An 80-word passage in documents 500 and 501; overlapping 19-word bits of it in smaller ones."""
+    rows, where = [], {}
+    for k in range(30):
+        rng = random.Random(k)
+        passage, base = words(rng, 80, 10**6).split(), 10_000 * k
+        for i, at in enumerate(range(0, 62, 9)):
+            rows.append((base + i, " ".join([words(rng, 30, 10**6), *passage[at : at + 19], words(rng, 30, 10**6)])))
+        for i in (500, 501):
+            rows.append((base + i, " ".join([words(rng, 30, 10**6), *passage, words(rng, 30, 10**6)])))
+        where[base + 501] = base + 500
+    got = {r["doc_id"]: r for r in chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i]["n_removed"] == 80 and got[i]["sources"] == [s] for i, s in where.items())
+    assert sum(r["n_removed"] for r in got.values()) == 80 * 30
+
+
+def test_recall_of_fuzzy_passages(spark):
+    """Replaced, added and missing words at rates that leave an identity of 0.8 to 0.95."""
+    rows, kinds = [], {}
+    for k in range(240):
+        rng = random.Random(k)
+        n, rate = (60, 100)[k % 2], (0.06, 0.10, 0.14)[k // 2 % 3]
+        passage, changed = words(rng, n, 10**6).split(), []
+        for x in passage:
+            kind = rng.random() / rate
+            changed += [x] if kind >= 1 else ["new"] if kind < 0.6 else [x, "more"] if kind < 0.8 else []
+        rows += [(2 * k, " ".join([words(rng, 40, 10**6), *passage, words(rng, 40, 10**6)])), (2 * k + 1, " ".join([words(rng, 40, 10**6), *changed, words(rng, 40, 10**6)]))]
+        # brute force: an alignment of the whole passage
+        if chaining.edit_matches(np.array(passage), np.array(changed)) >= 0.82 * max(n, len(changed)):
+            kinds[2 * k + 1] = (n, rate)
+    got = {r["doc_id"]: r for r in chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {}
+    for i, kind in kinds.items():
+        found.setdefault(kind, []).append(got[i]["n_removed"] >= 0.7 * kind[0])
+    recall = {kind: sum(x) / len(x) for kind, x in found.items()}
+    print(recall)
+    assert all(x >= {0.06: 0.97, 0.10: 0.94, 0.14: 0.75}[rate] for (_, rate), x in recall.items())
+    assert all(got[i]["n_removed"] == 0 for i in range(0, 480, 2))
+
+
+def test_matches_across_partition_edges(spark):
+    """One seed held by every document goes over many range partitions: first and preceding documents are still those of the whole table."""
+    rng = random.Random(6)
+    line = words(rng, 12, 10**6)
+    df = spark.createDataFrame([(i, f"{words(rng, 8, 10**6)} {line} {words(rng, 8, 10**6)}") for i in range(3000)], "doc_id long, text binary")
+    for n in (3, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            got = chaining.seed_matches(df.repartition(4)).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 8)
+        by = {}
+        for r in got:
+            by.setdefault((r["doc"], r["m"]["place"]), set()).add(r["m"]["src"])
+        assert {d for d, _ in by} == set(range(1, 3000))
+        assert all(v == {0, d - 1} for (d, _), v in by.items())
+
+
 def test_chain_takes_the_best_path():
-    seg = np.array([[0, 0, 20, 0, 0], [22, 22, 20, 1, 1], [10, 200, 8, 2, 2], [50, 50, 10, 3, 3]])
+    seg = np.array([[0, 0, 20, 1], [22, 22, 20, 1], [10, 200, 8, 1], [50, 50, 10, 1]])
     assert chaining.chain(seg, 0.25, 40)[0] == [0, 1, 3]
 
 
