@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 
 #: A maximal run of word characters and hyphens that begins and ends with a word character.
-RUN = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_-]*[\p{L}\p{N}_])?"
+RUN = r"[\p{L}\p{N}_]+(?:-+[\p{L}\p{N}_]+)*"
 WORD = r"[\p{L}\p{N}_]+"
 #: The line ends that count: carriage return with or without line feed, and the rarer separators.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
@@ -31,13 +31,17 @@ def all_matches(text: Column, pattern: str) -> Column:
 def tokens(text: Column, preserved: Iterable[str] = K.PRESERVED_TERMS) -> Column:
     """Distinct index tokens: preserved substrings, runs, and their pieces at ``-`` and ``_``, longer than one character."""
     low = F.lower(text)
-    runs = all_matches(low, RUN)
-    kept = F.filter(F.array(*[F.lit(t) for t in preserved]).cast("array<string>"), lambda t: F.contains(low, t))
 
-    def pieces(mark: str) -> Column:
-        return F.flatten(F.transform(runs, lambda w: F.split(w, mark)))
+    def of(x: Column) -> Column:
+        kept = F.filter(F.array(*[F.lit(t) for t in preserved]).cast("array<string>"), lambda t: F.contains(x["low"], t))
 
-    return F.array_distinct(F.filter(F.concat(kept, runs, pieces("-"), pieces("_")), lambda t: F.length(t) > 1))
+        def pieces(mark: str) -> Column:
+            return F.flatten(F.transform(F.filter(x["runs"], lambda w: F.contains(w, F.lit(mark))), lambda w: F.split(w, mark)))
+
+        return F.array_distinct(F.filter(F.concat(kept, x["runs"], pieces("-"), pieces("_")), lambda t: F.length(t) > 1))
+
+    # a lambda over one element binds the runs: the pattern is matched once a row
+    return F.element_at(F.transform(F.array(F.struct(low.alias("low"), all_matches(low, RUN).alias("runs"))), of), 1)
 
 
 def normalize_query(text: Column) -> Column:
@@ -54,10 +58,19 @@ def exact_phrase(query: Column, content: Column) -> Column:
     return F.contains(F.lower(content), F.lower(query))
 
 
+def word_set(text: Column) -> Column:
+    return F.array_distinct(all_matches(F.lower(text), WORD))
+
+
+def set_overlap(q: Column, c: Column) -> Column:
+    """Jaccard similarity of two sets; 0 if the first is empty."""
+    both = F.size(F.array_intersect(q, c))
+    return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(both / (F.size(q) + F.size(c) - both))
+
+
 def overlap(query: Column, content: Column) -> Column:
     """Jaccard similarity of the distinct words; 0 for an empty query."""
-    q, c = (F.array_distinct(all_matches(F.lower(x), WORD)) for x in (query, content))
-    return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(q, c)) / F.size(F.array_union(q, c)))
+    return set_overlap(word_set(query), word_set(content))
 
 
 def quality(content: Column, min_length: int = 50) -> Column:

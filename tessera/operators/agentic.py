@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import json_check, json_list
 from ..models import Llm, complete
+from ..sources.shared import materialise
 
 MAX_ITERATIONS, MAX_QUESTIONS, MAX_GAPS, POOL_KEY = 3, 4, 3, 80
 
@@ -38,6 +39,45 @@ def self_check(answers: DataFrame, model: Llm) -> DataFrame:
     return answers.withColumn("check", json_check(complete(prompt, model)))
 
 
+def rank_pools(pool: DataFrame, k: int) -> DataFrame:
+    """``rank_pool`` inside each question: pool(query_id, order, key, content, score) -> the k best, with rank."""
+    first = Window.partitionBy("query_id", F.substring("content", 1, POOL_KEY)).orderBy(F.desc(F.round("score", 9)), "order", "key")
+    best = pool.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "order", "key")
+    return best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
+def run_all(questions: DataFrame, search: Callable[[DataFrame, int], DataFrame], generate: Callable[[DataFrame], DataFrame], model: Llm, k: int = 7, max_iterations: int = 2) -> DataFrame:
+    """The loop for all questions at once: ``(query_id, answer, iterations, complete, confidence)``.
+
+    An iteration searches every open question's parts in one batch, pools, answers and checks; questions
+    that are incomplete with gaps go on. Nothing but the number of open questions reaches the driver.
+    """
+    if not 1 <= max_iterations <= MAX_ITERATIONS:
+        raise ValueError(f"max_iterations must be between 1 and {MAX_ITERATIONS}")
+    questions = questions.select("query_id", "query")
+    state = questions.select("query_id", F.lit("").alias("answer"), F.lit(0).cast("long").alias("iterations"), F.lit(False).alias("complete"), F.lit(0.0).alias("confidence"))
+    open_, pool = materialise(decompose(questions, model).select("query_id", F.posexplode("sub_questions").alias("pos", "part"))), None
+    for i in range(max_iterations):
+        name = F.concat_ws("#", F.col("query_id").cast("string"), F.col("pos").cast("string"))
+        parts = open_.withColumn("_part", name)
+        most = F.greatest(F.lit(3), F.floor(F.lit(k) / F.greatest(F.count("*"), F.lit(1))) + 2)
+        allowed = open_.groupBy("query_id").agg(most.alias("_most"))
+        hits = search(parts.select(F.col("_part").alias("query_id"), F.col("part").alias("query")), max(3, k + 2)).select(F.col("query_id").alias("_part"), "rank", "key", "content", "score")
+        found = hits.join(parts.select("_part", "query_id", (F.col("pos") + 100 * i).alias("order")), "_part").join(allowed, "query_id").where("rank <= _most")
+        found = found.select("query_id", "order", "key", "content", "score")
+        pool = materialise(found if pool is None else pool.unionByName(found))
+        ranked = rank_pools(pool, k).join(open_.select("query_id").distinct(), "query_id", "left_semi")
+        context = ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]).alias("context"))
+        checked = self_check(generate(questions.join(context, "query_id")), model)
+        answered = materialise(checked.select("query_id", "answer", F.lit(i + 1).cast("long").alias("iterations"), "check.complete", "check.confidence", "check.gaps"))
+        state = state.join(answered.select("query_id"), "query_id", "left_anti").unionByName(answered.drop("gaps"))
+        open_ = materialise(answered.where("not complete").select("query_id", F.posexplode(F.slice("gaps", 1, MAX_GAPS)).alias("pos", "part")))
+        if not open_.limit(1).count():
+            break
+    return state
+
+
 @dataclass
 class Run:
     query: str

@@ -46,6 +46,20 @@ def put(cache: DataFrame, entries: DataFrame, as_of: Column, max_size: int = DEF
     return evict(cache.join(entries.select("id"), "id", "left_anti").unionByName(fresh), as_of, max_size, ttl_seconds)
 
 
+def clear(cache: DataFrame) -> DataFrame:
+    """The cache without its entries."""
+    return cache.limit(0)
+
+
+def save(cache: DataFrame, path: str) -> None:
+    cache.write.mode("overwrite").parquet(path)
+
+
+def load(spark, path: str, as_of: Column, ttl_seconds: float = DEFAULTS.CACHE_TTL_SECONDS) -> DataFrame:
+    """A saved cache without the entries that have expired since."""
+    return spark.read.parquet(path).where(~expired(F.col("created_at"), as_of, ttl_seconds))
+
+
 def stats(cache: DataFrame, as_of: Column, ttl_seconds: float = DEFAULTS.CACHE_TTL_SECONDS, max_size: int = DEFAULTS.CACHE_MAX_SIZE) -> DataFrame:
     return cache.agg(F.count("*").alias("size"), F.count_if(expired(F.col("created_at"), as_of, ttl_seconds)).alias("expired")).withColumn("max_size", F.lit(max_size).cast("long"))
 

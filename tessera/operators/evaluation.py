@@ -54,7 +54,5 @@ def best_configs(runs: DataFrame, name: str = "config") -> DataFrame:
 
 
 def means_by(runs: DataFrame, *keys: str) -> DataFrame:
-    """Mean precision by each key on its own (grouping sets): one row for each key's value."""
-    sets = ", ".join(f"({k})" for k in keys)
-    runs.createOrReplaceTempView("_tessera_runs")
-    return runs.sparkSession.sql(f"select {', '.join(keys)}, avg(precision) as precision, avg(latency_ms) as latency_ms from _tessera_runs group by grouping sets ({sets})")
+    """Mean precision and latency by each key on its own (grouping sets): one row for each key's value."""
+    return runs.groupingSets([[F.col(k)] for k in keys], *keys).agg(F.avg("precision").alias("precision"), F.avg("latency_ms").alias("latency_ms"))

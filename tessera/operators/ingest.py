@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions.splitter import split_column
 from ..models import Embedder, embed
-
-
-def document_id(title: Column, content: Column) -> Column:
-    """A deterministic id, so that ingesting a document again finds it."""
-    return F.sha2(F.concat_ws("\n", title, content), 256)
+from ..sources.shared import materialise
+from . import sections
 
 
 def contextual_prefix(title: Column, content: Column) -> Column:
@@ -29,9 +26,13 @@ def chunk(docs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 def embed_chunks(chunks: DataFrame, model: Embedder, settings: Settings = DEFAULTS) -> DataFrame:
     """Chunks with ``embedding``; chunks whose embedding failed drop out, the others are numbered anew."""
     text = contextual_prefix(F.col("title"), F.col("content")) if settings.USE_CONTEXTUAL_PREFIX else F.col("content")
-    good = chunks.withColumn("embedding", embed(text, model)).where(F.size("embedding") > 0)
+    return renumbered(chunks.withColumn("embedding", embed(text, model)))
+
+
+def renumbered(chunks: DataFrame) -> DataFrame:
+    """Chunks that have a vector, numbered anew from 0 in each document."""
     order = Window.partitionBy("doc_id").orderBy("chunk_index")
-    return good.withColumn("chunk_index", F.row_number().over(order) - 1)
+    return chunks.where(F.size("embedding") > 0).withColumn("chunk_index", F.row_number().over(order) - 1)
 
 
 def ingest(docs: DataFrame, model: Embedder, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
@@ -44,13 +45,48 @@ def ingest(docs: DataFrame, model: Embedder, settings: Settings = DEFAULTS) -> t
     return chunks, report
 
 
+def ingest_sections(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(section tree, report): the section-tree way in, without chunks or vectors."""
+    tree = sections.build_sections(docs)
+    counts = tree.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    report = docs.select("doc_id").join(counts, "doc_id", "left").select(
+        "doc_id", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.when(F.col("n_chunks").isNull(), "no section").alias("error")
+    )
+    return tree, report
+
+
+METHODS = ("hybrid", "pageindex", "both")
+
+
+def dispatch(docs: DataFrame, method: str, model: Embedder, settings: Settings = DEFAULTS) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
+    """(chunks, section tree, merged counts) of an ingest by chunks and vectors, by section trees, or both.
+
+    Chunks and errors of both ways add up; ``successful`` is the larger of the two.
+    """
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {', '.join(METHODS)}")
+    chunks = tree = None
+    reports = []
+    if method in ("hybrid", "both"):
+        chunks, report = ingest(docs, model, settings)
+        reports.append(totals(report))
+    if method in ("pageindex", "both"):
+        tree, report = ingest_sections(docs)
+        reports.append(totals(report))
+    counts = reports[0] if len(reports) == 1 else reports[0].unionByName(reports[1])
+    return chunks, tree, counts.agg(F.max("successful").alias("successful"), F.sum("errors").alias("errors"), F.sum("chunks").alias("chunks"))
+
+
 def totals(report: DataFrame) -> DataFrame:
     return report.agg(F.count_if(F.col("error").isNull()).alias("successful"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("chunks"))
 
 
 def batches(docs: DataFrame, key: str, size: int) -> DataFrame:
-    """Batch numbers from 1 in key order: positions inside range partitions plus the partitions' offsets."""
-    ordered = docs.repartitionByRange(key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    """Batch numbers from 1 in key order: positions inside range partitions plus the partitions' offsets.
+
+    The numbered rows are checkpointed: both readers below see the same partitions, also after a retry.
+    """
+    ordered = materialise(docs.repartitionByRange(key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
     counts = ordered.groupBy("_p").agg(F.count("*").alias("_c"), F.min("_i").alias("_first"))
     # one row for each partition
     offset = counts.withColumn("_off", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")

@@ -5,6 +5,10 @@ term frequency is 1 and a chunk's length is its number of distinct tokens), ``te
 and the one-row ``corpus(n, avgdl)`` are aggregates of it. Searching a batch of queries is an
 equi-join on token and a grouped sum: only chunks that share a token with a query are ever touched.
 A common token makes many postings, not a hot task: the join is an inner equi-join that AQE splits.
+
+Tokens are made once a build: the exploded rows, with one marker row (a null token) for each chunk,
+are checkpointed and every table is read off them. A batch of queries with up to ``BROADCAST_TOKENS``
+tokens is broadcast, so the postings are scanned and filtered without an exchange.
 """
 
 from __future__ import annotations
@@ -17,6 +21,10 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..constants import PRESERVED_TERMS
 from ..functions.text import tokens
+from ..sources.shared import materialise
+
+#: Rows of (query, token) that are broadcast; a row is under 100 bytes unless a token is very long.
+BROADCAST_TOKENS = 100_000
 
 
 @dataclass
@@ -39,9 +47,9 @@ def with_tokens(chunks: DataFrame, text: str = "content", preserved=PRESERVED_TE
     return chunks.withColumn("tokens", tokens(F.coalesce(F.col(text), F.lit("")), preserved))
 
 
-def statistics(chunks_with_tokens: DataFrame) -> DataFrame:
-    """One row: number of chunks and mean length; a mean of 0 counts as 1."""
-    got = chunks_with_tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+def statistics(lengths: DataFrame) -> DataFrame:
+    """One row: number of chunks and mean of ``dl``; a mean of 0 counts as 1."""
+    got = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     return got.select("n", F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0).alias("avgdl"))
 
 
@@ -54,24 +62,33 @@ def term_table(postings: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def build_index(chunks: DataFrame, key: str = "chunk_id", text: str = "content", preserved=PRESERVED_TERMS) -> LexicalIndex:
     tokenised = with_tokens(chunks.select(F.col(key), F.col(text)), text, preserved)
-    postings = tokenised.select(F.col(key).alias("key"), F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
-    corpus = statistics(tokenised)
+    marked = F.concat("tokens", F.array(F.lit(None).cast("string")))
+    rows = materialise(tokenised.select(F.col(key).alias("key"), F.size("tokens").alias("dl"), F.explode(marked).alias("token")))
+    postings, corpus = rows.where("token is not null"), statistics(rows.where("token is null"))
     return LexicalIndex(postings, term_table(postings, corpus), corpus)
 
 
+def combined(parts: DataFrame) -> DataFrame:
+    """The corpus row of several parts' rows."""
+    return parts.agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.col("n") * F.col("avgdl")) / F.sum("n"), F.lit(1.0)).alias("avgdl"))
+
+
 def append(index: LexicalIndex, chunks: DataFrame, key: str = "chunk_id", text: str = "content") -> LexicalIndex:
     """Index with more chunks: postings are appended, the aggregates follow from sums."""
     new = build_index(chunks, key, text)
     postings = index.postings.unionByName(new.postings)
-    both = index.corpus.unionByName(new.corpus)
-    corpus = both.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("avgdl")) / F.sum("n")).alias("avgdl"))
+    corpus = combined(index.corpus.unionByName(new.corpus))
     return LexicalIndex(postings, term_table(postings, corpus), corpus)
 
 
 def scores(index: LexicalIndex, queries: DataFrame, text: str = "query", settings: Settings = DEFAULTS, preserved=PRESERVED_TERMS) -> DataFrame:
     """``(query_id, key, score)`` of every chunk that shares a token with a query."""
     wanted = queries.select("query_id", F.explode(tokens(F.col(text), preserved)).alias("token"))
-    weighted = wanted.join(index.terms.select("token", "idf"), "token")
+    if wanted.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS:
+        # terms of the queries only, so not more rows than the queries have tokens
+        weighted = F.broadcast(index.terms.select("token", "idf").join(F.broadcast(wanted), "token"))
+    else:
+        weighted = wanted.join(index.terms.select("token", "idf"), "token")
     k1, b = settings.BM25_K1, settings.BM25_B
     part = F.col("idf") * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     joined = index.postings.join(weighted, "token").crossJoin(F.broadcast(index.corpus.select("avgdl")))

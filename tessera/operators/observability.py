@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import SEARCH_BUCKETS
+
 
 def counter(events: DataFrame, *labels: str) -> DataFrame:
     return events.groupBy(*labels).agg(F.count("*").alias("n"))
@@ -21,28 +24,48 @@ def histogram(events: DataFrame, value: str, buckets: tuple[float, ...], *labels
     return got.select(*labels, F.explode(F.array(*rows)).alias("_x"), "total", "count").select(*labels, "_x.le", "_x.n", "total", "count")
 
 
-def nearest_rank(events: DataFrame, value: str, shares: dict[str, float], *labels: str) -> DataFrame:
-    """sorted[int(n * p)] per label without collecting values: cumulative counts of distinct values.
+def order_statistics(events: DataFrame, value: str, places: dict[str, Callable[[Column], Column]], *labels: str, buckets: int = 256) -> DataFrame:
+    """(labels, n, min, max, one column for each name): the value at 0-based place ``places[name](n)`` of each label's sorted values.
 
-    Each distinct value is one row with its count; the wanted one is the first whose cumulative count
-    exceeds floor(n * p).
+    Values are counted in ``buckets`` equal ranges between a label's extremes; only the ranges that
+    hold a wanted place are counted value by value, so no task sorts a label's values.
     """
     from pyspark.sql import Window
 
-    counts = events.where(F.col(value).isNotNull()).groupBy(*labels, value).agg(F.count("*").alias("c"))
-    order = Window.partitionBy(*labels).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*labels)
-    upto = counts.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(every))
-    picks = [F.min(F.when(F.col("upto") > F.floor(F.col("n") * p), F.col(value))).alias(name) for name, p in shares.items()]
-    return upto.groupBy(*labels).agg(F.max("n").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), *picks)
+    known = events.where(F.col(value).isNotNull()).select(*labels, F.col(value).alias("_v"))
+    span = known.groupBy(*labels).agg(F.count("*").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    on = [F.col(f"k.{c}").eqNullSafe(F.col(f"s.{c}")) for c in labels]
+    width = F.col("max") - F.col("min")
+    place = F.when(width > 0, F.least(F.lit(buckets - 1), F.floor((F.col("_v") - F.col("min")) / width * buckets))).otherwise(0)
+    joined = known.alias("k").join(span.alias("s"), reduce(lambda a, b: a & b, on, F.lit(True)))
+    dealt = joined.select(*[F.col(f"k.{c}").alias(c) for c in labels], "_v", place.cast("int").alias("_b"), "n")
+    sizes = dealt.groupBy(*labels, "_b").agg(F.count("*").alias("_c"), F.max("n").alias("n"))
+    before = Window.partitionBy(*labels).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), at(F.col("n")).cast("long").alias("at")) for name, at in places.items()])
+    asked = sizes.withColumn("_w", F.explode(wanted)).where("_w.at >= _before and _w.at < _before + _c").select(*[F.col(c).alias(f"_l_{c}") for c in labels], F.col("_b").alias("_wb"), "_before", "_w.name", "_w.at")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_l_{c}")) for c in labels], F.col("_b") == F.col("_wb"))
+    counts = dealt.groupBy(*labels, "_b", "_v").agg(F.count("*").alias("_n")).join(asked, same)
+    upto = Window.partitionBy(*labels, "_b", "name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    reached = counts.withColumn("_upto", F.col("_before") + F.sum("_n").over(upto)).where("_upto > at")
+    picks = reached.groupBy(*labels).agg(*[F.min(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in places])
+    both = reduce(lambda a, b: a & b, [F.col(f"s.{c}").eqNullSafe(F.col(f"p.{c}")) for c in labels], F.lit(True))
+    return span.alias("s").join(picks.alias("p"), both).select(*[F.col(f"s.{c}").alias(c) for c in labels], "n", "min", "max", *places)
+
+
+def nearest_rank(events: DataFrame, value: str, shares: dict[str, float], *labels: str) -> DataFrame:
+    """sorted[int(n * p)] of each label, and its extremes."""
+    return order_statistics(events, value, {name: (lambda n, p=p: F.floor(n * p)) for name, p in shares.items()}, *labels)
 
 
 def summary(events: DataFrame, value: str, *labels: str) -> DataFrame:
-    """Mean, minimum, maximum, median and sample deviation (0 for one value)."""
+    """Mean, minimum, maximum, median (mean of the middle two) and sample deviation (0 for one value)."""
     deviation = F.when(F.count(value) > 1, F.stddev_samp(value)).otherwise(0.0)
-    return events.groupBy(*labels).agg(
-        F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.percentile(value, F.lit(0.5)).alias("median"), deviation.alias("stdev")
-    )
+    means = events.where(F.col(value).isNotNull()).groupBy(*labels).agg(F.avg(value).alias("mean"), deviation.alias("stdev"))
+    middle = order_statistics(events, value, {"_a": lambda n: F.floor((n - 1) / 2), "_b2": lambda n: F.floor(n / 2)}, *labels)
+    same = reduce(lambda a, b: a & b, [F.col(f"m.{c}").eqNullSafe(F.col(f"o.{c}")) for c in labels], F.lit(True))
+    joined = means.alias("m").join(middle.alias("o"), same)
+    return joined.select(*[F.col(f"m.{c}").alias(c) for c in labels], "mean", "min", "max", ((F.col("_a") + F.col("_b2")) / 2).alias("median"), "stdev")
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -93,5 +116,48 @@ def cache_effect(events: DataFrame, hit: str, seconds: str) -> DataFrame:
     return got.select((h * 100).alias("hit_rate"), effective.alias("effective_latency"), ratio(b, effective).alias("throughput_gain"))
 
 
-def stack_batches(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+def search_times(events: DataFrame, endpoint: str, seconds: str) -> DataFrame:
+    """Only the search endpoint observes a search time, labelled ``hybrid``."""
+    return histogram(events.where(F.col(endpoint) == "/search").withColumn("method", F.lit("hybrid")), seconds, SEARCH_BUCKETS, "method")
+
+
+def session_counters(events: DataFrame, hit: str, documents: str, chunks: str, iterations: str, evaluated: str) -> DataFrame:
+    """One row: cache hits and misses, documents and chunks ingested, agentic queries and evaluations."""
+    return events.agg(
+        F.count_if(F.col(hit)).alias("cache_hits_total"), F.count_if(~F.col(hit)).alias("cache_misses_total"), F.coalesce(F.sum(documents), F.lit(0)).alias("documents_ingested_total"),
+        F.coalesce(F.sum(chunks), F.lit(0)).alias("chunks_created_total"), F.count(iterations).alias("agentic_queries_total"), F.count(evaluated).alias("evaluation_total"),
+    )
+
+
+def exposition(metric: str, rows: DataFrame, value: str, *labels: str) -> DataFrame:
+    """Text lines ``metric{label="value",...} number`` of a counter or of a histogram's buckets."""
+    inner = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), F.col(c).cast("string"), F.lit('"')) for c in labels])
+    return rows.select(F.concat(F.lit(metric), F.lit("{"), inner, F.lit("} "), F.col(value).cast("string")).alias("line"))
+
+
+#: What to look at first, by the error's type, in our own words; the last is for all others.
+TIPS = (
+    ("KeyError", "Compare the document's fields with the expected ones; look for missing metadata."),
+    ("ValueError", "Look at the values' types and formats; look for empty or malformed content."),
+    ("UnicodeDecodeError", "Find out the file's encoding; look for binary or damaged files."),
+    ("Embedding", "Look at credentials, rate limits and the network; the text may be too long for the model."),
+    ("API", "Look at credentials, rate limits and the network; the text may be too long for the model."),
+    ("", "Read the stack trace in the detailed report; look at the document and its metadata."),
+)
+
+
+def tip(error_type: Column) -> Column:
+    out = None
+    for key, text in TIPS:
+        hit = error_type == key if key.endswith("Error") else F.contains(error_type, F.lit(key))
+        out = F.when(hit, text) if out is None else out.when(hit, text)
+    return out
+
+
+def health(vectors: DataFrame | None, model_available: bool) -> dict[str, object]:
+    """Status of the engine: healthy if the vector table can be read and the model answers."""
+    try:
+        ok = vectors is not None and vectors.limit(1).count() >= 0
+    except Exception:  # noqa: BLE001  a table may be unreadable in any way
+        ok = False
+    return {"status": "healthy" if ok and model_available else "degraded", "vector_store_connected": ok, "llm_available": model_available}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions.text import json_nodes
 from ..models import Embedder, HashEmbedder, Llm, RuleLlm, complete, embed
+from ..sources.shared import materialise
 from . import agentic, cache, evaluation, fusion, ingest, lexical, prompts, sections, vector
 
 #: name, search method, heuristics
@@ -21,7 +22,8 @@ class Corpus:
         self.embedder, self.settings = embedder or HashEmbedder(), settings
         key = F.concat_ws("#", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))
         rows = ingest.embed_chunks(ingest.chunk(docs, settings), self.embedder, settings)
-        self.chunks = rows.withColumn("key", key)
+        # every search reads chunks, vectors and postings: nothing is split or embedded twice
+        self.chunks = materialise(rows.withColumn("key", key))
         self.index = lexical.build_index(self.chunks, "key")
 
     def search(self, queries: DataFrame, k: int, method: str = "rrf", heuristics: bool | None = None, rerank=None) -> DataFrame:
@@ -71,34 +73,31 @@ def answer_cached(store: DataFrame, docs: DataFrame, queries: DataFrame, as_of,
 
 
 def answer_agentic(docs: DataFrame, queries: DataFrame, k: int, max_iterations: int = 2, embedder: Embedder | None = None, model: Llm | None = None) -> DataFrame:
-    """The loop for each of a few questions: ``(query_id, answer, iterations, complete, confidence)``."""
-    spark, corpus, model = docs.sparkSession, Corpus(docs, embedder), model or RuleLlm()
+    """The loop for all questions as one batch: ``(query_id, answer, iterations, complete, confidence)``."""
+    corpus, model = Corpus(docs, embedder), model or RuleLlm()
+    return agentic.run_all(queries, corpus.search, lambda rows: generate(rows, model), model, k, max_iterations)
 
-    def answer_from(question: DataFrame, ranked: DataFrame) -> DataFrame:
-        context = ranked.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]).alias("context"))
-        return generate(question.crossJoin(context), model)
 
-    rows = []
-    for q in queries.select("query_id", "query").collect():  # questions of a session, not data
-        log, _ = agentic.run(spark, q["query"], corpus.search, answer_from, model, k, max_iterations)
-        rows.append((q["query_id"], log.answer, len(log.iterations), log.complete, log.confidence))
-    return spark.createDataFrame(rows, "query_id long, answer string, iterations long, complete boolean, confidence double")
+def against_all(rows: DataFrame, questions: DataFrame, broadcast_rows: int = 1000) -> DataFrame:
+    """A stated set of questions against all rows: up to ``broadcast_rows`` are broadcast, more are dealt into blocks joined by equality."""
+    if questions.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return rows.crossJoin(F.broadcast(questions))
+    blocks = -(-questions.count() // broadcast_rows)
+    shares = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = questions.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    held = rows.withColumn("_share", F.floor(F.rand(7) * shares).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return held.join(dealt, ["_block", "_share"]).drop("_block", "_share")
 
 
 def answer_from_sections(docs: DataFrame, queries: DataFrame, k: int, model: Llm | None = None, broadcast_rows: int = 1000) -> DataFrame:
     """Section-tree retrieval: the model picks node ids from every document's table of contents, in parallel.
 
-    Up to ``broadcast_rows`` questions are broadcast; more are dealt into blocks joined by equality.
+    Questions meet the tables of contents as ``against_all`` says.
     """
     model = model or RuleLlm()
     tree = sections.build_sections(docs)
     contents, questions = sections.toc(tree), queries.select("query_id", "query")
-    if questions.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        asked = contents.crossJoin(F.broadcast(questions))
-    else:
-        blocks = -(-questions.count() // broadcast_rows)
-        dealt = questions.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        asked = contents.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "_block").drop("_block")
+    asked = against_all(contents, questions, broadcast_rows)
     reply = complete(F.concat(F.lit("TASK navigate\n"), F.col("toc"), F.lit("\nQuestion: "), F.col("query")), model)
     choices = asked.select("query_id", "doc_id", F.col("doc_id").alias("doc_ord"), F.slice(json_nodes(reply), 1, 4).alias("ids"))
     best = sections.rank_sections(choices, tree, k)

@@ -1,9 +1,9 @@
 """Vector search: exact, and an approximate form with a recall knob.
 
 The exact form compares a batch of query vectors with all stored vectors. The query side is counted
-first: up to ``BROADCAST_ROWS`` it is broadcast, beyond that queries are dealt into blocks that are
-joined to the stored vectors one equi-join each, so nothing unbounded is ever broadcast. The result
-keeps k rows per query: the window's group limit prunes before the shuffle.
+first: up to ``BROADCAST_NUMBERS`` vector components it is broadcast, beyond that queries are dealt into
+blocks, and stored vectors into shares of each block, that meet in one equi-join: as many tasks as
+blocks times shuffle partitions, and nothing unbounded is ever broadcast. The result keeps k rows per query: the window's group limit prunes before the shuffle.
 """
 
 from __future__ import annotations
@@ -13,24 +13,27 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, norm
 
-BROADCAST_ROWS = 50_000
+#: Components (queries x dimension) that are broadcast: 32 MB of doubles.
+BROADCAST_NUMBERS = 4_000_000
 
 
 def _with_unit(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("_norm", norm(F.col(column)))
 
 
-def similarities(vectors: DataFrame, queries: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def similarities(vectors: DataFrame, queries: DataFrame, broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
     """``(query_id, key, score)`` for vectors(key, embedding) and queries(query_id, embedding); zero norms score 0."""
     stored = _with_unit(vectors.select("key", "embedding"), "embedding")
     asked = _with_unit(queries.where("embedding is not null").select("query_id", F.col("embedding").alias("q")), "q").withColumnRenamed("_norm", "_qnorm")
-    n = asked.limit(broadcast_rows + 1).count()
-    if n <= broadcast_rows:
+    size = asked.agg(F.coalesce(F.sum(F.size("q")), F.lit(0))).first()[0]
+    if size <= broadcast_numbers:
         pairs = stored.crossJoin(F.broadcast(asked))
     else:
-        blocks = -(-asked.count() // broadcast_rows)
-        asked = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        pairs = stored.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "_block")
+        blocks, shares = -(-size // broadcast_numbers), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        dealt = dealt.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+        held = stored.withColumn("_share", F.pmod(F.xxhash64("key"), F.lit(shares)).cast("int"))
+        pairs = held.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(int(blocks - 1))))).join(dealt, ["_block", "_share"])
     lengths = F.col("_norm") * F.col("_qnorm")
     score = F.when(lengths > 0, dot(F.col("embedding"), F.col("q")) / lengths).otherwise(0.0)
     return pairs.select("query_id", "key", score.alias("score"))
@@ -42,6 +45,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
+def save(vectors: DataFrame, path: str) -> None:
+    """The stored vectors as a Parquet table; ``load`` reads them back, nothing is embedded again."""
+    vectors.write.mode("overwrite").parquet(path)
+
+
+def load(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def search_approximate(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 12, bits: int = 8, seed: int = 11) -> DataFrame:
     """Candidates by sign-bit hash tables (equi-join per table and bucket), then exact scores.
 

@@ -7,6 +7,7 @@ they rank; ties fall to the smaller key; counts and ranks are BIGINT.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from .. import constants as K
 from ..functions import text as T
 from ..functions.splitter import split_column
 from ..functions.vectors import normalize
-from ..operators import agentic, cache, evaluation, fusion, ingest, lexical, observability, pipelines, sections, vector
+from ..sources.shared import materialise
+from ..operators import agentic, cache, evaluation, fusion, ingest, lexical, observability, pipelines, prompts, sections, shaping, vector
 from . import oracle_parts as O
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -227,10 +229,71 @@ def chunk_quality(spark, d):
     return documents(spark, d).select(F.col("key").alias("doc_id"), r6(T.quality(F.col("content")), "quality"))
 
 
-@register(f"with query as (select text as query from benchmark order by item_id limit 1) select doc_id, round({O.overlap('query', 'text')}, 6) as overlap, contains(lower(text), lower(query)) as exact from documents, query")
+@register(f"""{_BENCH} x as (select query_id, {O.overlap('query', 'text')} as overlap, contains(lower(text), lower(query)) as exact from documents, query)
+ select query_id, count(*) filter (exact)::bigint as exact, round(max(overlap), 6) as best, round(avg(overlap), 6) as mean from x group by query_id""")
 def query_overlap(spark, d):
-    rows = documents(spark, d).crossJoin(F.broadcast(one_query(spark, d)))
-    return rows.select(F.col("key").alias("doc_id"), r6(T.overlap(F.col("query"), F.col("content")), "overlap"), T.exact_phrase(F.col("query"), F.col("content")).alias("exact"))
+    """All passages against all documents; a text's words are split once, not once a pair."""
+    docs = documents(spark, d).select(F.lower("content").alias("content"), T.word_set(F.col("content")).alias("words"))
+    asked = bench_queries(spark, d).select("query_id", F.lower("query").alias("query"), T.word_set(F.col("query")).alias("asked"))
+    pairs = pipelines.against_all(docs, asked)
+    score = T.set_overlap(F.col("asked"), F.col("words"))
+    return pairs.groupBy("query_id").agg(F.count_if(F.contains("content", F.col("query"))).alias("exact"), r6(F.max(score), "best"), r6(F.avg(score), "mean"))
+
+
+@register(rf"""select conv_id, turn, case when regexp_matches(text, '^\s*#') then text else '# Turn ' || turn || chr(10) || chr(10) || text end as content,
+ case when regexp_matches(text, '^\s*#') then null else 'Turn ' || turn end as title from conversations""")
+def titled_turns(spark, d):
+    name = F.concat(F.lit("Turn "), F.col("turn"))
+    rows = read(spark, d, "conversations").select("conv_id", "turn", F.col("text"), T.ensure_h1(name, F.col("text")).alias("content"))
+    own = F.regexp_like("text", F.lit(r"^\s*#"))
+    return rows.select("conv_id", "turn", "content", F.when(~own, T.title(F.col("content"), F.lit("turn.md"))).alias("title"))
+
+
+@register("""select event_id, case event_id % 4 when 0 then '1.' || user_id || '|2' when 2 then 'n' || user_id else '' end as nodes,
+ case event_id % 4 when 0 then 'alpha ' || event_id when 1 then 'beta ' || event_id when 2 then 'a long quoted ' || event_id end as parts,
+ event_id % 4 = 3 as complete, case event_id % 4 when 0 then 1.0 when 1 then 0.25 when 2 then 0.75 else 0.5 end::double as confidence, case event_id % 4 when 0 then 'g' || event_id else '' end as gaps,
+ case event_id % 4 when 2 then 'r' || user_id else '' end as reason from events""")
+def reply_parsing(spark, d):
+    """Replies of a model in good, embedded, broken and unreadable form, parsed."""
+    e = read(spark, d, "events")
+    by = lambda *x: reduce(lambda out, i: out.when(F.col("event_id") % 4 == i, x[i]), range(1, len(x) - 1), F.when(F.col("event_id") % 4 == 0, x[0])).otherwise(x[-1])
+    u, i, t = F.col("user_id").cast("string"), F.col("event_id").cast("string"), F.lit
+    nodes = by(F.concat(t('Sure: {"relevant_nodes": ["1.'), u, t('", "", "2"]} done')), t('{"relevant_nodes": []}'), F.concat(t('{"relevant_nodes": ["n'), u, t('"]}')), t("none"))
+    parts = by(F.concat(t('["alpha '), i, t('", " "]')), F.concat(t('text ["beta '), i, t('"] end')), F.concat(t('say "a long quoted '), i, t('" here')), t("nothing"))
+    checked = by(F.concat(t('{"complete": false, "confidence": 1.5, "gaps": ["g'), i, t('"]}')), t('x {"complete": false, "confidence": 0.25} y'), F.concat(t('"complete": False and "confidence": 0.75, "reason": "r'), u, t('"')), t("garbage"))
+    got = e.select("event_id", T.json_nodes(nodes).alias("nodes"), T.json_list(parts).alias("parts"), T.json_check(checked).alias("c"), T.json_reason(checked).alias("reason"))
+    return got.select("event_id", F.array_join("nodes", "|").alias("nodes"), F.array_join("parts", "|").alias("parts"), "c.complete", "c.confidence", F.array_join("c.gaps", "|").alias("gaps"), "reason")
+
+
+_CLASS_TEXT = "case " + " ".join(f"when {O.classify('text')} = {O.lit(k)} then {O.lit(v)}" for k, v in prompts.INSTRUCTIONS.items()) + " end"
+
+
+@register(f"select conv_id, turn, 'TASK answer' || chr(10) || {_CLASS_TEXT} || chr(10) || chr(10) || 'first' || chr(10) || chr(10) || role || chr(10) || chr(10) || 'Question: ' || text as prompt from conversations")
+def answer_prompts(spark, d):
+    rows = read(spark, d, "conversations")
+    return rows.select("conv_id", "turn", prompts.for_class(F.col("text"), F.array(F.lit("first"), F.col("role"))).alias("prompt"))
+
+
+_META = """m as (select page_id, url, html, case page_id % 3 when 0 then 'Kubernetes' when 1 then 'other' end as source, case page_id % 4 when 0 then null when 1 then '' else 'docs/page' || page_id || '.md' end as file,
+ case when page_id % 5 = 0 then 'd' || page_id end as document_id, case when page_id % 2 = 0 then 'T' || page_id end as title, case when page_id % 7 = 0 then '' else 'cat' end as category from pages)"""
+
+
+@register(f"""with {_META} select page_id as query_id, 1::bigint as rank, 1.0::double as score, substr(html, 1, 200) as content, coalesce(document_id, nullif(file, ''), 'unknown') as document_id, coalesce(title, nullif(category, '')) as title,
+ case when source = 'Kubernetes' and coalesce(file, '') <> '' then 'https://kubernetes.io/docs/docs/page' || page_id || '/' end as url, nullif(file, '') as file_path from m""")
+def search_results(spark, d):
+    """Result rows with their fallbacks: missing and empty files, ids, titles and sources."""
+    p, page = read(spark, d, "pages"), F.col("page_id")
+    file = F.when(page % 4 == 0, None).when(page % 4 == 1, "").otherwise(F.concat(F.lit("docs/page"), page, F.lit(".md")))
+    entries = {"source": F.when(page % 3 == 0, "Kubernetes").when(page % 3 == 1, "other"), "file": file, "document_id": F.when(page % 5 == 0, F.concat(F.lit("d"), page)), "title": F.when(page % 2 == 0, F.concat(F.lit("T"), page)), "category": F.when(page % 7 == 0, "").otherwise("cat")}
+    metadata = F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v)])
+    return shaping.search_results(p.select(page.alias("query_id"), F.lit(1).cast("bigint").alias("rank"), F.lit(1.0).alias("score"), F.col("html").alias("content"), metadata.alias("metadata")))
+
+
+@register("""select conv_id as doc_id, row_number() over (partition by conv_id order by turn) - 1 as chunk_index, turn as was from conversations where length(text) >= 60""")
+def renumbered_chunks(spark, d):
+    """Turns whose embedding failed (here: short ones) drop out; the others are numbered anew."""
+    rows = read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), F.col("turn").alias("was"), F.when(F.length("text") >= 60, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")).alias("embedding"))
+    return ingest.renumbered(rows).select("doc_id", big("chunk_index"), "was")
 
 
 _NORM = r"trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -329,6 +392,13 @@ def section_rank(spark, d):
     return sections.rank_sections(choices, tree, 25).select("doc_id", "node_id", r6("score", "score"), "rank")
 
 
+@register(f"""with {_TURNS} select doc_id, node_id, title as section_title, substr(case when level = 1 then '# ' || title || chr(10) else repeat('#', level::int) || ' ' || title || chr(10) || body end, 1, 500) as content from s""")
+def section_results(spark, d):
+    docs = markdown(spark, d)
+    hits = sections.section_text(docs, sections.build_sections(docs)).withColumnRenamed("title", "section_title")
+    return shaping.section_results(hits).select("doc_id", "node_id", "section_title", "content")
+
+
 # cache ---------------------------------------------------------------------------------------------
 
 
@@ -339,30 +409,51 @@ def response_cache(spark, d) -> DataFrame:
     return v.join(e, "id").select("id", F.concat(F.lit("q"), F.col("id")).alias("query"), F.concat(F.lit("a"), F.col("id")).alias("response"), "embedding", "created_at", F.col("created_at").alias("last_used_at"))
 
 
+CACHE_AS_OF, _TTL = "2024-01-01 12:00:00", 8 * 3600
 _CACHE = f"""c as (select v.vec_id as id, v.embedding, e.ts as created_at from embeddings v join events e on e.event_id = v.vec_id),
- as_of as (select timestamp '{AS_OF}' as t)"""
-_TTL = 20 * 86_400
+ as_of as (select timestamp '{CACHE_AS_OF}' as t)"""
+
 
+def cache_time():
+    return F.lit(CACHE_AS_OF).cast("timestamp")
 
-@register(f"""with {_CACHE}, q as (select vec_id as query_id, list_reverse(embedding) as embedding from embeddings where vec_id in (select item_id from benchmark)),
+
+@register(f"""with {_CACHE}, q as (select vec_id as query_id, case when vec_id % 2 = 0 then embedding else list_reverse(embedding) end as embedding from embeddings where vec_id in (select item_id * 7 from benchmark)),
  s as (select query_id, id, created_at, {O.cosine("c.embedding", "q.embedding")} as score from c, q),
  n as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as r from s)
- select query_id, case when ok then id end as cache_id, round(score, 6) as similarity, ok as hit from (select *, score >= 0.45 and epoch_us(t) - epoch_us(created_at) <= {_TTL}::bigint * 1000000 as ok from n, as_of where r = 1)""")
+ select query_id, case when ok then id end as cache_id, round(score, 6) as similarity, ok as hit from (select *, score >= 0.95 and epoch_us(t) - epoch_us(created_at) <= {_TTL}::bigint * 1000000 as ok from n, as_of where r = 1)""")
 def semantic_cache_lookup(spark, d):
-    asked = query_vectors(spark, d).withColumn("embedding", F.reverse("embedding"))
-    got = cache.lookup(response_cache(spark, d), asked, F.lit(AS_OF).cast("timestamp"), 0.45, _TTL)
+    """Vectors at every seventh id: even ones ask with themselves (some entries have expired), odd ones reversed."""
+    items = read(spark, d, "benchmark").select((F.col("item_id") * 7).alias("query_id"))
+    asked = items.join(read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+    asked = asked.withColumn("embedding", F.when(F.col("query_id") % 2 == 0, F.col("embedding")).otherwise(F.reverse("embedding")))
+    got = cache.lookup(response_cache(spark, d), asked, cache_time(), 0.95, _TTL)
     return got.select("query_id", "cache_id", r6("similarity", "similarity"), "hit")
 
 
 @register(f"""with {_CACHE} select id, rank from (select id, row_number() over (order by created_at desc, id desc) as rank from c, as_of where epoch_us(t) - epoch_us(created_at) <= {_TTL}::bigint * 1000000) where rank <= 50""")
 def cache_lru_ttl(spark, d):
-    kept = cache.evict(response_cache(spark, d), F.lit(AS_OF).cast("timestamp"), 50, _TTL)
+    kept = cache.evict(response_cache(spark, d), cache_time(), 50, _TTL)
     return kept.select("id", F.row_number().over(Window.orderBy(F.desc("last_used_at"), F.desc("id"))).cast("bigint").alias("rank"))
 
 
 @register(f"with {_CACHE} select count(*)::bigint as size, count(*) filter (epoch_us(t) - epoch_us(created_at) > {_TTL}::bigint * 1000000)::bigint as expired, 1000::bigint as max_size from c, as_of")
 def cache_stats(spark, d):
-    return cache.stats(response_cache(spark, d), F.lit(AS_OF).cast("timestamp"), _TTL)
+    return cache.stats(response_cache(spark, d), cache_time(), _TTL)
+
+
+@register(f"""with {_CACHE}, n as (select id, case when id % 3 = 0 then 'new' else 'a' || id end as response, case when id % 3 = 0 then t else created_at end as used from c, as_of)
+ select id, response from (select *, row_number() over (order by used desc, id desc) as r from n, as_of where epoch_us(t) - epoch_us(used) <= {_TTL}::bigint * 1000000) where r <= 100""")
+def cache_put(spark, d):
+    """Every third entry is answered anew: it replaces the old one, counts as just used, and the cache is cut to 100."""
+    store = response_cache(spark, d)
+    fresh = store.where("id % 3 = 0").select("id", "query", F.lit("new").alias("response"), "embedding")
+    return cache.put(store, fresh, cache_time(), 100, _TTL).select("id", "response")
+
+
+@register("""select id, position from (select user_id as id, row_number() over (order by max(ts) desc, user_id desc) as position from events group by user_id) where position <= 20""")
+def cache_lru_replay(spark, d):
+    return cache.replay_lru(read(spark, d, "events").select(F.col("user_id").alias("id"), F.col("ts").alias("at")), 20).select("id", "position")
 
 
 # pipelines -----------------------------------------------------------------------------------------
@@ -396,11 +487,57 @@ def eval_by_category(spark, d):
 _RUNS = "runs as (select event_type as run, count(*)::bigint as n, avg(value) as seconds, max(value) as top from events group by event_type)"
 
 
-@register(f"""with {_RUNS} select arg_max(run, seconds) as most, arg_min(run, seconds) as least, arg_max(run, top / 1000 - seconds / 1000) as balanced from runs""")
+@register(f"""{_BENCH}{O.bm25()}, x as (select query_id, string_agg(lower(d.text), chr(10)) as t from ranked r join documents d on d.doc_id = r.key where r.rank <= 5 group by query_id)
+ select query_id, array_to_string(list_filter({O.word_list(_TERMS)}, lambda w: not contains(t, w)), '|') as missing from x""")
+def missing_topics(spark, d):
+    hits = lexical.search(index_of(spark, d), bench_queries(spark, d), 5).join(documents(spark, d), "key")
+    return evaluation.retrieval_metrics(hits, F.array(*[F.lit(t) for t in _TERMS]), 5).select("query_id", F.array_join("missing", "|").alias("missing"))
+
+
+def chunking_runs(spark, d) -> DataFrame:
+    """Runs of each user as a configuration: precision and latency from the events' values."""
+    by = read(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("latency_ms"), (F.count_if(F.col("event_type") == "click") / F.count("*")).alias("precision"))
+    size, overlap = F.element_at(F.array(F.lit(512), F.lit(800), F.lit(1200)), (F.col("user_id") % 3 + 1).cast("int")), F.element_at(F.array(F.lit(100), F.lit(200)), (F.col("user_id") % 2 + 1).cast("int"))
+    return by.select(F.col("user_id").alias("config"), F.round("precision", 9).alias("precision"), F.round("latency_ms", 9).alias("latency_ms"), size.alias("chunk_size"), overlap.alias("chunk_overlap"))
+
+
+_CONFIGS = """r as (select user_id as config, round(count(*) filter (event_type = 'click') / count(*)::double, 9) as precision, round(avg(value), 9) as latency_ms,
+ [512, 800, 1200][user_id % 3 + 1] as chunk_size, [100, 200][user_id % 2 + 1] as chunk_overlap from events group by user_id)"""
+
+
+@register(f"""with {_CONFIGS} select max(precision) as most, min(latency_ms) as least, round(max(precision - latency_ms / 1000), 9) as balanced from r""")
 def best_config(spark, d):
-    runs = read(spark, d, "events").groupBy(F.col("event_type").alias("run")).agg(F.avg("value").alias("seconds"), F.max("value").alias("top"))
-    balance = F.col("top") / 1000 - F.col("seconds") / 1000
-    return runs.agg(F.max_by("run", "seconds").alias("most"), F.min_by("run", "seconds").alias("least"), F.max_by("run", balance).alias("balanced"))
+    runs = chunking_runs(spark, d)
+    best = evaluation.best_configs(runs)
+    pick = lambda c: runs.join(F.broadcast(best.select(F.col(c).alias("config"))), "config")  # noqa: E731  one row
+    most, least, balanced = pick("most_precise").select(F.col("precision").alias("most")), pick("fastest").select(F.col("latency_ms").alias("least")), pick("balanced").select(F.round(F.col("precision") - F.col("latency_ms") / 1000, 9).alias("balanced"))
+    return most.crossJoin(F.broadcast(least)).crossJoin(F.broadcast(balanced))
+
+
+@register(f"with {_CONFIGS} select chunk_size::bigint as chunk_size, chunk_overlap::bigint as chunk_overlap, round(avg(precision), 6) as precision, round(avg(latency_ms), 6) as latency_ms from r group by grouping sets ((chunk_size), (chunk_overlap))")
+def means_by_config(spark, d):
+    return evaluation.means_by(chunking_runs(spark, d), "chunk_size", "chunk_overlap").select(big("chunk_size"), big("chunk_overlap"), r6("precision", "precision"), r6("latency_ms", "latency_ms"))
+
+
+_GOOD, _BAD = ("the", "and", "of"), ("unsubscribe", "click here", "der")
+
+
+@register(f"""select doc_id, round(greatest(0.0::double, least(1.0::double, (len(list_filter({O.word_list(_GOOD)}, lambda t: contains(lower(text), t))) - len(list_filter({O.word_list(_BAD)}, lambda t: contains(lower(text), t))))::double / {len(_GOOD)})), 6) as score from documents""")
+def rule_quality(spark, d):
+    good, bad = (F.array(*[F.lit(t) for t in terms]) for terms in (_GOOD, _BAD))
+    return read(spark, d, "documents").select("doc_id", r6(T.rule_quality(F.col("text"), good, bad), "score"))
+
+
+_RUNS = "runs as (select event_type as run, count(*)::bigint as n, avg(value) as seconds, max(value) as top from events group by event_type)"
+
+
+@register("""with h as (select event_id as query_id, value as h from events where event_id % 2 = 0), t as (select event_id - 1 as query_id, value as t from events where event_id % 2 = 1),
+ x as (select avg(h) as a, avg(t) as b from h join t using (query_id)) select round(a, 6) as hybrid_seconds, round(b, 6) as tree_seconds, case when a < b then 'hybrid' else 'tree' end as faster from x""")
+def benchmark_pipelines(spark, d):
+    e = read(spark, d, "events")
+    hybrid = e.where("event_id % 2 = 0").select(F.col("event_id").alias("query_id"), F.col("value").alias("seconds"))
+    tree = e.where("event_id % 2 = 1").select((F.col("event_id") - 1).alias("query_id"), F.col("value").alias("seconds"))
+    return pipelines.benchmark(hybrid, tree).select(r6("hybrid_seconds", "hybrid_seconds"), r6("tree_seconds", "tree_seconds"), "faster")
 
 
 @register("""select doc_id, round(0.4 * faithfulness + 0.4 * relevance + 0.2 * context, 4) as overall from
@@ -452,11 +589,41 @@ def error_guide(spark, d):
     return observability.errors_by_type(errors).select("error_type", "n", F.array_join("examples", "|").alias("examples"))
 
 
-@register("""select count(*)::bigint as documents, sum(n_chars)::bigint as chunks, count(*) filter (n_chars < 200)::bigint as errors, round(sum(n_chars) / count(*)::double, 6) as chunks_per_doc,
- round(count(*) filter (n_chars < 200) / count(*)::double, 6) as error_rate from documents""")
+@register("""select count(*)::bigint as documents, sum(n_chars)::bigint as chunks, count(*) filter (n_chars < 200)::bigint as errors, round(count(*) / (sum(n_chars) / 1000.0::double), 6) as docs_per_second,
+ round(sum(n_chars) / (sum(n_chars) / 1000.0::double), 6) as chunks_per_second, round(sum(n_chars) / count(*)::double, 6) as chunks_per_doc, round(count(*) filter (n_chars < 200) / count(*)::double, 6) as error_rate from documents""")
 def ingest_throughput(spark, d):
-    rows = read(spark, d, "documents").select("doc_id", F.col("n_chars").alias("n_chunks"), F.lit(1.0).alias("seconds"), F.when(F.col("n_chars") < 200, "short").alias("error"))
-    return observability.throughput(rows).select("documents", big("chunks"), "errors", r6("chunks_per_doc", "chunks_per_doc"), r6("error_rate", "error_rate"))
+    rows = read(spark, d, "documents").select("doc_id", F.col("n_chars").alias("n_chunks"), (F.col("n_chars") / 1000.0).alias("seconds"), F.when(F.col("n_chars") < 200, "short").alias("error"))
+    rates = ("docs_per_second", "chunks_per_second", "chunks_per_doc", "error_rate")
+    return observability.throughput(rows).select("documents", big("chunks"), "errors", *[r6(c, c) for c in rates])
+
+
+_KINDS = "['KeyError', 'ValueError', 'UnicodeDecodeError', 'EmbeddingError', 'Other'][event_id % 5 + 1]"
+_TIPS = "case " + " ".join((f"when {_KINDS} = {O.lit(k)}" if k.endswith("Error") else f"when contains({_KINDS}, {O.lit(k)})") + f" then {O.lit(t)}" for k, t in observability.TIPS) + " end"
+
+
+@register(f"select {_KINDS} as error_type, count(*)::bigint as n, any_value({_TIPS}) as tip from events where value > 50 group by 1")
+def error_tips(spark, d):
+    kinds = F.element_at(F.array(*[F.lit(x) for x in ("KeyError", "ValueError", "UnicodeDecodeError", "EmbeddingError", "Other")]), (F.col("event_id") % 5 + 1).cast("int"))
+    errors = read(spark, d, "events").where("value > 50").select(kinds.alias("error_type"), F.col("event_id").alias("doc_idx"), F.col("props").alias("message"))
+    return observability.errors_by_type(errors).select("error_type", "n", observability.tip(F.col("error_type")).alias("tip"))
+
+
+@register("""select count(*) filter (user_id % 4 = 0)::bigint as cache_hits_total, count(*) filter (user_id % 4 <> 0)::bigint as cache_misses_total, count(*)::bigint as documents_ingested_total, sum(user_id)::bigint as chunks_created_total,
+ count(*) filter (event_type = 'click')::bigint as agentic_queries_total, count(*) filter (event_type = 'view')::bigint as evaluation_total from events""")
+def session_counters(spark, d):
+    rows = read(spark, d, "events").select(
+        (F.col("user_id") % 4 == 0).alias("hit"), F.lit(1).cast("long").alias("documents"), F.col("user_id").alias("chunks"), F.when(F.col("event_type") == "click", 1).alias("iterations"), F.when(F.col("event_type") == "view", 1).alias("evaluated"),
+    )
+    return observability.session_counters(rows, "hit", "documents", "chunks", "iterations", "evaluated")
+
+
+_SEARCH_LE = "(values " + ", ".join(f"({b}::double, '{float(b)}')" for b in K.SEARCH_BUCKETS) + ", (1e308, '+Inf')) b(bound, le)"
+
+
+@register(f"""select 'search_duration_seconds_bucket{{method="hybrid",le="' || le || '"}} ' || count(value) filter (value / 100 <= bound) as line from events, {_SEARCH_LE} where user_id % 2 = 0 group by le""")
+def search_time_exposition(spark, d):
+    rows = read(spark, d, "events").select(F.when(F.col("user_id") % 2 == 0, "/search").otherwise("/query").alias("endpoint"), (F.col("value") / 100).alias("seconds"))
+    return observability.exposition("search_duration_seconds_bucket", observability.search_times(rows, "endpoint", "seconds"), "n", "method", "le")
 
 
 @register("""with x as (select avg((event_id % 3 = 0)::int) as h, avg(value) filter (event_id % 3 = 0) as a, avg(value) filter (event_id % 3 <> 0) as b from events)
@@ -466,9 +633,18 @@ def cache_effect(spark, d):
     return got.select(*[r6(c, c) for c in got.columns])
 
 
-@register(f"""with x as (select query_id, s.strategy from (select item_id as query_id from benchmark) q, (values ('rrf'), ('vector'), ('weighted')) s(strategy)) select strategy, count(*)::bigint as n from x group by strategy""")
+_BEST = lambda source, score: f"select query_id, '{source}' as strategy, key, row_number() over (partition by query_id order by round(score, 9) desc, key) as rank, score from ({score})"
+
+
+@register(f"""{_FUSE}, x as ({_BEST('vector', 'select query_id, key, score from v')} union all {_BEST('bm25', 'select query_id, key, score from b')}
+ union all {_BEST('rrf', 'select query_id, key, score from rrf')} union all {_BEST('weighted', 'select query_id, key, score from wgt')})
+ select query_id, strategy, key, rank, round(score, 6) as score from x where rank <= 5""")
 def compare_strategies(spark, d):
-    return pipelines.strategies(bench_queries(spark, d)).groupBy("strategy").agg(F.count("*").alias("n"))
+    """The five best of every query by each strategy: vectors only, words only, and both fusions."""
+    v, b = (materialise(h) for h in hit_lists(spark, d))
+    lists = {"vector": v, "bm25": b, "rrf": fusion.fuse(v, b, "rrf"), "weighted": fusion.fuse(v, b, "weighted")}
+    ranked = [lexical.top_k(hits.select("query_id", "key", "score"), 5).withColumn("strategy", F.lit(name)) for name, hits in lists.items()]
+    return reduce(DataFrame.unionByName, ranked).select("query_id", "strategy", "key", "rank", r6("score", "score"))
 
 
 @register("select batch, count(*)::bigint as n, min(doc_id) as first, max(doc_id) as last from (select doc_id, ceil(row_number() over (order by doc_id) / 100.0)::bigint as batch from documents) group by batch")
@@ -498,7 +674,7 @@ def answer_pipeline(spark, d):
 @register()
 def agentic_loop(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"))
-    return pipelines.answer_agentic(docs, one_query(spark, d), 5)
+    return pipelines.answer_agentic(docs, bench_queries(spark, d), 5)
 
 
 @register()

@@ -1,6 +1,8 @@
 """File sources and report sinks. Paths go through Spark's readers, so any file system will do.
 
-Those readers pass over names that begin with ``_`` or ``.``.
+Those readers pass over names that begin with ``_`` or ``.``; files so named are listed through the
+file system and read on the driver, up to ``HIDDEN_FILES`` of them (beyond that: ``ValueError``).
+A file that is not UTF-8 gives no document but a row of ``load_errors``.
 """
 
 from __future__ import annotations
@@ -11,13 +13,53 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as T
 
+HIDDEN_FILES, HIDDEN_BYTES = 1000, 32 << 20
 
-def _texts(spark: SparkSession, path: str) -> DataFrame:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+
+def _hidden(fs, found) -> list:
+    """Files below whose own name the readers would pass over."""
+    out = []
+    while found.hasNext():
+        status = found.next()
+        if status.getPath().getName()[0] in "_." and _suffix(status.getPath().getName()) in K.SUFFIXES:
+            out.append(status)
+            if len(out) > HIDDEN_FILES or sum(s.getLen() for s in out) > HIDDEN_BYTES:
+                raise ValueError("too many files whose names begin with '_' or '.': rename them")
+    return out
+
+
+def _suffix(name: str) -> str:
+    at = name.rfind(".")
+    return name[at:] if at > 0 else ""
+
+
+def _raw(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes) of a file or of all files below a folder."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(conf)
+    if not fs.exists(jpath):
         raise ValueError(f"invalid source path: {path}")
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    return raw.select(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")).alias("path"), F.col("value").alias("content"))
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("content").alias("bytes"))
+    held = []
+    for status in _hidden(fs, fs.listFiles(jpath, True)):
+        stream = fs.open(status.getPath())
+        try:
+            held.append((status.getPath().toString(), bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+        finally:
+            stream.close()
+    return rows.unionByName(spark.createDataFrame(held, "path string, bytes binary")) if held else rows
+
+
+def _texts(spark: SparkSession, path: str) -> DataFrame:
+    rows = _raw(spark, path).withColumn("content", F.col("bytes").cast("string"))
+    return rows.where(F.is_valid_utf8("content")).select("path", "content")
+
+
+def load_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(path, error) of the supported files that give no document."""
+    rows = _raw(spark, path).where(T.suffix(F.col("path")).isin(*K.SUFFIXES))
+    return rows.where(~F.is_valid_utf8(F.col("bytes").cast("string"))).select("path", F.lit("UnicodeDecodeError").alias("error"))
 
 
 def load_documents(spark: SparkSession, path: str, version: str = "latest", component: str = "generic", domain: bool = False) -> DataFrame:
@@ -54,18 +96,54 @@ def from_records(spark: SparkSession, records: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "title string, content string, metadata map<string,string>")
 
 
+def from_upload(spark: SparkSession, data: bytes, filename: str | None = None, title: str | None = None) -> DataFrame:
+    """One uploaded UTF-8 file as a document; its title is the given one, else the file's name, else "Untitled"."""
+    try:
+        content = data.decode("utf-8")
+    except UnicodeDecodeError as e:
+        raise ValueError("an upload must be UTF-8 text") from e
+    return from_records(spark, [{"title": title or filename or "Untitled", "content": content}])
+
+
 def save_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions of a table, in order."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v-") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version of a table that ``upsert`` keeps."""
+    have = _versions(spark, path)
+    if not have:
+        raise ValueError(f"no table at {path}")
+    return spark.read.parquet(f"{path}/v-{have[-1]}")
+
+
 def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str) -> None:
-    """Replace rows of the same key in a Parquet table: the new version is complete before the old one goes."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".new")
-    fs = old.getFileSystem(conf)
+    """Replace rows of the same key in a table: a new version is written whole, then the older ones go.
+
+    A crash at any time leaves a complete version, which is the one that ``read_table`` takes.
+    """
+    have = _versions(spark, path)
     merged = rows
-    if fs.exists(old):
-        merged = spark.read.parquet(path).join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
-    merged.write.mode("overwrite").parquet(new.toString())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    if have:
+        merged = read_table(spark, path).join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
+    merged.write.mode("overwrite").parquet(f"{path}/v-{(have or [0])[-1] + 1}")
+    for n in have:
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v-{n}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
+def reset(spark: SparkSession, path: str) -> None:
+    """Remove a table with all its versions."""
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)

@@ -16,7 +16,9 @@ def write_batch(docs: DataFrame, batch_id: int, path: str, embedder: Embedder, s
     chunks = ingest.embed_chunks(ingest.chunk(docs, settings), embedder, settings).withColumn("key", F.concat_ws("#", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
     chunks.write.mode("overwrite").parquet(f"{path}/chunks/batch={batch_id}")
     stored = docs.sparkSession.read.parquet(f"{path}/chunks/batch={batch_id}")
-    lexical.build_index(stored, "key").postings.write.mode("overwrite").parquet(f"{path}/postings/batch={batch_id}")
+    index = lexical.build_index(stored, "key")
+    index.postings.write.mode("overwrite").parquet(f"{path}/postings/batch={batch_id}")
+    index.corpus.write.mode("overwrite").parquet(f"{path}/corpus/batch={batch_id}")
 
 
 def start(stream: DataFrame, path: str, checkpoint: str, embedder: Embedder | None = None, settings: Settings = DEFAULTS, **trigger) -> StreamingQuery:
@@ -27,8 +29,7 @@ def start(stream: DataFrame, path: str, checkpoint: str, embedder: Embedder | No
 
 
 def load_index(spark, path: str) -> lexical.LexicalIndex:
-    """The index over all batches so far; sums and counts are aggregates of the postings."""
+    """The index over all batches so far: sums of the batches' counts, no text is read again."""
     postings = spark.read.parquet(f"{path}/postings").select("key", "dl", "token")
-    sizes = spark.read.parquet(f"{path}/chunks").select("key", F.col("content"))
-    corpus = lexical.statistics(lexical.with_tokens(sizes))
+    corpus = lexical.combined(spark.read.parquet(f"{path}/corpus"))
     return lexical.LexicalIndex(postings, lexical.term_table(postings, corpus), corpus)

@@ -50,7 +50,7 @@ def test_vector_search_zero_norm_and_order(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0])], "key long, embedding array<float>")
     q = spark.createDataFrame([(0, [2.0, 0.0])], "query_id long, embedding array<float>")
     assert [(r["key"], round(r["score"], 4)) for r in vector.search(v, q, 3).orderBy("rank").collect()] == [(1, 1.0), (2, 0.7071), (3, 0.0)]
-    blocks = vector.similarities(v, q.union(q.selectExpr("1L as query_id", "embedding")), broadcast_rows=1)
+    blocks = vector.similarities(v, q.union(q.selectExpr("1L as query_id", "embedding")), broadcast_numbers=2)
     assert blocks.count() == 6
 
 
@@ -209,11 +209,22 @@ def test_file_sources(spark, tmp_path):
     (tmp_path / "setup.yaml").write_text("kind: Pod")
     (tmp_path / "skip.bin").write_text("no")
     got = {r["title"]: r["metadata"] for r in files.load_domain_documents(spark, str(tmp_path)).collect()}
-    assert set(got) == {"Page", "Setup"}  # Spark's readers pass over names that begin with "_"
+    assert set(got) == {"Page", "Setup", "Index"}  # one document a file, also of names that Spark's readers pass over
     assert got["Page"]["category"] == "concepts" and got["Page"]["doc_type"] == "concept" and "pod" in got["Page"]["tags"]
     assert got["Setup"]["doc_type"] == "config"
     only = files.load_markdown(spark, str(tmp_path), "Kubernetes").collect()
     assert [(r["title"], r["metadata"]["file"], r["metadata"]["category"]) for r in only] == [("Kubernetes: My Page", "concepts/my-page.md", "concepts")]
+    (tmp_path / "_notes.md").write_text("# Notes\n" + "long enough " * 9)
+    (tmp_path / "bad.txt").write_bytes(b"\xff\xfe\x00 broken")
+    assert {r["title"] for r in files.load_markdown(spark, str(tmp_path), "Kubernetes").collect()} == {"Kubernetes: My Page", "Kubernetes:  Notes"}
+    assert "Bad" not in {r["title"] for r in files.load_documents(spark, str(tmp_path)).collect()}
+    assert [(r["path"].endswith("bad.txt"), r["error"]) for r in files.load_errors(spark, str(tmp_path)).collect()] == [(True, "UnicodeDecodeError")]
+    one = files.load_documents(spark, str(tmp_path / "concepts" / "my-page.md")).first()
+    assert one["content"].count("\n") == 1
+    up = files.from_upload(spark, "# Hé\ntext".encode(), "a.txt").first()
+    assert (up["title"], up["content"]) == ("a.txt", "# Hé\ntext")
+    with pytest.raises(ValueError):
+        files.from_upload(spark, b"\xff\xfe", "a.bin")
     with pytest.raises(ValueError):
         files.load_documents(spark, str(tmp_path / "absent"))
     with pytest.raises(ValueError):
@@ -224,7 +235,12 @@ def test_upsert(spark, tmp_path):
     path = str(tmp_path / "t")
     files.upsert(spark, path, spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), "k")
     files.upsert(spark, path, spark.createDataFrame([(2, "c")], "k long, v string"), "k")
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "c")]
+    assert sorted(map(tuple, files.read_table(spark, path).collect())) == [(1, "a"), (2, "c")]
+    (tmp_path / "t" / "v-9").mkdir()  # a version whose writer died
+    assert sorted(map(tuple, files.read_table(spark, path).collect())) == [(1, "a"), (2, "c")]
+    files.reset(spark, path)
+    with pytest.raises(ValueError):
+        files.read_table(spark, path)
 
 
 def test_streaming_ingest(spark, tmp_path):
@@ -238,5 +254,52 @@ def test_streaming_ingest(spark, tmp_path):
     assert got and all(r["key"].startswith("2#") for r in got)
 
 
+def test_cache_survives_saving_without_expired_entries(spark, tmp_path):
+    import datetime as dt
+
+    t = [dt.datetime(2024, 1, 1, h) for h in range(5)]
+    full = store(spark, [("a", "qa", "ra", [1.0], t[0], t[0]), ("b", "qb", "rb", [1.0], t[3], t[3])])
+    cache.save(full, str(tmp_path / "c"))
+    assert [r["id"] for r in cache.load(spark, str(tmp_path / "c"), F.lit(t[4]), 7200).collect()] == ["b"]
+    assert cache.clear(full).count() == 0
+    vector.save(full.select("id", "embedding"), str(tmp_path / "v"))
+    assert vector.load(spark, str(tmp_path / "v")).count() == 2
+
+
+def test_ingest_dispatch(spark):
+    chunks, tree, counts = ingest.dispatch(docs_of(spark), "both", HashEmbedder(16))
+    got = counts.first()
+    assert (got["successful"], got["errors"]) == (3, 1) and got["chunks"] == chunks.count() + tree.count()
+    chunks, tree, counts = ingest.dispatch(docs_of(spark), "pageindex", HashEmbedder(16))
+    assert chunks is None and counts.first()["successful"] == 3
+    with pytest.raises(ValueError):
+        ingest.dispatch(docs_of(spark), "other", HashEmbedder(16))
+
+
+def test_agentic_loop_over_many_questions(spark):
+    class Checker(RuleLlm):
+        def complete(self, prompt):
+            if prompt.startswith("TASK check"):
+                return '{"complete": false, "confidence": 0.4, "gaps": ["boil water"]}' if "pod" in prompt.split("Answer")[0] else '{"complete": true, "confidence": 0.9}'
+            return super().complete(prompt)
+
+    q = spark.createDataFrame([(1, "smallest pod unit"), (2, "water and salt"), (3, "zzz")], "query_id long, query string")
+    got = {r["query_id"]: r for r in pipelines.answer_agentic(docs_of(spark), q, 3, 2, HashEmbedder(32), Checker()).collect()}
+    assert set(got) == {1, 2, 3} and (got[1]["iterations"], got[1]["complete"]) == (2, False) and (got[2]["iterations"], got[2]["complete"]) == (1, True)
+    with pytest.raises(ValueError):
+        agentic.run_all(q, None, None, RuleLlm(), max_iterations=0)
+
+
+def test_health_and_tips(spark):
+    v = spark.createDataFrame([(1, [1.0])], "key long, embedding array<double>")
+    assert observability.health(v, True)["status"] == "healthy" and observability.health(None, True)["status"] == "degraded"
+
+
+def test_summary_of_few_values(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 4.0), ("b", 7.0), (None, 2.0), (None, 2.0), ("a", None)], "k string, v double")
+    got = {r["k"]: r for r in observability.summary(df, "v", "k").collect()}
+    assert (got["a"]["median"], got["b"]["median"], got["b"]["stdev"], got[None]["median"], got[None]["max"]) == (2.5, 7.0, 0.0, 2.0, 2.0)
+
+
 def test_settings_from_env():
     assert Settings.from_env({"CHUNK_SIZE": "512", "USE_RERANKER": "true", "unknown": "1"}) == Settings(CHUNK_SIZE=512, USE_RERANKER=True)
