@@ -1,18 +1,16 @@
-"""Suffix arrays by induced sorting, in whole-bucket numpy steps, and permuted common prefixes.
+"""Suffix arrays by induced sorting, in whole-batch numpy steps, and permuted common prefixes.
 
-The classic algorithm scans the array once from each side and moves one suffix at a time. Here a
-scan step takes everything that a character's bucket holds at that moment: entries are stable-sorted
-by the character before them and appended to those buckets' heads (or tails) together, and what
-lands in the bucket being scanned makes the next wave. Order within buckets is the classic order.
+The classic algorithm scans the array once from each side and moves one suffix at a time. Here a step
+takes the longest stretch of the scan whose moves all land beyond it: the stretch's suffixes are stable-sorted by
+the character before them and appended to those buckets' heads (or tails) together. That is the
+classic order whatever the alphabet: over few characters a stretch is most of a bucket, over the many
+names of a reduced text it spans many buckets. The recursion is linear in the text, without another sort.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets beyond this are sorted by rank doubling: a step for each bucket would cost more.
-BUCKETS = 2048
-
 
 def suffix_types(t: np.ndarray) -> np.ndarray:
     """True for smaller-type suffixes (smaller than the next suffix); the end counts as smallest."""
@@ -29,91 +27,91 @@ def suffix_types(t: np.ndarray) -> np.ndarray:
     return s
 
 
-def _append(order: np.ndarray, sa: np.ndarray, at: np.ndarray, chars: np.ndarray, step: int) -> None:
-    """Append suffixes to their buckets at pointers ``at``, keeping their order; step 1: heads, -1: tails."""
+def _append(order: np.ndarray, sa: np.ndarray, at: np.ndarray, chars: np.ndarray) -> None:
+    """Append suffixes to their buckets at pointers ``at``, keeping their order."""
     by = np.argsort(chars, kind="stable")
     c = chars[by]
     first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
     count = np.diff(np.append(first, len(c)))
     nth = np.arange(len(c)) - np.repeat(first, count)
-    sa[at[c] + step * nth] = order[by]
-    at[c[first]] += step * count
+    sa[at[c] + nth] = order[by]
+    at[c[first]] += count
+
+
+def _scan(t: np.ndarray, moves: np.ndarray, sa: np.ndarray, pointer: np.ndarray, step: int) -> None:
+    """One scan of the whole array from the left (step 1) or the right (-1).
+
+    An entry i with moves[i - 1] puts suffix i - 1 at its bucket's pointer, which goes on by a step.
+    Every move lands ahead of its entry, so a stretch of entries may move at once as far as none of their
+    landing places lies inside it.
+    """
+    n = len(t)
+    at, width = (0 if step > 0 else n - 1), 256
+    while 0 <= at < n:
+        size = min(width, n - at if step > 0 else at + 1)
+        entry = sa[at : at + size] if step > 0 else sa[at - size + 1 : at + 1][::-1]
+        place = (entry > 0).nonzero()[0]
+        suffix = entry[place] - 1
+        go = moves[suffix]
+        place, suffix = place[go], suffix[go]
+        count = len(place)
+        if not count:
+            at, width = at + step * size, 2 * width
+            continue
+        chars = t[suffix]
+        by = chars.argsort(kind="stable")
+        c = chars[by]
+        new = np.empty(count, dtype=bool)
+        new[0] = True
+        np.not_equal(c[1:], c[:-1], out=new[1:])
+        first = new.nonzero()[0]
+        names = c[first]
+        # the bucket's pointer, less the places of the run before it
+        base = pointer[names] - step * first
+        lands = np.empty(count, dtype=np.int64)
+        lands[by] = base[new.cumsum() - 1] + step * np.arange(count)
+        # distance from the stretch's begin; the first landing place of the entries up to here
+        ahead = np.minimum.accumulate((lands - at) * step)
+        # the stretch ends at the first landing place of its own entries
+        if place[-1] < ahead[-1]:
+            keep = count
+        else:
+            keep = int((place < ahead).argmin())
+        limit = min(size, int(ahead[keep - 1]))
+        sa[lands[:keep]] = suffix[:keep]
+        pointer[names] += step * np.add.reduceat(by < keep, first, dtype=np.int64)
+        at += step * limit
+        width = 2 * width if limit == size else max(64, 2 * limit)
 
 
 def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Suffix array from the leftmost-smaller suffixes in order (of their suffixes or substrings)."""
     n, k = len(t), len(ends)
     sa = np.full(n, -1, dtype=np.int32 if n < 1 << 31 else np.int64)
-    begins = np.concatenate(([0], ends[:-1]))
-    chars = t[lms]
-    low = ends - np.bincount(chars, minlength=k)
-    held = low.copy()
     if len(lms):
-        _append(lms, sa, held, chars, 1)
+        chars = t[lms]
+        _append(lms, sa, ends - np.bincount(chars, minlength=k), chars)
     # larger types, buckets from the smallest
-    head = begins.copy()
+    head = np.concatenate(([0], ends[:-1]))
     if not s[n - 1]:
         sa[head[t[n - 1]]] = n - 1  # induced by the end of the text
         head[t[n - 1]] += 1
-    for c in np.unique(t):
-        done = begins[c]
-        while done < head[c]:
-            wave, done = sa[done : head[c]], head[c]
-            _larger(t, s, wave, sa, head)
-        if low[c] < ends[c]:
-            _larger(t, s, sa[low[c] : ends[c]], sa, head)
-    # smaller types, buckets from the largest
-    tail = ends - 1
-    for c in np.unique(t)[::-1]:
-        done = ends[c] - 1
-        while done > tail[c]:
-            wave, done = sa[tail[c] + 1 : done + 1][::-1], tail[c]
-            _smaller(t, s, wave, sa, tail)
-        _smaller(t, s, sa[begins[c] : head[c]][::-1], sa, tail)
+    _scan(t, ~s, sa, head, 1)
+    # smaller types, buckets from the largest: they take the places of the leftmost ones
+    sa[(sa >= 0) & s[np.maximum(sa, 0)]] = -1
+    _scan(t, s, sa, ends - 1, -1)
     return sa
 
 
-def _larger(t, s, wave, sa, head):
-    j = wave[wave > 0] - 1
-    j = j[~s[j]]
-    if len(j):
-        _append(j, sa, head, t[j], 1)
-
-
-def _smaller(t, s, wave, sa, tail):
-    j = wave[wave > 0] - 1
-    j = j[s[j]]
-    if len(j):
-        _append(j, sa, tail, t[j], -1)
-
-
-def _doubling(t: np.ndarray) -> np.ndarray:
-    """Suffix array by rank doubling, for the large alphabets of reduced texts."""
-    rank = np.unique(t, return_inverse=True)[1].astype(np.int64) + 1
-    n, width = len(t), 1
-    while True:
-        after = np.zeros(n, dtype=np.int64)
-        after[: max(0, n - width)] = rank[width:]
-        key = rank * (n + 2) + after
-        order = np.argsort(key)
-        sorted_key = key[order]
-        new = np.empty(n, dtype=np.int64)
-        new[order] = np.cumsum(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])))
-        if new.max() == n:
-            return order
-        rank, width = new, 2 * width
-
-
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Start positions of the suffixes of ``t`` (non-negative integers) in order."""
     t = np.asarray(t)
     n = len(t)
     if n < 2:
         return np.arange(n)
-    if t.max() >= BUCKETS:
-        return _doubling(t)
     # narrow characters are sorted by radix
-    t = t.astype(np.uint8 if t.max() < 256 else np.uint16)
+    most = int(t.max())
+    t = t.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int64)
     s = suffix_types(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
     ends = np.cumsum(np.bincount(t))

@@ -12,11 +12,13 @@ from .chaining import passages
 from .chroma import group_recordings
 from .common import table
 from .embedding_dedup import link_vectors
-from .mixing import mix
+from .mixing import ORACLE as MIXING_ORACLE
+from .mixing import mix, source_targets
 from .ngram_lm import ORACLE as NGRAM_ORACLE
 from .ngram_lm import score
 from .quality import classify
 from .simhash import simhash_groups
+from .suffix_dedup import ORACLE as SUBSTRING_ORACLE
 from .suffix_dedup import dedup_substrings
 from .token_counts import count_tokens
 
@@ -63,6 +65,11 @@ def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3 that SQL can express: each source's size and target."""
+    return source_targets(table(spark, sf_dir, "documents")).selectExpr("source", "source_size", "round(target, 6) as target")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chroma_fingerprints": op1_chroma_fingerprints,
     "op2_collinear_chaining": op2_collinear_chaining,
@@ -74,8 +81,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_stupid_backoff": op10_stupid_backoff,
+    "mixing_targets": mixing_targets,
 }
 
 ORACLES: dict[str, str] = {
+    "op9_suffix_array_dedup": SUBSTRING_ORACLE,
     "op10_stupid_backoff": NGRAM_ORACLE,
+    "mixing_targets": MIXING_ORACLE,
 }

@@ -14,6 +14,8 @@ smaller id.
    surroundings. Their 80 bytes are fetched once for each distinct surroundings, concatenated per
    shard, and sorted by induced sorting (``induced.py``); runs of 50-byte starts whose common
    prefixes are 50 or more share a string, and those not of the run's smallest document are covered.
+   A gram in more than ``HEAVY`` different surroundings is sorted in smaller groups: of the 30 other bytes of
+   a string around it 15 or more stand on one side, so it goes by its 15 bytes to the left and, once more, to the right.
 4. The spans of a document are merged and cut out.
 
 Results are exact but for hash collisions: grams compare by 64 bits and, inside one gram, whole
@@ -32,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,8 @@ WIDTH, GRAM = 50, 20
 GROUP_BYTES, MARGIN = 1 << 18, 128
 #: Shards for each shuffle partition: a shard's arrays take some 50 bytes a gram in one Python worker.
 SHARDS = 2
+#: Distinct surroundings of a gram (80 bytes each) that are sorted together.
+HEAVY = 4096
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
 _CTX = (1 << 48) - 1
@@ -241,8 +246,8 @@ def _unpack(seeds: bytes, docs: bytes):
     return key.astype(np.uint64), ctx, np.frombuffer(docs, dtype=np.int64)[local], pos.astype(np.int64), left.astype(np.int64), right.astype(np.int64)
 
 
-def _shard(width: int, gram: int):
-    """One shard's grams -> kind 0: known spans; kind 1: surroundings to fetch (key, at: gram's place in them)."""
+def _shard(width: int, gram: int, heavy: int):
+    """One shard's grams -> kind 0: known spans; kind 1: surroundings to fetch (key, at: gram's place in them); kind 2: those of heavy grams."""
     side = width - gram
 
     def run(batches):
@@ -278,7 +283,9 @@ def _shard(width: int, gram: int):
         border = (several & (surroundings > 1))[of_key] & ~late
         # the key's smallest document only serves as a reference: once for each of its surroundings
         border &= (doc != least[of_key]) | first
-        yield _pieces(1, doc[border], key[border], lo[border], hi[border], (pos - lo)[border])
+        crowded = (surroundings > heavy)[of_key]
+        for kind, pick in ((1, border & ~crowded), (2, border & crowded)):
+            yield _pieces(kind, doc[pick], key[pick], lo[pick], hi[pick], (pos - lo)[pick])
 
     return run
 
@@ -286,20 +293,30 @@ def _shard(width: int, gram: int):
 _SLICE_SCHEMA = "key long, doc_id long, lo int, bytes binary"
 
 
-def _slices(batches):
-    """(id, packed, pieces) -> the surroundings' bytes."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
-            keys, docs, lows, out = [], [], [], []
-            for doc, text, pieces in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist()):
-                raw = unpacked(text.as_py())
-                for p in pieces:
-                    keys.append(p["key"])
-                    docs.append(doc)
-                    lows.append(p["lo"])
-                    out.append(raw[p["lo"] : p["hi"]])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(lows, pa.int32()), pa.array(out, pa.binary())], ["key", "doc_id", "lo", "bytes"])
+def _slices(width: int, gram: int):
+    """(id, packed, pieces) -> the surroundings' bytes; those of a heavy gram by either side's bytes."""
+    side = (width - gram + 1) // 2
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                keys, docs, lows, out = [], [], [], []
+                for doc, text, pieces in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist()):
+                    raw = unpacked(text.as_py())
+                    for p in pieces:
+                        piece, at, key = raw[p["lo"] : p["hi"]], p["at"], p["key"]
+                        under = [key]
+                        if p["kind"] == 2:
+                            ends = [piece[at - side : at] if at >= side else b"", piece[at + gram : at + gram + side]]
+                            under = [xxhash.xxh64_intdigest(end, (key + k) % (1 << 64)) - (1 << 63) for k, end in enumerate(ends) if len(end) == side]
+                        keys += under
+                        docs += [doc] * len(under)
+                        lows += [p["lo"]] * len(under)
+                        out += [piece] * len(under)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(lows, pa.int32()), pa.array(out, pa.binary())], ["key", "doc_id", "lo", "bytes"])
+
+    return run
 
 
 def shared_spans(pieces: list[bytes], doc: np.ndarray, lo: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -359,14 +376,14 @@ def _sort_shard(width: int, most_bytes: int = 2 << 20):
     return run
 
 
-def repeated_spans(docs: DataFrame, packed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, packed: DataFrame, width: int = WIDTH, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
     """``(doc_id, lo, hi)``: byte spans (not yet merged) that go, for documents with any; packed: of ``packed_texts``."""
     n = partitions(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).where("doc_id is not null")
     scanned = texts.mapInArrow(_scan(width, gram, SHARDS * n), _GRAM_SCHEMA)
-    found = cut(scanned.repartitionById(SHARDS * n, F.col("part")).mapInArrow(_shard(width, gram), _PIECE_SCHEMA))
-    wanted = found.where("kind = 1").groupBy("doc_id").agg(F.collect_set(F.struct("key", "lo", "hi")).alias("pieces"))
-    sliced = packed.join(wanted, F.col("id") == F.col("doc_id")).select("id", "packed", "pieces", "rest").mapInArrow(_slices, _SLICE_SCHEMA)
+    found = cut(scanned.repartitionById(SHARDS * n, F.col("part")).mapInArrow(_shard(width, gram, heavy), _PIECE_SCHEMA))
+    wanted = found.where("kind > 0").groupBy("doc_id").agg(F.collect_set(F.struct("kind", "key", "lo", "hi", "at")).alias("pieces"))
+    sliced = packed.join(wanted, F.col("id") == F.col("doc_id")).select("id", "packed", "pieces", "rest").mapInArrow(_slices(width, gram), _SLICE_SCHEMA)
     sorted_ = sliced.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sort_shard(width), "doc_id long, lo int, hi int")
     return found.where("kind = 0").select("doc_id", "lo", "hi").unionByName(sorted_)
 
@@ -392,10 +409,26 @@ def _cut_out(batches):
         )
 
 
-def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``, one row per document."""
     packed, without_id = packed_texts(docs.select("doc_id", "text"))
-    spans = repeated_spans(docs, packed, width, gram).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = repeated_spans(docs, packed, width, gram, heavy).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     joined = packed.join(spans, F.col("id") == F.col("doc_id"), "left").select("id", "packed", "spans", "rest")
     without_id = without_id.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
     return joined.unionByName(without_id).mapInArrow(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: DuckDB: every 50-byte string as hex digits, its smallest document, covered runs as islands, the rest concatenated.
+ORACLE = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+ w as (select doc_id, i, substr(h, (2 * i + 1)::bigint, 100) as s from (select doc_id, h, unnest(range(0, n - 49)) as i from d where n >= 50)),
+ f as (select s, min(doc_id) as m from w group by s having min(doc_id) <> max(doc_id)),
+ c as (select w.doc_id, w.i, lag(w.i) over (partition by w.doc_id order by w.i) as p from w join f using (s) where w.doc_id > f.m),
+ r as (select doc_id, i, sum(case when p is null or i > p + 50 then 1 else 0 end) over (partition by doc_id order by i) as k from c),
+ sp as (select doc_id, min(i) as lo, max(i) + 50 as hi from r group by doc_id, k),
+ kp as (select doc_id, coalesce(lag(hi) over (partition by doc_id order by lo), 0) as a, lo as b from sp union all select sp.doc_id, max(hi), any_value(n) from sp join d using (doc_id) group by sp.doc_id),
+ kept as (select kp.doc_id, string_agg(substr(h, (2 * a + 1)::bigint, (2 * (b - a))::bigint), '' order by a) as h from kp join d using (doc_id) group by kp.doc_id),
+ n as (select doc_id, sum(hi - lo) as removed, count(*) as spans from sp group by doc_id)
+select d.doc_id, d.n::bigint as n_bytes, coalesce(n.removed, 0)::bigint as n_removed, coalesce(n.spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept.h, d.h))) as kept_sha256
+from d left join n using (doc_id) left join kept using (doc_id)
+"""
