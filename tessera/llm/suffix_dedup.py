@@ -11,8 +11,9 @@ smaller id.
 2. Grams of a single document end here. An occurrence whose whole surroundings occur in a smaller
    document is covered without looking at a byte: the inside of every copied passage.
 3. What is left are the borders of shared passages: grams that several documents hold in different
-   surroundings. Their 80 bytes are fetched once for each distinct surroundings, concatenated per
-   shard, and sorted by induced sorting (``induced.py``); runs of 50-byte starts whose common
+   surroundings. Their 80 bytes are fetched once for each distinct surroundings and cut to what
+   they share with any other surroundings of the gram to its left and to its right; under 50 bytes
+   hold no shared string. The others are concatenated per shard and sorted by induced sorting (``induced.py``); runs of 50-byte starts whose common
    prefixes are 50 or more share a string, and those not of the run's smallest document are covered.
    A gram in more than ``HEAVY`` different surroundings is sorted in smaller groups: of the 30 other bytes of
    a string around it 15 or more stand on one side, so it goes by its 15 bytes to the left and, once more, to the right.
@@ -290,7 +291,7 @@ def _shard(width: int, gram: int, heavy: int):
     return run
 
 
-_SLICE_SCHEMA = "key long, doc_id long, lo int, bytes binary"
+_SLICE_SCHEMA = "key long, doc_id long, lo int, bytes binary, at int"
 
 
 def _slices(width: int, gram: int):
@@ -301,7 +302,7 @@ def _slices(width: int, gram: int):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                keys, docs, lows, out = [], [], [], []
+                keys, docs, lows, out, places = [], [], [], [], []
                 for doc, text, pieces in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist()):
                     raw = unpacked(text.as_py())
                     for p in pieces:
@@ -314,7 +315,8 @@ def _slices(width: int, gram: int):
                         docs += [doc] * len(under)
                         lows += [p["lo"]] * len(under)
                         out += [piece] * len(under)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(lows, pa.int32()), pa.array(out, pa.binary())], ["key", "doc_id", "lo", "bytes"])
+                        places += [at] * len(under)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(lows, pa.int32()), pa.array(out, pa.binary()), pa.array(places, pa.int32())], ["key", "doc_id", "lo", "bytes", "at"])
 
     return run
 
@@ -352,26 +354,68 @@ def shared_spans(pieces: list[bytes], doc: np.ndarray, lo: np.ndarray, width: in
     return merge_spans(doc[owner[hit]], at, at + width)
 
 
-def _sort_shard(width: int, most_bytes: int = 2 << 20):
+def _agreement(key: np.ndarray, ends: list[bytes]) -> np.ndarray:
+    """For each row the longest prefix of its bytes (at most 32) that another row of its key begins with."""
+    sizes = np.array([len(e) for e in ends])
+    words = np.frombuffer(b"".join(e.ljust(32, b"\0") for e in ends), dtype=">u8").reshape(-1, 4).astype(np.uint64)
+    by = np.lexsort((*words.T[::-1], key))
+    k, w = key[by], words[by]
+    both = np.zeros(len(key) - 1, dtype=np.int64)
+    going = k[1:] == k[:-1]
+    for i in range(4):
+        x = w[1:, i] ^ w[:-1, i]
+        for shift in (1, 2, 4, 8, 16, 32):  # all bits below the highest one
+            x |= x >> np.uint64(shift)
+        same = 8 - ((np.bitwise_count(x).astype(np.int64) + 7) >> 3)
+        both += np.where(going, same, 0)
+        going &= same == 8
+    out = np.zeros(len(key), dtype=np.int64)
+    out[by[1:]] = both
+    out[by[:-1]] = np.maximum(out[by[:-1]], both)
+    return np.minimum(out, sizes)
+
+
+def _trimmed(rows: list[tuple], width: int, gram: int) -> list[tuple[int, int, bytes]]:
+    """Whole keys' rows (key, doc, lo, piece, at) -> (doc, lo, piece) of those that may hold a shared string, cut to what is shared."""
+    if len(rows) < 2:
+        return []
+    side = width - gram
+    key = np.array([r[0] for r in rows], dtype=np.int64)
+    left = _agreement(key, [piece[max(0, at - side) : at][::-1] for _, _, _, piece, at in rows])
+    right = _agreement(key, [piece[at + gram : at + gram + side] for _, _, _, piece, at in rows])
+    out = []
+    for i in np.flatnonzero(left + right >= side).tolist():
+        _, doc, lo, piece, at = rows[i]
+        first = at - int(left[i])
+        out.append((doc, lo + first, piece[first : at + gram + int(right[i])]))
+    return out
+
+
+def _sort_shard(width: int, gram: int, most_bytes: int = 2 << 20):
     """Rows sorted by key -> spans. A shard is sorted in runs of whole keys of about ``most_bytes``."""
 
-    def out(held):
-        pieces, doc, lo = zip(*held)
+    def out(rows):
+        doc, lo, pieces = zip(*rows)
         d, a, z = shared_spans(list(pieces), np.array(doc, dtype=np.int64), np.array(lo, dtype=np.int64), width)
         return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], ["doc_id", "lo", "hi"])
 
     def run(batches):
-        held, size, last = [], 0, None
+        ready, size, held, raw = [], 0, [], 0
         for batch in batches:
-            for key, doc, lo, piece in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if size >= most_bytes and key != last:
-                    yield out(held)
-                    held, size = [], 0
-                held.append((piece, doc, lo))
-                size += len(piece)
-                last = key
-        if held:
-            yield out(held)
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if raw >= most_bytes and row[0] != held[-1][0]:
+                    some = _trimmed(held, width, gram)
+                    ready += some
+                    size += sum(len(r[2]) for r in some)
+                    held, raw = [], 0
+                    if size >= most_bytes:
+                        yield out(ready)
+                        ready, size = [], 0
+                held.append(row)
+                raw += len(row[3])
+        ready += _trimmed(held, width, gram)
+        if ready:
+            yield out(ready)
 
     return run
 
@@ -384,7 +428,7 @@ def repeated_spans(docs: DataFrame, packed: DataFrame, width: int = WIDTH, gram:
     found = cut(scanned.repartitionById(SHARDS * n, F.col("part")).mapInArrow(_shard(width, gram, heavy), _PIECE_SCHEMA))
     wanted = found.where("kind > 0").groupBy("doc_id").agg(F.collect_set(F.struct("kind", "key", "lo", "hi", "at")).alias("pieces"))
     sliced = packed.join(wanted, F.col("id") == F.col("doc_id")).select("id", "packed", "pieces", "rest").mapInArrow(_slices(width, gram), _SLICE_SCHEMA)
-    sorted_ = sliced.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sort_shard(width), "doc_id long, lo int, hi int")
+    sorted_ = sliced.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sort_shard(width, gram), "doc_id long, lo int, hi int")
     return found.where("kind = 0").select("doc_id", "lo", "hi").unionByName(sorted_)
 
 
