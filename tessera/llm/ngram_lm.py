@@ -15,8 +15,8 @@ input, against 4 times the input), so relations travel packed: a group of docume
 partition once for its distinct n-grams (sorted 64-bit hashes, stored as differences, with counts);
 the partition adds all groups' counts and answers each in its order; a document's group joins
 its answers by the group's content hash. A frequent n-gram is one entry per group, never a row per
-occurrence. If a rescan of the documents grouped rows differently, the join would find an answer
-missing and the job fails rather than score wrongly.
+occurrence. The groups are checkpointed once, compressed: asking and scoring see the same groups, also
+after a retry.
 
 Defined results: a null or empty text has 0 words, log_score 0 and a null mean; a null id is scored
 like any other row; repeated rows are documents of their own, each with the others as corpus; only
@@ -80,9 +80,18 @@ def _groups(batches):
         yield np.uint64(h.intdigest()).astype(np.int64), ids, raw
 
 
+def _opened(blob: bytes, n: int) -> list[bytes]:
+    """The ``n`` texts of a packed group."""
+    sizes = np.frombuffer(blob, "<u4", n).astype(np.int64)
+    joined = zstandard.ZstdDecompressor().decompress(blob[4 * n :], max_output_size=max(1, int(sizes.sum())))
+    ends = np.cumsum(sizes)
+    return [joined[z - k : z] for z, k in zip(ends.tolist(), sizes.tolist())]
+
+
 def _ask(parts: int):
     def run(batches):
-        for chunk, _, raw in _groups(batches):
+        for chunk, blob, ids in ((c.as_py(), b.as_py(), i.as_py()) for batch in batches for c, b, i in zip(batch.column(0), batch.column(2), batch.column(3))):
+            raw = _opened(blob, len(ids))
             uni, pair, first = ngram_keys(Words(raw))
             keys, counts = np.unique(np.concatenate((uni, pair[~first])), return_counts=True)
             shard = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -163,14 +172,11 @@ def _score(alpha: float):
 
         def totals_of(keys):
             if len(keys) != len(totals):
-                raise RuntimeError("a group of documents lacks answers: the input's rows came in another order on the second scan")
+                raise RuntimeError("a group of documents lacks answers")
             return totals
 
         for blob, ids in states:
-            sizes = np.frombuffer(blob, "<u4", len(ids)).astype(np.int64)
-            joined = zstandard.ZstdDecompressor().decompress(blob[4 * len(ids) :], max_output_size=max(1, int(sizes.sum())))
-            ends = np.cumsum(sizes)
-            raw = [joined[z - n : z] for z, n in zip(ends.tolist(), sizes.tolist())]
+            raw = _opened(blob, len(ids))
             n, logs, k = score_group(raw, totals_of, alpha)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(logs), pa.array(k)], ["doc_id", "n_words", "logs", "n_backed"])
 
@@ -197,8 +203,8 @@ def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """``(doc_id, n_words, log_score, mean_log_score)``, scores rounded to 6 places."""
     n = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
-    answers = rows.mapInArrow(_ask(n), _PACKED).repartitionById(n, F.col("part")).mapInArrow(_answer, _PACKED + ", ids array<long>")
-    groups = rows.mapInArrow(_state, _PACKED + ", ids array<long>")
+    groups = cut(rows.mapInArrow(_state, _PACKED + ", ids array<long>"))
+    answers = groups.mapInArrow(_ask(n), _PACKED).repartitionById(n, F.col("part")).mapInArrow(_answer, _PACKED + ", ids array<long>")
     scored = cut(
         groups.unionByName(answers).repartition(n, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(
             _score(alpha), "doc_id long, n_words long, logs double, n_backed long"
