@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Entries scanned, and neighbours compared, in one step: bounds what a step holds besides the arrays.
+STEP = 1 << 16
+
 
 def suffix_types(t: np.ndarray) -> np.ndarray:
     """True for smaller-type suffixes (smaller than the next suffix); the end counts as smallest."""
@@ -56,7 +59,7 @@ def _scan(t: np.ndarray, moves: np.ndarray, sa: np.ndarray, pointer: np.ndarray,
         place, suffix = place[go], suffix[go]
         count = len(place)
         if not count:
-            at, width = at + step * size, 2 * width
+            at, width = at + step * size, min(2 * width, STEP)
             continue
         chars = t[suffix]
         by = chars.argsort(kind="stable")
@@ -81,7 +84,7 @@ def _scan(t: np.ndarray, moves: np.ndarray, sa: np.ndarray, pointer: np.ndarray,
         sa[lands[:keep]] = suffix[:keep]
         pointer[names] += step * np.add.reduceat(by < keep, first, dtype=np.int64)
         at += step * limit
-        width = 2 * width if limit == size else max(64, 2 * limit)
+        width = min(2 * width, STEP) if limit == size else min(max(64, 2 * limit), STEP)
 
 
 def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -159,17 +162,19 @@ def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.nda
     word[:n] = t
     for shift in (1, 2, 4):
         word[:-shift] |= word[shift:] << np.uint64(8 * shift)
-    at, before = sa[1:].astype(np.int64), sa[:-1].astype(np.int64)
-    room = np.minimum(n - np.maximum(at, before), most)
-    got = np.zeros(n - 1, dtype=np.int64)
-    live = np.arange(n - 1)
-    while len(live):
-        k = got[live]
-        x = word[at[live] + k] ^ word[before[live] + k]
-        low = np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3  # 8 if x is 0
-        got[live] = k + low
-        live = live[(low == 8) & (got[live] < room[live])]
-    out[at] = np.minimum(got, room)
+    for low in range(1, n, STEP):
+        at, before = sa[low : low + STEP].astype(np.int64), sa[low - 1 : low - 1 + STEP].astype(np.int64)
+        before = before[: len(at)]
+        room = np.minimum(n - np.maximum(at, before), most)
+        got = np.zeros(len(at), dtype=np.int64)
+        live = np.arange(len(at))
+        while len(live):
+            k = got[live]
+            x = word[at[live] + k] ^ word[before[live] + k]
+            same = np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3  # 8 if x is 0
+            got[live] = k + same
+            live = live[(same == 8) & (got[live] < room[live])]
+        out[at] = np.minimum(got, room)
     return out
 
 

@@ -336,13 +336,14 @@ def shared_spans(pieces: list[bytes], doc: np.ndarray, lo: np.ndarray, width: in
     sa = suffix_array(b)
     common = permuted_common_prefixes(b, sa, width)
     n_starts = np.maximum(sizes - width + 1, 0)
-    owner = np.repeat(np.arange(len(pieces)), n_starts)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(n_starts) - n_starts, n_starts)
-    of = np.full(len(b), -1, dtype=np.int64)
-    of[begin[owner] + offset] = np.arange(len(owner))
-    run = np.cumsum(common[sa] < width)
-    chosen = of[sa] >= 0
-    start, run = of[sa][chosen], run[chosen]
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), n_starts)
+    offset = (np.arange(len(owner)) - np.repeat(np.cumsum(n_starts) - n_starts, n_starts)).astype(np.int32)
+    of = np.full(len(b), -1, dtype=np.int32)
+    of[begin[owner] + offset] = np.arange(len(owner), dtype=np.int32)
+    run = np.cumsum(common[sa] < width, dtype=np.int32)
+    start = of[sa]
+    chosen = start >= 0
+    start, run = start[chosen], run[chosen]
     if not len(start):
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty, empty
@@ -391,7 +392,7 @@ def _trimmed(rows: list[tuple], width: int, gram: int) -> list[tuple[int, int, b
     return out
 
 
-def _sort_shard(width: int, gram: int, most_bytes: int = 2 << 20):
+def _sort_shard(width: int, gram: int, most_bytes: int = 1 << 20):
     """Rows sorted by key -> spans. A shard is sorted in runs of whole keys of about ``most_bytes``."""
 
     def out(rows):
