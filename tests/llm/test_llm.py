@@ -549,6 +549,19 @@ def test_pipeline_stages_keep_columns(spark, docs):
     assert out.count() == at.count()
 
 
+def test_pipeline_end_to_end_and_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    got = corpus_pipeline.run(spark, d)
+    assert {"doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"} <= set(got.columns) and got.count() > 0
+    ids = {r["doc_id"] for r in got.select("doc_id").collect()}
+    assert ids <= {r["doc_id"] for r in common.table(spark, d, "documents").select("doc_id").collect()}
+    for name in ("documents", "labels"):
+        common.table(spark, d, name).limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, k) for k in range(200, 260)] + [(7, 7), (8, None), (3, 2)]
     got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
