@@ -513,10 +513,67 @@ def test_chroma_finds_shifted_recordings(spark):
     assert len(got) == len(rows)
     assert got[2]["class_id"] == 1 and got[3]["component_id"] == 1 and got[4]["component_id"] == 4
     assert got[5]["n_items"] == got[6]["n_items"] == 0 and got[5]["component_id"] == 5
-    offset, _, error = chroma.align(chroma.fingerprint(rows[2][1]), chroma.fingerprint(rows[0][1]))
+    offset, _, error, _ = chroma.align(chroma.fingerprint(rows[2][1]), chroma.fingerprint(rows[0][1]))
     assert offset == 10 and error < 0.15
 
 
+def union_find(pairs):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return find
+
+
+def test_chroma_recall_against_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnoprstuvw"), rng.integers(2, 10))) for _ in range(2000)]
+    prose = lambda n: " ".join(rng.choice(vocabulary, n))
+    common, texts = prose(60), []
+    for k in range(40):
+        base = prose(250)
+        words = base.split(" ")
+        words[rng.integers(150, 250)] = "changed"
+        at = int(rng.integers(0, 60)) * chroma.HOP
+        texts += [base, " ".join(words), base[at : at + 700], prose(120) + common + prose(120)]  # whole, edited, contained, a passage that all of these share
+        if k < 5:
+            texts.append(prose(900) + base + prose(900))  # a short one inside a long one, at any phase
+            texts.append(texts[-1][: len(texts[-1]) // 16 * 16 // 2] + base)
+    ids = rng.permutation(len(texts)) + 1
+    rows = [(int(i), t.encode()) for i, t in zip(ids, texts)] + [(9999, texts[0].encode())]
+    rows.append((int(ids[1]), texts[1].encode()))  # a repeated row
+    wide = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "rec long, pcm binary, items string, id int, mark int").repartition(3)
+    got = {r["id"]: r["component_id"] for r in chroma.group_recordings(wide, "rec", "pcm", "u8").collect()}
+    assert len(got) == len(texts) + 1
+    prints = sorted({i: chroma.fingerprint(t, "u8") for i, t in rows}.items())
+    true = [(a, b) for k, (a, x) in enumerate(prints) for b, y in prints[k + 1 :] if np.array_equal(x, y) or chroma.aligned(x, y)]
+    assert len(true) > 100
+    assert sum(got[a] == got[b] for a, b in true) >= 0.95 * len(true)
+    find = union_find(true)
+    assert all(find(i) == find(c) for i, c in got.items())  # nothing is linked that does not align
+
+
+def test_chroma_crowded_anchor(spark):
+    rng = np.random.default_rng(4)
+    family = rng.integers(0, 1 << 16, (30, 8), dtype=np.uint16)
+    around = family[np.arange(3000) % 30].copy()
+    around[np.arange(3000), rng.integers(0, 8, 3000)] ^= (1 << rng.integers(0, 16, 3000)).astype(np.uint16)
+    full = np.full(3000, 500)
+    rows = list(zip(*(v.to_pylist() for v in chroma._rows(np.where(np.arange(3000) < 2990, 7, 9), np.arange(3000), full // 2, full, around))))
+    got = [(r["a"], r["b"]) for r in chroma.likely_pairs(spark.createDataFrame(rows, chroma._ROW_TYPE)).collect()]
+    find = union_find(got)
+    for k in range(30):
+        assert len({find(i) for i in range(k, 2990, 30)}) == 1
+    assert len(got) < 30 * 3000  # no copying of a family into all its pairs
+    assert all(a % 30 == b % 30 for a, b in got)
+
+
 def test_long_recordings_in_pieces(monkeypatch):
     audio = np.random.default_rng(1).integers(0, 256, 20000).astype(np.uint8).tobytes()
     whole = chroma.fingerprint(audio, "u8")
