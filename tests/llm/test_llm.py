@@ -560,18 +560,21 @@ def test_chroma_recall_against_all_pairs(spark):
 
 
 def test_chroma_crowded_anchor(spark):
-    rng = np.random.default_rng(4)
-    family = rng.integers(0, 1 << 16, (30, 8), dtype=np.uint16)
-    around = family[np.arange(3000) % 30].copy()
-    around[np.arange(3000), rng.integers(0, 8, 3000)] ^= (1 << rng.integers(0, 16, 3000)).astype(np.uint16)
-    full = np.full(3000, 500)
-    rows = list(zip(*(v.to_pylist() for v in chroma._rows(np.where(np.arange(3000) < 2990, 7, 9), np.arange(3000), full // 2, full, around))))
+    rng, n, families = np.random.default_rng(4), 10000, 30
+    family = rng.integers(0, 256, (families, 16), dtype=np.uint8)
+    around = family[np.arange(n) % families].copy()
+    for _ in range(2):
+        around[np.arange(n), rng.integers(0, 16, n)] ^= (1 << rng.integers(0, 8, n)).astype(np.uint8)
+    full = np.full(n, 500)
+    rows = []
+    for mark in range(5, 10):  # anchors that all share; each is over CROWD contexts or split between partitions
+        rows += zip(*(v.to_pylist() for v in chroma._rows(np.full(n, mark), np.arange(n), full // 2, full, around)))
     got = [(r["a"], r["b"]) for r in chroma.likely_pairs(spark.createDataFrame(rows, chroma._ROW_TYPE)).collect()]
     find = union_find(got)
-    for k in range(30):
-        assert len({find(i) for i in range(k, 2990, 30)}) == 1
-    assert len(got) < 30 * 3000  # no copying of a family into all its pairs
-    assert all(a % 30 == b % 30 for a, b in got)
+    for k in range(families):
+        assert len({find(i) for i in range(k, n, families)}) == 1
+    assert len(got) < 10 * n  # a family is not copied into all its pairs
+    assert all(a % families == b % families for a, b in got)
 
 
 def test_long_recordings_in_pieces(monkeypatch):
