@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import align
 from .byte_bpe import digests
 from .chaining import passages
 from .chroma import group_recordings
@@ -21,6 +22,9 @@ from .simhash import simhash_groups
 from .suffix_dedup import ORACLE as SUBSTRING_ORACLE
 from .suffix_dedup import dedup_substrings
 from .token_counts import count_tokens
+from .toxicity import score_toxicity
+from .vector_codes import compress
+from .vector_codes import oracle as codes_oracle
 
 
 def op1_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +69,18 @@ def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op3 that SQL can express: each source's size and target."""
     return source_targets(table(spark, sf_dir, "documents")).selectExpr("source", "source_size", "round(target, 6) as target")
@@ -81,11 +97,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_stupid_backoff": op10_stupid_backoff,
+    "op11_toxicity": op11_toxicity,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_token_alignment": op13_token_alignment,
     "mixing_targets": mixing_targets,
 }
 
 ORACLES: dict[str, str] = {
     "op9_suffix_array_dedup": SUBSTRING_ORACLE,
     "op10_stupid_backoff": NGRAM_ORACLE,
+    "op12_vector_codes": f"select * exclude (label) from ({codes_oracle()})",
     "mixing_targets": MIXING_ORACLE,
 }
