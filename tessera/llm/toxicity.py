@@ -14,8 +14,8 @@ two passes of numbers over the grams and the width of the vectors only enters on
 gram. Every ``EVERY`` steps all windows are weighed anew; between them a document goes by its ``TOP``
 highest ones, which carry nearly all of its sum. Some of the training words stand in a form with one random edit.
 
-The fit is the only bounded part: at most ``SAMPLE_WORDS`` words of labelled documents, in order of a
-hash of the id, of ``LONGEST`` words each at most, in one executor task. Only the weight of each gram
+The fit is the only bounded part: at most ``SAMPLE_WORDS`` words of labelled documents of ``LONGEST``
+words each at most, taken by shares of a hash of the id, in one executor task. Only the weight of each gram
 bucket, 4 bytes times ``BUCKETS``, reaches the driver. Scoring reads whole texts in blocks.
 
 Only ``text`` is read for a score. Defined results: a null text, or one without words, has score 0;
@@ -42,7 +42,7 @@ from .common import WORD, cut
 from .words import MIX, mixed
 
 BUCKETS, DIM, WINDOW, GRAMS = 1 << 18, 16, 8, (3, 4, 5)
-SAMPLE_WORDS, LONGEST = 4_000_000, 50_000
+SAMPLE_WORDS, LONGEST, SHARES = 3_000_000, 50_000, 64
 THRESHOLD, SEED, STEPS, EVERY, TOP = 0.7, 11, 300, 30, 8
 #: Step sizes of gram vectors, class rows and intercept; momentum.
 RATES, MOMENTUM = (2000.0, 0.02, 0.5), 0.9
@@ -316,18 +316,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_words: int = SAMPLE
     """``(doc_id, text, toxic)``: labelled documents that are not held out, up to ``sample_words`` words."""
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), (F.col("toxic") == 1).cast("int").alias("toxic")).na.drop().where(~held_out(F.col("_id")))
     by_id = known.groupBy("_id").agg(F.max("toxic").alias("toxic"))
-    # no document has fewer than one word, so no more ids are of use; the order decides, not the size
-    order = [F.xxhash64(F.lit(SEED), "_id"), F.col("_id")]
-    ids = by_id.orderBy(*order).limit(min(sample_words, 100_000))
-    words = F.regexp_count(F.col("text"), F.lit(WORD))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    mine = texts.join(ids, texts["doc_id"] == ids["_id"]).withColumn("n", words).where((F.col("n") > 0) & (F.col("n") <= longest))
-    one = mine.groupBy("_id").agg(F.min_by(F.struct("text", "n"), F.xxhash64("text")).alias("t"), F.max("toxic").alias("toxic"))
-    # at most 100,000 rows, of an id and a number each, meet in one task
-    sizes = one.select("_id", "t.n")
-    upto = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    picked = sizes.withColumn("upto", upto).where(F.col("upto") <= sample_words).select("_id")
-    return one.join(picked, "_id").select(F.col("_id").alias("doc_id"), F.col("t.text").alias("text"), "toxic")
+    texts = texts.join(by_id, texts["doc_id"] == by_id["_id"]).withColumn("h", F.xxhash64("text"))
+    words = F.regexp_count(F.col("text"), F.lit(WORD))
+    one = texts.select("_id", "toxic", "h", words.alias("n")).where((F.col("n") > 0) & (F.col("n") <= longest))
+    one = one.groupBy("_id").agg(F.min("h").alias("h"), F.min_by("n", "h").alias("n"), F.max("toxic").alias("toxic"))
+    one = cut(one)
+    # ids are dealt by hash into shares of about 1 / SHARES of the bound; as many whole ones are taken as fit, so no task sorts the ids
+    total = one.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shares = max(SHARES, -(-SHARES * total // sample_words))
+    one = one.withColumn("share", F.pmod(F.xxhash64(F.lit(SEED), "_id"), F.lit(shares))).where(F.col("share") < 2 * SHARES)
+    upto = F.sum("n").over(Window.orderBy("share").rowsBetween(Window.unboundedPreceding, 0))
+    taken = one.groupBy("share").agg(F.sum("n").alias("n")).withColumn("upto", upto).where(F.col("upto") <= sample_words).select("share")
+    # at most ``sample_words`` rows: every document taken has a word
+    picked = one.join(F.broadcast(taken), "share").select("_id", "h", "toxic")
+    found = texts.select("_id", "h", "text").join(picked, ["_id", "h"])
+    return found.groupBy(F.col("_id").alias("doc_id")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def _pack(batches):
