@@ -14,8 +14,8 @@ two passes of numbers over the grams and the width of the vectors only enters on
 gram. Every ``EVERY`` steps all windows are weighed anew; between them a document goes by its ``TOP``
 highest ones, which carry nearly all of its sum. Some of the training words stand in a form with one random edit.
 
-The fit is the only bounded part: at most ``SAMPLE_WORDS`` words of labelled documents of ``LONGEST``
-words each at most, taken by shares of a hash of the id, in one executor task. Only the weight of each gram
+The fit is the only bounded part: at most ``SAMPLE`` characters of labelled documents of ``LONGEST``
+at most, taken by shares of a hash of the id, in one executor task. Only the weight of each gram
 bucket, 4 bytes times ``BUCKETS``, reaches the driver. Scoring reads whole texts in blocks.
 
 Only ``text`` is read for a score. Defined results: a null text, or one without words, has score 0;
@@ -38,11 +38,11 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import cut
 from .words import MIX, mixed
 
 BUCKETS, DIM, WINDOW, GRAMS = 1 << 18, 16, 8, (3, 4, 5)
-SAMPLE_WORDS, LONGEST, SHARES = 3_000_000, 50_000, 64
+SAMPLE, LONGEST, SHARES = 20_000_000, 300_000, 64
 THRESHOLD, SEED, STEPS, EVERY, TOP = 0.7, 11, 300, 30, 8
 #: Step sizes of gram vectors, class rows and intercept; momentum.
 RATES, MOMENTUM = (2000.0, 0.02, 0.5), 0.9
@@ -312,25 +312,26 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample_words: int = SAMPLE_WORDS, longest: int = LONGEST) -> DataFrame:
-    """``(doc_id, text, toxic)``: labelled documents that are not held out, up to ``sample_words`` words."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> DataFrame:
+    """``(doc_id, text, toxic)``: labelled documents that are not held out, up to ``sample`` characters."""
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), (F.col("toxic") == 1).cast("int").alias("toxic")).na.drop().where(~held_out(F.col("_id")))
     by_id = known.groupBy("_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(by_id, texts["doc_id"] == by_id["_id"]).withColumn("h", F.xxhash64("text"))
-    words = F.regexp_count(F.col("text"), F.lit(WORD))
-    one = texts.select("_id", "toxic", "h", words.alias("n")).where((F.col("n") > 0) & (F.col("n") <= longest))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).where("_id is not null and text is not null")
+    texts = texts.withColumn("h", F.xxhash64("text"))
+    # ids and sizes only: texts are not shuffled
+    sized = texts.select("_id", "h", F.length("text").alias("n")).where((F.col("n") > 0) & (F.col("n") <= longest))
+    one = sized.join(by_id, "_id")
     one = one.groupBy("_id").agg(F.min("h").alias("h"), F.min_by("n", "h").alias("n"), F.max("toxic").alias("toxic"))
     one = cut(one)
     # ids are dealt by hash into shares of about 1 / SHARES of the bound; as many whole ones are taken as fit, so no task sorts the ids
     total = one.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shares = max(SHARES, -(-SHARES * total // sample_words))
+    shares = max(SHARES, -(-SHARES * total // sample))
     one = one.withColumn("share", F.pmod(F.xxhash64(F.lit(SEED), "_id"), F.lit(shares))).where(F.col("share") < 2 * SHARES)
     upto = F.sum("n").over(Window.orderBy("share").rowsBetween(Window.unboundedPreceding, 0))
-    taken = one.groupBy("share").agg(F.sum("n").alias("n")).withColumn("upto", upto).where(F.col("upto") <= sample_words).select("share")
-    # at most ``sample_words`` rows: every document taken has a word
+    taken = one.groupBy("share").agg(F.sum("n").alias("n")).withColumn("upto", upto).where(F.col("upto") <= sample).select("share")
+    # at most ``sample`` rows, as every text taken has a character
     picked = one.join(F.broadcast(taken), "share").select("_id", "h", "toxic")
-    found = texts.select("_id", "h", "text").join(picked, ["_id", "h"])
+    found = texts.join(F.broadcast(picked), ["_id", "h"])
     return found.groupBy(F.col("_id").alias("doc_id")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
@@ -353,7 +354,7 @@ def _fit_rows(batches):
 
 def train(docs: DataFrame, labels: DataFrame, **options) -> tuple[np.ndarray, float]:
     rows = cut(training_rows(docs, labels, **options).mapInArrow(_pack, "doc_id long, packed binary, toxic int"))
-    # bounded by ``sample_words``: the sample meets in one task
+    # bounded by ``sample``: the sample meets in one task
     made = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(_fit_rows, "weights binary, bias double").first()
     if made is None:  # the plan of an empty sample has no task
         return np.zeros(BUCKETS, dtype=np.float32), -np.inf

@@ -84,10 +84,10 @@ def test_toxicity_scores_do_not_depend_on_blocks(monkeypatch):
 
 def test_toxicity_sample_is_bounded_and_skips_held_out_ids(spark, toxic):
     docs, marks, rows, _ = toxic
-    sizes = {i: len(t.split()) for i, t in rows}
-    got = [r["doc_id"] for r in toxicity.training_rows(docs, marks, sample_words=5000, longest=200).select("doc_id").collect()]
-    assert len(set(got)) == len(got) and 3000 < sum(sizes[i] for i in got) <= 5000
-    assert all(zlib.crc32(str(i).encode()) % 3 != 1 and sizes[i] <= 200 for i in got)
+    sizes = {i: len(t) for i, t in rows}
+    got = [r["doc_id"] for r in toxicity.training_rows(docs, marks, sample=30_000, longest=1000).select("doc_id").collect()]
+    assert len(set(got)) == len(got) and 20_000 < sum(sizes[i] for i in got) <= 30_000
+    assert all(zlib.crc32(str(i).encode()) % 3 != 1 and sizes[i] <= 1000 for i in got)
 
 
 @pytest.mark.parametrize("which", ["docs", "labels", "one class"])
