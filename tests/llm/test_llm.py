@@ -263,8 +263,8 @@ def test_recall_of_fuzzy_passages(spark):
 def test_matches_across_partition_edges(spark):
     """One seed held by every document goes over many range partitions: first and preceding documents are still those of the whole table."""
     rng = random.Random(6)
-    line = words(rng, 12, 10**6)
-    df = spark.createDataFrame([(i, f"{words(rng, 8, 10**6)} {line} {words(rng, 8, 10**6)}") for i in range(3000)], "doc_id long, text binary")
+    line = words(rng, 16, 10**6)  # 14 words are certain to hold a shared seed
+    df = spark.createDataFrame([(i, f"{words(rng, 8, 10**6)} {line} {words(rng, 8, 10**6)}".encode()) for i in range(3000)], "doc_id long, text binary")
     for n in (3, 40):
         spark.conf.set("spark.sql.shuffle.partitions", n)
         try:
