@@ -1,6 +1,6 @@
-"""Vector search: exact, and an approximate form with a recall knob.
+"""Exact vector search; the approximate one is in ``ann``.
 
-The exact form compares a batch of query vectors with all stored vectors. The query side is counted
+It compares a batch of query vectors with all stored vectors. The query side is counted
 first: up to ``BROADCAST_NUMBERS`` vector components it is broadcast, beyond that queries are dealt into
 blocks, and stored vectors into shares of each block, that meet in one equi-join: as many tasks as
 blocks times shuffle partitions, and nothing unbounded is ever broadcast. The result keeps k rows per query: the window's group limit prunes before the shuffle.
@@ -52,38 +52,3 @@ def save(vectors: DataFrame, path: str) -> None:
 
 def load(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
-
-
-def search_approximate(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 12, bits: int = 8, seed: int = 11) -> DataFrame:
-    """Candidates by sign-bit hash tables (equi-join per table and bucket), then exact scores.
-
-    More tables raise recall, more bits cut candidates. Buckets that hold many vectors only widen the
-    equi-join, which AQE splits.
-    """
-    import random
-
-    width = vectors.select(F.max(F.size("embedding"))).first()[0] or 0
-    rng = random.Random(seed)
-    planes = [[[rng.gauss(0, 1) for _ in range(width)] for _ in range(bits)] for _ in range(tables)]
-
-    def bucket(column: str, t: int):
-        out = F.lit(0)
-        for i, plane in enumerate(planes[t]):
-            side = dot(F.col(column), F.array(*[F.lit(x) for x in plane])) > 0
-            out = out + F.when(side, F.lit(1 << i)).otherwise(0)
-        return out
-
-    def keyed(df: DataFrame, column: str) -> DataFrame:
-        return df.withColumn("_b", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), bucket(column, t).alias("b")) for t in range(tables)])))
-
-    pairs = (
-        keyed(vectors.select("key", "embedding"), "embedding").select("key", "_b")
-        .join(keyed(queries.select("query_id", F.col("embedding").alias("q")), "q").select("query_id", "_b"), "_b")
-        .select("query_id", "key").distinct()
-    )
-    full = pairs.join(vectors.select("key", "embedding"), "key").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
-    lengths = norm(F.col("embedding")) * norm(F.col("q"))
-    score = F.when(lengths > 0, dot(F.col("embedding"), F.col("q")) / lengths).otherwise(0.0)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "key")
-    ranked = full.select("query_id", "key", score.alias("score")).withColumn("rank", F.row_number().over(order).cast("long"))
-    return ranked.where(F.col("rank") <= k)

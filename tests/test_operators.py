@@ -54,14 +54,6 @@ def test_vector_search_zero_norm_and_order(spark):
     assert blocks.count() == 6
 
 
-def test_approximate_search_recall(spark, sf):
-    v = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("key"), "embedding")
-    q = v.select(F.col("key").alias("query_id"), "embedding").orderBy("query_id").limit(20)
-    exact = {(r[0], r[1]) for r in vector.search(v, q, 1).select("query_id", "key").collect()}
-    near = {(r[0], r[1]) for r in vector.search_approximate(v, q, 1, tables=6, bits=6).select("query_id", "key").collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
-
-
 def test_ann_topk_recall_without_the_query_itself(spark):
     d = "/root/testdata/sf0.01"
     got = {(r["query_id"], r["key"]) for r in catalog.ann_topk(spark, d).collect()}
