@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
-from ..functions.text import exact_phrase, overlap, quality
-from . import lexical, vector
+from ..functions.text import exact_phrase, overlap, quality, set_overlap, word_set
+from ..sources.shared import materialise
+from . import blocks, lexical, vector
 
 METHODS = ("rrf", "weighted")
 
@@ -70,7 +71,7 @@ def metadata_factor(timestamp: Column, source: Column, as_of: Column, recency_we
 
 
 def hybrid_search(
-    chunks: DataFrame, vectors: DataFrame, index: lexical.LexicalIndex, queries: DataFrame, k: int = DEFAULTS.TOP_K_RESULTS,
+    chunks: DataFrame, vectors: DataFrame, index: lexical.LexicalIndex | blocks.BlockIndex, queries: DataFrame, k: int = DEFAULTS.TOP_K_RESULTS,
     method: str = "rrf", heuristics: bool = True, rerank=None, boost: dict | None = None, as_of: Column | None = None, settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """Top k chunks of each query: both retrievers over-fetch (3k before a reranker, else 2k), fuse, re-score, cut.
@@ -78,13 +79,22 @@ def hybrid_search(
     chunks(key, content[, timestamp, source]); vectors(key, embedding); queries(query_id, query, embedding).
     """
     fetch = k * (3 if rerank else 2)
-    fused = fuse(vector.search(vectors, queries, fetch), lexical.search(index, queries, fetch), method, settings.HYBRID_SEARCH_ALPHA, settings.RRF_K)
-    rows = fused.join(chunks, "key").join(queries.select("query_id", "query"), "query_id")
+    by_words = blocks.search if isinstance(index, blocks.BlockIndex) else lexical.search
+    fused = fuse(vector.search(vectors, queries, fetch), by_words(index, queries, fetch), method, settings.HYBRID_SEARCH_ALPHA, settings.RRF_K)
+    asked = queries.select("query_id", "query")
+    if heuristics:
+        # a chunk's words and quality are worked out once for all queries that it answers, a query's words once for all its chunks
+        fused = materialise(fused)
+        chunks = chunks.join(fused.select("key").distinct(), "key", "left_semi")
+        chunks = materialise(chunks.withColumns({"_low": F.lower("content"), "_words": word_set(F.col("content")), "_quality": quality(F.col("content"))}))
+        asked = materialise(asked.withColumns({"_phrase": F.lower("query"), "_asked": word_set(F.col("query"))}))
+    rows = fused.join(chunks, "key").join(asked, "query_id")
     if heuristics:
         boost = {"recency_weight": 0.1, "source_quality": {}, "exact_match_boost": 0.2} | (boost or {})
-        score = F.col("score") * heuristic_factor(F.col("query"), F.col("content"), boost["exact_match_boost"])
+        exact = F.when(F.contains("_low", F.col("_phrase")), boost["exact_match_boost"]).otherwise(0.0)
+        score = F.col("score") * (1 + exact + 0.15 * set_overlap(F.col("_asked"), F.col("_words"))) * F.col("_quality")
         if {"timestamp", "source"} <= set(chunks.columns) and as_of is not None:
             score = score * metadata_factor(F.col("timestamp"), F.col("source"), as_of, boost["recency_weight"], boost["source_quality"])
         rows = rows.withColumn("score", score)
-    best = lexical.top_k(rows, fetch if rerank else k)
+    best = lexical.top_k(rows.drop("_low", "_words", "_quality", "_phrase", "_asked"), fetch if rerank else k)
     return rerank(best, k) if rerank else best

@@ -70,7 +70,7 @@ def build_index(chunks: DataFrame, key: str = "chunk_id", text: str = "content",
 
 def combined(parts: DataFrame) -> DataFrame:
     """The corpus row of several parts' rows."""
-    return parts.agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.col("n") * F.col("avgdl")) / F.sum("n"), F.lit(1.0)).alias("avgdl"))
+    return parts.agg(F.sum("n").alias("n"), F.coalesce(F.try_divide(F.sum(F.col("n") * F.col("avgdl")), F.sum("n")), F.lit(1.0)).alias("avgdl"))
 
 
 def append(index: LexicalIndex, chunks: DataFrame, key: str = "chunk_id", text: str = "content") -> LexicalIndex:
