@@ -17,6 +17,7 @@ from .. import constants as K
 from ..functions import text as T
 from ..functions.splitter import split_column
 from ..functions.vectors import normalize
+from ..sources import files
 from ..sources.shared import exists, materialise, rename, shared_dir, table_state
 from ..operators import agentic, ann, blocks, cache, evaluation, fusion, ingest, lexical, observability, pipelines, prompts, sections, shaping, vector
 from . import oracle_parts as O
@@ -53,6 +54,10 @@ def big(c: str):
     return F.col(c).cast("bigint").alias(c)
 
 
+def big_length(c):
+    return F.length(c).cast("bigint")
+
+
 def r6(c, name: str | None = None):
     c = F.col(c) if isinstance(c, str) else c
     out = F.round(c, 6)
@@ -275,6 +280,16 @@ def titled_turns(spark, d):
     return rows.select("conv_id", "turn", "content", F.when(~own, T.title(F.col("content"), F.lit("turn.md"))).alias("title"))
 
 
+@register("""select page_id, length(html) + 1 as n_chars, sha256(html || chr(10)) as content_sha256, '.txt' as file_type from pages""")
+def file_documents(spark, d):
+    """Every page as a file below folders that Spark's readers would pass over, read back by the file source."""
+    root = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    read(spark, d, "pages").select(F.col("html").alias("value"), F.col("page_id").alias("_page")).write.partitionBy("_page").text(f"{root}/.kept/_pages")
+    rows = files.load_documents(spark, root)
+    number = F.regexp_extract(F.col("metadata")["source_file"], r"/_page=(\d+)/", 1).cast("bigint")
+    return rows.select(number.alias("page_id"), big_length(F.col("content")).alias("n_chars"), F.sha2("content", 256).alias("content_sha256"), F.col("metadata")["file_type"].alias("file_type"))
+
+
 @register("""select event_id, case event_id % 4 when 0 then '1.' || user_id || '|2' when 2 then 'n' || user_id else '' end as nodes,
  case event_id % 4 when 0 then 'alpha ' || event_id when 1 then 'beta ' || event_id when 2 then 'a long quoted ' || event_id end as parts,
  event_id % 4 = 3 as complete, case event_id % 4 when 0 then 1.0 when 1 then 0.25 when 2 then 0.75 else 0.5 end::double as confidence, case event_id % 4 when 0 then 'g' || event_id else '' end as gaps,

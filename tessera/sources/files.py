@@ -1,8 +1,9 @@
-"""File sources and report sinks. Paths go through Spark's readers, so any file system will do.
+"""File sources and report sinks.
 
-Those readers pass over names that begin with ``_`` or ``.``; files so named are listed through the
-file system and read on the driver, up to ``HIDDEN_FILES`` of them (beyond that: ``ValueError``).
-A file that is not UTF-8 gives no document but a row of ``load_errors``.
+Files are read whole, by tasks, through the data source in ``recursive``: every file below a folder comes once, also
+one whose name or folder begins with ``_`` or ``.``. Paths of file systems that only Spark can open go through Spark's
+reader; as it passes over such names, a folder that holds any is refused there (``ValueError``).
+A file that is not UTF-8 or cannot be read gives no document but a row of ``load_errors`` with the cause.
 """
 
 from __future__ import annotations
@@ -12,43 +13,27 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
-
-HIDDEN_FILES, HIDDEN_BYTES = 1000, 32 << 20
-
-
-def _hidden(fs, found) -> list:
-    """Files below whose own name the readers would pass over."""
-    out = []
-    while found.hasNext():
-        status = found.next()
-        if status.getPath().getName()[0] in "_." and _suffix(status.getPath().getName()) in K.SUFFIXES:
-            out.append(status)
-            if len(out) > HIDDEN_FILES or sum(s.getLen() for s in out) > HIDDEN_BYTES:
-                raise ValueError("too many files whose names begin with '_' or '.': rename them")
-    return out
-
-
-def _suffix(name: str) -> str:
-    at = name.rfind(".")
-    return name[at:] if at > 0 else ""
+from . import recursive
 
 
 def _raw(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes) of a file or of all files below a folder."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(conf)
-    if not fs.exists(jpath):
+    """(path, bytes, error) of a file or of all files below a folder."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
         raise ValueError(f"invalid source path: {path}")
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("content").alias("bytes"))
-    held = []
-    for status in _hidden(fs, fs.listFiles(jpath, True)):
-        stream = fs.open(status.getPath())
-        try:
-            held.append((status.getPath().toString(), bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
-        finally:
-            stream.close()
-    return rows.unionByName(spark.createDataFrame(held, "path string, bytes binary")) if held else rows
+    if fs.getScheme() in recursive.SCHEMES:
+        spark.dataSource.register(recursive.FilesSource)
+        own = path if "://" in path else at.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
+        return spark.read.format(recursive.NAME).load(own)
+    found, top = fs.listFiles(at, True), at.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
+    while found.hasNext():
+        below = found.next().getPath().toString()[len(top) :].split("/")
+        if any(part[:1] in ("_", ".") and "=" not in part for part in below):
+            raise ValueError("names that begin with '_' or '.' cannot be read from this file system")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return rows.select("path", F.col("content").alias("bytes"), F.lit(None).cast("string").alias("error"))
 
 
 def _texts(spark: SparkSession, path: str) -> DataFrame:
@@ -59,7 +44,8 @@ def _texts(spark: SparkSession, path: str) -> DataFrame:
 def load_errors(spark: SparkSession, path: str) -> DataFrame:
     """(path, error) of the supported files that give no document."""
     rows = _raw(spark, path).where(T.suffix(F.col("path")).isin(*K.SUFFIXES))
-    return rows.where(~F.is_valid_utf8(F.col("bytes").cast("string"))).select("path", F.lit("UnicodeDecodeError").alias("error"))
+    error = F.coalesce("error", F.when(~F.is_valid_utf8(F.col("bytes").cast("string")), "UnicodeDecodeError"))
+    return rows.select("path", error.alias("error")).where("error is not null")
 
 
 def load_documents(spark: SparkSession, path: str, version: str = "latest", component: str = "generic", domain: bool = False) -> DataFrame:
