@@ -135,23 +135,21 @@ def exposition(metric: str, rows: DataFrame, value: str, *labels: str) -> DataFr
     return rows.select(F.concat(F.lit(metric), F.lit("{"), inner, F.lit("} "), F.col(value).cast("string")).alias("line"))
 
 
-#: What to look at first, by the error's type, in our own words; the last is for all others.
+#: What helps, by the kinds of error that this engine's own tables hold (``load_errors``, the ingest report, refused records).
 TIPS = (
-    ("KeyError", "Compare the document's fields with the expected ones; look for missing metadata."),
-    ("ValueError", "Look at the values' types and formats; look for empty or malformed content."),
-    ("UnicodeDecodeError", "Find out the file's encoding; look for binary or damaged files."),
-    ("Embedding", "Look at credentials, rate limits and the network; the text may be too long for the model."),
-    ("API", "Look at credentials, rate limits and the network; the text may be too long for the model."),
-    ("", "Read the stack trace in the detailed report; look at the document and its metadata."),
+    ("FileTooLarge", "Split the file before loading: a row holds one file whole, and the source refuses files over mostBytes."),
+    ("FileNotFoundError", "The folder changed between listing and reading; load it again once its writer has finished."),
+    ("PermissionError", "Executors read the files, not the driver: give their account read access."),
+    ("UnicodeDecodeError", "Only UTF-8 is loaded; convert the file, or leave it out by its suffix."),
+    ("no chunk could be embedded", "Every chunk was under the minimum length, or the embedder returned an empty vector for each."),
+    ("no section", "The text has no heading and no line outside fences; check that it is Markdown."),
+    ("ValueError", "The record lacks a title or a content of type string; nothing of its batch was ingested."),
 )
+OTHER_TIP = "No rule covers this kind; group the report by its message and reload one of the documents alone."
 
 
 def tip(error_type: Column) -> Column:
-    out = None
-    for key, text in TIPS:
-        hit = error_type == key if key.endswith("Error") else F.contains(error_type, F.lit(key))
-        out = F.when(hit, text) if out is None else out.when(hit, text)
-    return out
+    return F.coalesce(*[F.when(error_type == kind, text) for kind, text in TIPS], F.lit(OTHER_TIP))
 
 
 def health(vectors: DataFrame | None, model_available: bool) -> dict[str, object]:

@@ -638,13 +638,14 @@ def ingest_throughput(spark, d):
     return observability.throughput(rows).select("documents", big("chunks"), "errors", *[r6(c, c) for c in rates])
 
 
-_KINDS = "['KeyError', 'ValueError', 'UnicodeDecodeError', 'EmbeddingError', 'Other'][event_id % 5 + 1]"
-_TIPS = "case " + " ".join((f"when {_KINDS} = {O.lit(k)}" if k.endswith("Error") else f"when contains({_KINDS}, {O.lit(k)})") + f" then {O.lit(t)}" for k, t in observability.TIPS) + " end"
+_ERROR_KINDS = (*(kind for kind, _ in observability.TIPS), "Other")
+_KINDS = f"{O.word_list(_ERROR_KINDS)}[event_id % {len(_ERROR_KINDS)} + 1]"
+_TIPS = "case " + " ".join(f"when {_KINDS} = {O.lit(k)} then {O.lit(t)}" for k, t in observability.TIPS) + f" else {O.lit(observability.OTHER_TIP)} end"
 
 
 @register(f"select {_KINDS} as error_type, count(*)::bigint as n, any_value({_TIPS}) as tip from events where value > 50 group by 1")
 def error_tips(spark, d):
-    kinds = F.element_at(F.array(*[F.lit(x) for x in ("KeyError", "ValueError", "UnicodeDecodeError", "EmbeddingError", "Other")]), (F.col("event_id") % 5 + 1).cast("int"))
+    kinds = F.element_at(F.array(*[F.lit(x) for x in _ERROR_KINDS]), (F.col("event_id") % len(_ERROR_KINDS) + 1).cast("int"))
     errors = read(spark, d, "events").where("value > 50").select(kinds.alias("error_type"), F.col("event_id").alias("doc_idx"), F.col("props").alias("message"))
     return observability.errors_by_type(errors).select("error_type", "n", observability.tip(F.col("error_type")).alias("tip"))
 
