@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..constants import PRESERVED_TERMS
 from ..functions.text import tokens
-from ..sources.shared import materialise
+from ..sources.shared import as_parquet, materialise
 from . import lexical
 
 BLOCK, BUCKETS, LEAD, STEP = 128, 64, 4096, 1.25
@@ -59,7 +59,7 @@ class BlockIndex:
 
 
 def _write(index: BlockIndex, path: str, mode: str) -> None:
-    index.blocks.repartition("bucket", F.pmod("seg", F.lit(8))).sortWithinPartitions("bucket", "token", "band").write.mode(mode).partitionBy("bucket").parquet(f"{path}/blocks")
+    index.blocks.sortWithinPartitions("bucket", "token", "band").write.mode(mode).partitionBy("bucket").parquet(f"{path}/blocks")
     index.bands.repartition("bucket").sortWithinPartitions("bucket", "token", "band").write.mode(mode).partitionBy("bucket").parquet(f"{path}/bands")
     # last, as its presence says that the others are whole
     index.corpus.write.mode(mode).parquet(f"{path}/corpus")
@@ -78,15 +78,25 @@ def build(chunks: DataFrame, key: str = "chunk_id", text: str = "content", part:
     n, keys = chunks.agg(F.count("*"), F.count_distinct(key)).first()
     if n != keys:
         raise ValueError("keys must be unique and not null")
-    made = lexical.build_index(chunks, key, text)
+    spark = chunks.sparkSession
+    tokenised = lexical.with_tokens(chunks.select(F.col(key), F.col(text)), text)
+    marked = F.concat("tokens", F.array(F.lit(None).cast("string")))
+    made = as_parquet(tokenised.select(F.col(key).alias("key"), F.size("tokens").alias("dl"), F.explode(marked).alias("token")))
+    corpus = lexical.statistics(made.where("token is null"))
     band = F.floor(F.log("dl") / math.log(STEP)).cast("int")
     bucket = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
-    rows = made.postings.withColumn("band", band)
+    rows = made.where("token is not null").withColumn("band", band)
     bands = rows.groupBy("token", "band").agg(F.count("*").alias("n"), F.min("dl").alias("min_dl"))
-    bands = materialise(bands.select(bucket.alias("bucket"), F.lit(part).alias("part"), "token", "band", "n", "min_dl", F.ceil(F.col("n") / block).cast("long").alias("segs")))
-    dealt = rows.join(bands.select("bucket", "part", "token", "band", "segs"), ["token", "band"]).withColumn("seg", F.pmod(F.xxhash64("key"), F.col("segs")))
-    blocks = dealt.groupBy("bucket", "part", "token", "band", "seg").agg(F.collect_list(F.struct("key", "dl")).alias("rows"))
-    return BlockIndex(blocks, bands, made.corpus.withColumns({"part": F.lit(part), "buckets": F.lit(buckets)}), buckets)
+    bands = as_parquet(bands.select(bucket.alias("bucket"), F.lit(part).alias("part"), "token", "band", "n", "min_dl", F.ceil(F.col("n") / block).cast("long").alias("segs")))
+    # most bands are one block; the others, one in ``block`` postings at most, are few enough to be broadcast, or else joined
+    several = _small(bands.where("segs > 1").select("token", "band", "segs"))
+    dealt = rows.join(several, ["token", "band"], "left").withColumn("seg", F.coalesce(F.pmod(F.xxhash64("key"), F.col("segs")), F.lit(0).cast("long")))
+    # dealt once for grouping and for writing: a folder gets up to ``lanes`` files
+    lanes = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    dealt = dealt.select(bucket.alias("bucket"), F.pmod(F.xxhash64("token", "band", "seg"), F.lit(lanes)).alias("lane"), "token", "band", "seg", "key", "dl").repartition("bucket", "lane")
+    grouped = dealt.groupBy("bucket", "lane", "token", "band", "seg").agg(F.collect_list(F.struct("key", "dl")).alias("rows"))
+    blocks = grouped.select("bucket", F.lit(part).alias("part"), "token", "band", "seg", "rows")
+    return BlockIndex(blocks, bands, corpus.withColumns({"part": F.lit(part), "buckets": F.lit(buckets)}), buckets)
 
 
 def append(path: str, chunks: DataFrame, part: str, **options) -> BlockIndex:

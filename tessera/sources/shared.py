@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +47,10 @@ def materialise(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in ``spark.checkpoint.dir``; where that is unset, in a folder of the warehouse, which is shared too."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def as_parquet(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table of its own in the shared folder: like ``materialise``, at a fraction of the disk."""
+    path = f"{shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
