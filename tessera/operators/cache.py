@@ -2,7 +2,8 @@
 
 A lookup takes the nearest entry and tests only that one: similarity at the threshold or above, not
 expired at ``as_of`` (always a parameter). With ``skip_expired`` expired entries are left out before
-the nearest is taken.
+the nearest is taken. ``lookup`` compares every query with every entry; ``lookup_hits`` passes over entries that cannot
+reach the threshold (``pivots``) and gives the same hits.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
-from . import vector
+from . import pivots, vector
 
 
 def expired(created_at: Column, as_of: Column, ttl_seconds: float) -> Column:
@@ -22,6 +23,17 @@ def lookup(cache: DataFrame, queries: DataFrame, as_of: Column, threshold: float
     """``(query_id, cache_id, similarity, hit)``, one row per query."""
     entries = cache.where(~expired(F.col("created_at"), as_of, ttl_seconds)) if skip_expired else cache
     nearest = vector.search(entries.select(F.col("id").alias("key"), "embedding"), queries, 1).select("query_id", F.col("key").alias("id"), "score")
+    return _judged(cache, queries, nearest, as_of, threshold, ttl_seconds)
+
+
+def lookup_hits(cache: DataFrame, queries: DataFrame, as_of: Column, threshold: float = DEFAULTS.CACHE_SIMILARITY_THRESHOLD, ttl_seconds: float = DEFAULTS.CACHE_TTL_SECONDS, skip_expired: bool = False, n_pivots: int = 256) -> DataFrame:
+    """As ``lookup``, but the similarity is null where no entry reaches the threshold."""
+    entries = cache.where(~expired(F.col("created_at"), as_of, ttl_seconds)) if skip_expired else cache
+    near = pivots.nearest(entries.select(F.col("id").alias("key"), "embedding"), queries, threshold, n_pivots)
+    return _judged(cache, queries, near.select("query_id", F.col("key").alias("id"), "score"), as_of, threshold, ttl_seconds)
+
+
+def _judged(cache: DataFrame, queries: DataFrame, nearest: DataFrame, as_of: Column, threshold: float, ttl_seconds: float) -> DataFrame:
     found = nearest.join(cache.select("id", "created_at"), "id")
     ok = (F.col("score") >= threshold) & ~expired(F.col("created_at"), as_of, ttl_seconds)
     rows = found.select("query_id", F.when(ok, F.col("id")).alias("cache_id"), F.col("score").alias("similarity"), ok.alias("hit"))

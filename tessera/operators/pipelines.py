@@ -85,7 +85,8 @@ def against_all(rows: DataFrame, questions: DataFrame, broadcast_rows: int = 100
     blocks = -(-questions.count() // broadcast_rows)
     shares = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = questions.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    held = rows.withColumn("_share", F.floor(F.rand(7) * shares).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    keys = [c for c, kind in rows.dtypes if "map<" not in kind]
+    held = rows.withColumn("_share", F.pmod(F.xxhash64(*keys), F.lit(shares)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return held.join(dealt, ["_block", "_share"]).drop("_block", "_share")
 
 

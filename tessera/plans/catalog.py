@@ -19,7 +19,7 @@ from ..functions.splitter import split_column
 from ..functions.vectors import normalize
 from ..sources import files
 from ..sources.shared import exists, materialise, rename, shared_dir, table_state
-from ..operators import agentic, ann, blocks, cache, evaluation, fusion, ingest, lexical, observability, pipelines, prompts, sections, shaping, vector
+from ..operators import agentic, ann, blocks, cache, evaluation, fusion, ingest, lexical, observability, pipelines, prompts, sections, set_join, shaping, vector
 from . import oracle_parts as O
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -263,12 +263,24 @@ def chunk_quality(spark, d):
 @register(f"""{_BENCH} x as (select query_id, {O.overlap('query', 'text')} as overlap, contains(lower(text), lower(query)) as exact from documents, query)
  select query_id, count(*) filter (exact)::bigint as exact, round(max(overlap), 6) as best, round(avg(overlap), 6) as mean from x group by query_id""")
 def query_overlap(spark, d):
-    """All passages against all documents; a text's words are split once, not once a pair."""
-    docs = documents(spark, d).select(F.lower("content").alias("content"), T.word_set(F.col("content")).alias("words"))
-    asked = bench_queries(spark, d).select("query_id", F.lower("query").alias("query"), T.word_set(F.col("query")).alias("asked"))
-    pairs = pipelines.against_all(docs, asked)
-    score = T.set_overlap(F.col("asked"), F.col("words"))
-    return pairs.groupBy("query_id").agg(F.count_if(F.contains("content", F.col("query"))).alias("exact"), r6(F.max(score), "best"), r6(F.avg(score), "mean"))
+    """All passages against all documents: shared words by an equi-join, phrases by their rarest inner word."""
+    got = set_join.summary(documents(spark, d), bench_queries(spark, d))
+    return got.select("query_id", "exact", r6("best", "best"), r6("mean", "mean"))
+
+
+SIMILAR = 0.25
+
+
+@register(f"""{_BENCH} x as (select query_id, doc_id, {O.overlap('query', 'text')} as score from documents, query),
+ r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as r, count(*) over (partition by query_id) as n from x where score >= {SIMILAR})
+ select query_id, n::bigint as n_similar, doc_id as nearest, round(score, 6) as score from r where r = 1""")
+def similar_passages(spark, d):
+    """Documents whose words resemble a passage's, by prefix filter: how many, and the nearest."""
+    texts, asked = set_join.classes(documents(spark, d), "content", "key"), set_join.classes(bench_queries(spark, d), "query")
+    got = set_join.similar(texts, asked, SIMILAR).join(texts.select("id", "n", "least"), "id")
+    by = got.groupBy("asked_id").agg(F.sum("n").alias("n_similar"), F.min(F.struct((-F.round("score", 9)).alias("order"), F.col("least").alias("nearest"))).alias("m"))
+    asked_by = bench_queries(spark, d).select("query_id", F.unhex(F.md5(F.lower("query"))).alias("asked_id"))
+    return asked_by.join(by, "asked_id").select("query_id", big("n_similar"), F.col("m.nearest").alias("nearest"), r6(-F.col("m.order"), "score"))
 
 
 @register(rf"""select conv_id, turn, case when regexp_matches(text, '^\s*#') then text else '# Turn ' || turn || chr(10) || chr(10) || text end as content,
@@ -472,6 +484,18 @@ def semantic_cache_lookup(spark, d):
     return got.select("query_id", "cache_id", r6("similarity", "similarity"), "hit")
 
 
+@register(f"""with {_CACHE}, q as (select vec_id as query_id, embedding from embeddings where vec_id % 50 = 0),
+ s as (select query_id, id, created_at, {O.cosine("c.embedding", "q.embedding")} as score from c, q),
+ n as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as r from s where score >= 0.95),
+ h as (select query_id, id, score, epoch_us(t) - epoch_us(created_at) <= {_TTL}::bigint * 1000000 as ok from n, as_of where r = 1)
+ select query_id, case when ok then id end as cache_id, round(score, 6) as similarity, coalesce(ok, false) as hit from q left join h using (query_id)""")
+def semantic_cache_hits(spark, d):
+    """Every vector whose id is divisible by 50 against the whole cache, by pivots."""
+    asked = read(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    got = cache.lookup_hits(response_cache(spark, d), asked, cache_time(), 0.95, _TTL)
+    return got.select("query_id", "cache_id", r6("similarity", "similarity"), "hit")
+
+
 @register(f"""with {_CACHE} select id, rank from (select id, row_number() over (order by created_at desc, id desc) as rank from c, as_of where epoch_us(t) - epoch_us(created_at) <= {_TTL}::bigint * 1000000) where rank <= 50""")
 def cache_lru_ttl(spark, d):
     kept = cache.evict(response_cache(spark, d), cache_time(), 50, _TTL)
