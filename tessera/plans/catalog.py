@@ -20,6 +20,7 @@ from ..functions.vectors import normalize
 from ..sources import files
 from ..sources.shared import exists, materialise, rename, shared_dir, table_state
 from ..operators import agentic, ann, blocks, cache, evaluation, fusion, ingest, lexical, observability, pipelines, prompts, sections, set_join, shaping, vector
+from ..streaming import cache_stream
 from . import oracle_parts as O
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -521,6 +522,26 @@ def cache_lru_replay(spark, d):
     return cache.replay_lru(read(spark, d, "events").select(F.col("user_id").alias("id"), F.col("ts").alias("at")), 20).select("id", "position")
 
 
+CACHE_SETS, CACHE_SET_SIZE = 256, 4
+
+
+def cache_events(e: DataFrame) -> DataFrame:
+    """Every third event puts a response for its user, the others ask for it."""
+    op = F.when(F.col("event_id") % 3 == 0, "put").otherwise("get")
+    return e.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("id"), op.alias("op"), F.col("ts").cast("timestamp").alias("at"), F.concat(F.lit("r"), F.col("event_id")).alias("response"))
+
+
+@register()
+def cache_stream_answers(spark, d):
+    """All events through the cache as a stream, in sets of four entries: files of events, written in order of time, come in as a stream."""
+    root = f"{shared_dir(spark)}/cache-stream-{uuid.uuid4().hex}"
+    rows = cache_events(read(spark, d, "events"))
+    rows.repartitionByRange("at").write.parquet(f"{root}/events")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{root}/events")
+    cache_stream.start(stream, f"{root}/answers", f"{root}/state", CACHE_SET_SIZE, _TTL, CACHE_SETS).awaitTermination()
+    return spark.read.parquet(f"{root}/answers").select(F.col("seq").alias("event_id"), "id", "hit", "response")
+
+
 # pipelines -----------------------------------------------------------------------------------------
 
 
