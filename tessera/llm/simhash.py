@@ -263,7 +263,7 @@ def hamming_edges(fps: DataFrame, t: int = 3, wide: int = WIDE) -> DataFrame:
 def simhash_groups(docs: DataFrame, t: int = 3, n: int = 3) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row per document."""
     prints = cut(fingerprints(docs, n))
-    reps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    reps = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     edges = hamming_edges(reps.select("fp"), t)
     ids = (
         edges.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a")
@@ -275,7 +275,7 @@ def simhash_groups(docs: DataFrame, t: int = 3, n: int = 3) -> DataFrame:
         "fp", F.coalesce("component", "rep").alias("component_id")
     )
     return prints.join(by_fp, "fp", "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     )
 
 

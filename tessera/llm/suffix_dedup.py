@@ -455,7 +455,9 @@ def _cut_out(batches):
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``, one row per document."""
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``, one row per document; width is at most 32 over gram, gram at most 31."""
+    if not 0 < gram < 32 or not gram < width <= gram + 32:
+        raise ValueError("gram must be 1 to 31 and width above it by 1 to 32")
     packed, without_id = packed_texts(docs.select("doc_id", "text"))
     spans = repeated_spans(docs, packed, width, gram, heavy).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     joined = packed.join(spans, F.col("id") == F.col("doc_id"), "left").select("id", "packed", "spans", "rest")
