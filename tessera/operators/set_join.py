@@ -36,15 +36,15 @@ def _small(df: DataFrame, column: str, limit: int) -> DataFrame:
 
 
 def classes(rows: DataFrame, text: str, key: str | None = None) -> DataFrame:
-    """``(id, text, n[, least])``: distinct lower-case texts with a digest, their rows and their smallest key; written once."""
+    """``(id, text, n, words[, least])``: distinct lower-case texts with a digest, their rows, words and smallest key; split and written once."""
     extra = [F.min(key).alias("least")] if key else []
     found = rows.where(F.col(text).isNotNull()).groupBy(F.lower(text).alias("text")).agg(F.count("*").alias("n"), *extra)
-    return as_parquet(found.select(F.unhex(F.md5("text")).alias("id"), "text", "n", *(["least"] if key else [])))
+    return as_parquet(found.select(F.unhex(F.md5("text")).alias("id"), "text", "n", word_set(F.col("text")).alias("words"), *(["least"] if key else [])))
 
 
 def word_rows(texts: DataFrame) -> DataFrame:
     """``(id, n, size, word)``, one row a distinct word."""
-    return texts.select("id", "n", word_set(F.col("text")).alias("words")).select("id", "n", F.size("words").alias("size"), F.explode("words").alias("word"))
+    return texts.select("id", "n", F.size("words").alias("size"), F.explode("words").alias("word"))
 
 
 def _jaccard(both: Column, a: Column, b: Column) -> Column:
@@ -54,7 +54,7 @@ def _jaccard(both: Column, a: Column, b: Column) -> Column:
 def overlaps(texts: DataFrame, asked: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(asked_id, id, n, score)`` of all pairs of classes that share a word; n: rows of the text."""
     words = word_rows(asked).select(F.col("id").alias("asked_id"), F.col("size").alias("asked_size"), "word")
-    dealt = word_rows(texts.select("id", "n", "text").repartition("id"))
+    dealt = word_rows(texts.select("id", "n", "words").repartition("id"))
     pairs = dealt.join(_small(words, "word", broadcast_bytes), "word").groupBy("id", "asked_id").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("size").alias("size"), F.first("asked_size").alias("asked_size"))
     return pairs.select("asked_id", "id", "n", _jaccard(F.col("both"), F.col("size"), F.col("asked_size")).alias("score"))
 
