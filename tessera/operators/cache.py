@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
+from ..sources import snapshots
 from . import pivots, vector
 
 
@@ -64,12 +65,13 @@ def clear(cache: DataFrame) -> DataFrame:
 
 
 def save(cache: DataFrame, path: str) -> None:
-    cache.write.mode("overwrite").parquet(path)
+    """A new version; the saved one may be what the cache was loaded from."""
+    snapshots.commit(cache.sparkSession, path, replace={"cache": cache})
 
 
 def load(spark, path: str, as_of: Column, ttl_seconds: float = DEFAULTS.CACHE_TTL_SECONDS) -> DataFrame:
     """A saved cache without the entries that have expired since."""
-    return spark.read.parquet(path).where(~expired(F.col("created_at"), as_of, ttl_seconds))
+    return snapshots.open_snapshot(spark, path).read("cache").where(~expired(F.col("created_at"), as_of, ttl_seconds))
 
 
 def stats(cache: DataFrame, as_of: Column, ttl_seconds: float = DEFAULTS.CACHE_TTL_SECONDS, max_size: int = DEFAULTS.CACHE_MAX_SIZE) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..constants import PRESERVED_TERMS
 from ..functions.text import tokens
+from ..sources import snapshots
 from ..sources.shared import materialise
 
 #: Rows of (query, token) that are broadcast; a row is under 100 bytes unless a token is very long.
@@ -33,14 +34,18 @@ class LexicalIndex:
     terms: DataFrame
     corpus: DataFrame
 
+    def tables(self) -> dict[str, DataFrame]:
+        return {"postings": self.postings, "terms": self.terms, "corpus": self.corpus}
+
     def save(self, path: str) -> None:
-        """Parquet tables; nothing is tokenised again when they are loaded."""
-        for name in ("postings", "terms", "corpus"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        """One snapshot of the three tables; nothing is tokenised again when they are loaded."""
+        snapshots.commit(self.corpus.sparkSession, path, replace=self.tables())
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "corpus")))
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> LexicalIndex:
+        """The tables of one version, the newest if none is given; it stays readable while others are saved."""
+        pinned = snapshots.open_snapshot(spark, path, version)
+        return cls(*(pinned.read(name) for name in ("postings", "terms", "corpus")))
 
 
 def with_tokens(chunks: DataFrame, text: str = "content", preserved=PRESERVED_TERMS) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, norm
+from ..sources import snapshots
 
 #: Components (queries x dimension) that are broadcast: 32 MB of doubles.
 BROADCAST_NUMBERS = 4_000_000
@@ -46,9 +47,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
 
 def save(vectors: DataFrame, path: str) -> None:
-    """The stored vectors as a Parquet table; ``load`` reads them back, nothing is embedded again."""
-    vectors.write.mode("overwrite").parquet(path)
+    """The stored vectors as a snapshot; ``load`` reads them back, nothing is embedded again."""
+    snapshots.commit(vectors.sparkSession, path, replace={"vectors": vectors})
 
 
-def load(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def load(spark, path: str, version: int | None = None) -> DataFrame:
+    return snapshots.open_snapshot(spark, path, version).read("vectors")

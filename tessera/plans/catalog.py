@@ -17,7 +17,7 @@ from .. import constants as K
 from ..functions import text as T
 from ..functions.splitter import split_column
 from ..functions.vectors import normalize
-from ..sources import files
+from ..sources import files, snapshots
 from ..sources.shared import exists, materialise, rename, shared_dir, table_state
 from ..operators import agentic, ann, blocks, cache, evaluation, fusion, ingest, lexical, observability, pipelines, prompts, sections, set_join, shaping, vector
 from ..streaming import cache_stream
@@ -453,6 +453,36 @@ def section_results(spark, d):
     return shaping.section_results(hits).select("doc_id", "node_id", "section_title", "content")
 
 
+@register(f"""with {_TURNS}, tokened as (select doc_id, len({O.tokens("text")}) as n from documents)
+  select 1::bigint as version, 'postings' as name, sum(n)::bigint as n_rows, sum(n * n)::bigint as checksum from tokened where coalesce(doc_id % 2, 0) = 0
+  union all select 2, 'postings', sum(n)::bigint, sum(n * n)::bigint from tokened
+  union all select 3, 'postings', sum(n)::bigint, sum(n * n)::bigint from tokened
+  union all select 1, 'sections', count(*), sum(line_end)::bigint from s
+  union all select 2, 'sections', count(*), sum(line_end)::bigint from s
+  union all select 3, 'sections', count(*), sum(line_end + case when coalesce(doc_id % 3, 0) = 0 then 1000 else 0 end)::bigint from s
+  union all select v, 'vectors', (select count(*) from embeddings), (select sum(vec_id)::bigint from embeddings) from (values (1), (2), (3)) x(v)""")
+def snapshot_versions(spark, d):
+    """Index, section trees and vectors in snapshots: two batches of documents, the second one replayed, then trees put anew; each version read as it was."""
+    root, docs = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}", documents(spark, d)
+    trees = sections.build_sections(markdown(spark, d)).select("doc_id", "node_id", big("line_end"))
+    snapshots.upsert(spark, root, "sections", trees, "doc_id")
+    own = F.coalesce(F.col("key") % 2, F.lit(0))
+    for number in (0, 1, 1):
+        index = lexical.build_index(docs.where(own == number), "key")
+        vectors = {"vectors": stored_vectors(spark, d).select("key")} if number == 0 else {}
+        snapshots.commit(spark, root, append={"postings": index.postings, "corpus": index.corpus} | vectors, batch=("documents", number))
+    anew = trees.where("coalesce(doc_id % 3, 0) = 0").withColumn("line_end", F.col("line_end") + 1000)
+    snapshots.upsert(spark, root, "sections", anew, "doc_id")
+    sums = {"postings": F.sum("dl"), "sections": F.sum("line_end"), "vectors": F.sum("key")}
+    # the first version has the trees alone
+    read_back = [
+        snapshots.open_snapshot(spark, root, v + 1).read(t).agg(F.count("*").alias("n_rows"), total.cast("bigint").alias("checksum")).select(F.lit(v).cast("bigint").alias("version"), F.lit(t).alias("name"), "n_rows", "checksum")
+        for v in (1, 2, 3)
+        for t, total in sums.items()
+    ]
+    return reduce(DataFrame.unionByName, read_back)
+
+
 # cache ---------------------------------------------------------------------------------------------
 
 

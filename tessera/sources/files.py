@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
-from . import recursive
+from . import recursive, snapshots
 
 
 def _raw(spark: SparkSession, path: str) -> DataFrame:
@@ -95,38 +95,21 @@ def save_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete versions of a table, in order."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    return sorted(int(n[2:]) for n in names if n.startswith("v-") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
-
-
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete version of a table that ``upsert`` keeps."""
-    have = _versions(spark, path)
-    if not have:
-        raise ValueError(f"no table at {path}")
-    return spark.read.parquet(f"{path}/v-{have[-1]}")
+    """The newest version of a table that ``upsert`` keeps."""
+    try:
+        return snapshots.open_snapshot(spark, path).read("rows")
+    except ValueError as e:
+        raise ValueError(f"no table at {path}") from e
 
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str) -> None:
-    """Replace rows of the same key in a table: a new version is written whole, then the older ones go.
+    """Replace rows of the same key in a table: a new version by ``snapshots.upsert``; older ones but the last go.
 
     A crash at any time leaves a complete version, which is the one that ``read_table`` takes.
     """
-    have = _versions(spark, path)
-    merged = rows
-    if have:
-        merged = read_table(spark, path).join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
-    merged.write.mode("overwrite").parquet(f"{path}/v-{(have or [0])[-1] + 1}")
-    for n in have:
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v-{n}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    snapshots.upsert(spark, path, "rows", rows, key)
+    snapshots.vacuum(spark, path)
 
 
 def reset(spark: SparkSession, path: str) -> None:

@@ -9,27 +9,30 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import DEFAULTS, Settings
 from ..models import Embedder, HashEmbedder
 from ..operators import ingest, lexical
+from ..sources import snapshots
 
 
-def write_batch(docs: DataFrame, batch_id: int, path: str, embedder: Embedder, settings: Settings = DEFAULTS) -> None:
-    """One batch as partition ``batch=<id>`` of chunks and postings; a batch that is replayed overwrites itself."""
+def write_batch(docs: DataFrame, batch_id: int, path: str, embedder: Embedder, settings: Settings = DEFAULTS, writer: str = "stream") -> None:
+    """Chunks, postings and counts of one batch in one snapshot; a batch that is replayed is passed over."""
+    spark = docs.sparkSession
+    if snapshots.open_snapshot(spark, path).batches.get(writer, -1) >= batch_id:
+        return
     chunks = ingest.embed_chunks(ingest.chunk(docs, settings), embedder, settings).withColumn("key", F.concat_ws("#", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks/batch={batch_id}")
-    stored = docs.sparkSession.read.parquet(f"{path}/chunks/batch={batch_id}")
-    index = lexical.build_index(stored, "key")
-    index.postings.write.mode("overwrite").parquet(f"{path}/postings/batch={batch_id}")
-    index.corpus.write.mode("overwrite").parquet(f"{path}/corpus/batch={batch_id}")
+    stored = snapshots.stage(spark, path, "chunks", chunks)
+    index = lexical.build_index(stored.read(), "key")
+    snapshots.commit(spark, path, append={"chunks": stored, "postings": index.postings, "corpus": index.corpus}, batch=(writer, batch_id))
 
 
 def start(stream: DataFrame, path: str, checkpoint: str, embedder: Embedder | None = None, settings: Settings = DEFAULTS, **trigger) -> StreamingQuery:
-    """stream(doc_id, title, content) -> tables under ``path``; exactly once by batch id."""
+    """stream(doc_id, title, content) -> snapshots under ``path``; exactly once by batch id and checkpoint folder."""
     embedder = embedder or HashEmbedder()
-    writer = stream.writeStream.foreachBatch(lambda df, i: write_batch(df, i, path, embedder, settings)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(lambda df, i: write_batch(df, i, path, embedder, settings, checkpoint)).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def load_index(spark, path: str) -> lexical.LexicalIndex:
-    """The index over all batches so far: sums of the batches' counts, no text is read again."""
-    postings = spark.read.parquet(f"{path}/postings").select("key", "dl", "token")
-    corpus = lexical.combined(spark.read.parquet(f"{path}/corpus"))
+def load_index(spark, path: str, version: int | None = None) -> lexical.LexicalIndex:
+    """The index over all batches of a version: sums of the batches' counts, no text is read again."""
+    pinned = snapshots.open_snapshot(spark, path, version)
+    postings = pinned.read("postings").select("key", "dl", "token")
+    corpus = lexical.combined(pinned.read("corpus"))
     return lexical.LexicalIndex(postings, lexical.term_table(postings, corpus), corpus)

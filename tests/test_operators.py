@@ -228,7 +228,7 @@ def test_upsert(spark, tmp_path):
     files.upsert(spark, path, spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), "k")
     files.upsert(spark, path, spark.createDataFrame([(2, "c")], "k long, v string"), "k")
     assert sorted(map(tuple, files.read_table(spark, path).collect())) == [(1, "a"), (2, "c")]
-    (tmp_path / "t" / "v-9").mkdir()  # a version whose writer died
+    (tmp_path / "t" / "data" / "rows-dead").mkdir()  # the folder of a writer that died
     assert sorted(map(tuple, files.read_table(spark, path).collect())) == [(1, "a"), (2, "c")]
     files.reset(spark, path)
     with pytest.raises(ValueError):
