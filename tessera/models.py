@@ -1,16 +1,21 @@
 """Model interfaces and deterministic offline stand-ins.
 
-A model is any object with the method named here; it is shipped to the workers and called once per
-Arrow batch. A failing call gives an empty result, never a failed job.
+A model is any object with the method named here, safe to call from several threads; it is shipped to the workers. Requests
+run in a window that reaches over Arrow batches: up to ``concurrent`` of a task's are under way, answers keep the rows' order, and
+no more than two batches are held. A request that fails is tried again after a pause; one that keeps failing gives an empty
+result, never a failed job.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import threading
+import time
+from collections import deque
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from typing import Protocol
+from concurrent.futures import Future, ThreadPoolExecutor
+from typing import Any, Iterator, Protocol
 
 import pandas as pd
 from pyspark.sql import Column
@@ -73,40 +78,81 @@ class RuleLlm:
         return rest[:300]
 
 
-def embed(text: Column, model: Embedder) -> Column:
-    """``array<double>``; a batch that fails is tried text by text, a text that fails gives an empty vector."""
+def tried(call: Callable[[Any], Any], attempts: int, pause: float) -> Callable[[Any], Any]:
+    """``call``, up to ``attempts`` times with doubling pauses (seconds) in between; the last error is raised."""
 
-    @F.pandas_udf("array<double>")
-    def run(texts: pd.Series) -> pd.Series:
-        values = texts.fillna("").tolist()
+    def run(request):
+        for i in range(attempts - 1):
+            try:
+                return call(request)
+            except Exception:  # noqa: BLE001  a model may fail in any way
+                time.sleep(pause * 2**i)
+        return call(request)
+
+    return run
+
+
+def in_window(batches: Iterator[list], call: Callable[[Any], Any], concurrent: int) -> Iterator[list]:
+    """Answers of each batch, in order. The next batch's requests start while the last one's slow ones are still under way."""
+    free = threading.Semaphore(concurrent)
+    held: deque[list[Future]] = deque()
+    with ThreadPoolExecutor(concurrent) as pool:
+        for batch in batches:
+            futures = []
+            for request in batch:
+                free.acquire()
+                futures.append(pool.submit(call, request))
+                futures[-1].add_done_callback(lambda _: free.release())
+            held.append(futures)
+            while len(held) > 1 or (held and all(f.done() for f in held[0])):
+                yield [f.result() for f in held.popleft()]
+        while held:
+            yield [f.result() for f in held.popleft()]
+
+
+def embed(text: Column, model: Embedder, per_request: int = 256, concurrent: int = 20, attempts: int = 2, pause: float = 0.2) -> Column:
+    """``array<double>``; a request that fails is tried text by text, a text that fails gives an empty vector."""
+
+    def vectors(texts: list[str]) -> list[list[float]]:
+        got = [list(map(float, v)) for v in model.embed(texts)]
+        if len(got) != len(texts):
+            raise ValueError("a model must give one vector a text")
+        return got
+
+    def one(t: str) -> list[float]:
         try:
-            return pd.Series([list(map(float, v)) for v in model.embed(values)])
-        except Exception:  # noqa: BLE001  a model may fail in any way
+            return tried(vectors, attempts, pause)([t])[0]
+        except Exception:  # noqa: BLE001
+            return []
 
-            def one(t: str) -> list[float]:
-                try:
-                    return list(map(float, model.embed([t])[0]))
-                except Exception:  # noqa: BLE001
-                    return []
+    def request(texts: list[str]) -> list[list[float]]:
+        try:
+            return vectors(texts)
+        except Exception:  # noqa: BLE001
+            return [one(t) for t in texts]
 
-            return pd.Series([one(t) for t in values])
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cut = ((lambda v: [v[i : i + per_request] for i in range(0, len(v), per_request)])(b.fillna("").tolist()) for b in batches)
+        for answers in in_window(cut, request, concurrent):
+            yield pd.Series([v for part in answers for v in part], dtype=object)
 
     return run(text)
 
 
-def complete(prompt: Column, model: Llm, concurrent: int = 20) -> Column:
-    """Replies; at most ``concurrent`` calls at a time in a worker, a failed call gives an empty reply."""
+def complete(prompt: Column, model: Llm, concurrent: int = 20, attempts: int = 2, pause: float = 0.2) -> Column:
+    """Replies; a prompt whose calls all fail gets an empty one."""
 
-    @F.pandas_udf("string")
-    def run(prompts: pd.Series) -> pd.Series:
-        def one(p: str) -> str:
-            try:
-                return model.complete(p or "")
-            except Exception:  # noqa: BLE001
-                return ""
+    def one(p: str) -> str:
+        try:
+            return tried(model.complete, attempts, pause)(p)
+        except Exception:  # noqa: BLE001
+            return ""
 
-        with ThreadPoolExecutor(concurrent) as pool:
-            return pd.Series(list(pool.map(one, prompts)), dtype=object)
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for replies in in_window((b.fillna("").tolist() for b in batches), one, concurrent):
+            yield pd.Series(replies, dtype=object)
 
     return run(prompt)
 
