@@ -9,7 +9,7 @@ from ..config import DEFAULTS, Settings
 from ..functions.text import json_nodes
 from ..models import Embedder, HashEmbedder, Llm, RuleLlm, complete, embed
 from ..sources.shared import materialise
-from . import agentic, cache, evaluation, fusion, ingest, lexical, prompts, sections, vector
+from . import agentic, cache, evaluation, fusion, ingest, lexical, prompts, sections, tree_index, vector
 
 #: name, search method, heuristics
 STRATEGIES = (("rrf", "rrf", True), ("weighted", "weighted", False), ("vector", "vector", False))
@@ -90,15 +90,22 @@ def against_all(rows: DataFrame, questions: DataFrame, broadcast_rows: int = 100
     return held.join(dealt, ["_block", "_share"]).drop("_block", "_share")
 
 
-def answer_from_sections(docs: DataFrame, queries: DataFrame, k: int, model: Llm | None = None, broadcast_rows: int = 1000) -> DataFrame:
-    """Section-tree retrieval: the model picks node ids from every document's table of contents, in parallel.
+def answer_from_sections(
+    docs: DataFrame, queries: DataFrame, k: int, model: Llm | None = None, broadcast_rows: int = 1000, documents_per_query: int | None = None, index: tree_index.TreeIndex | None = None
+) -> DataFrame:
+    """Section-tree retrieval: the model picks node ids from documents' tables of contents, in parallel.
 
-    Questions meet the tables of contents as ``against_all`` says.
+    Questions meet every table of contents as ``against_all`` says; with ``documents_per_query`` the model sees only that many documents
+    a question, the best ones by ``tree_index`` (an ``index`` of ``docs`` may be given). Documents that share no token with a question are not among them.
     """
     model = model or RuleLlm()
     tree = sections.build_sections(docs)
     contents, questions = sections.toc(tree), queries.select("query_id", "query")
-    asked = against_all(contents, questions, broadcast_rows)
+    if documents_per_query is None:
+        asked = against_all(contents, questions, broadcast_rows)
+    else:
+        best_docs = tree_index.search(index or tree_index.build(docs), questions, documents_per_query)
+        asked = contents.join(best_docs.select("query_id", "doc_id"), "doc_id").join(questions, "query_id")
     reply = complete(F.concat(F.lit("TASK navigate\n"), F.col("toc"), F.lit("\nQuestion: "), F.col("query")), model)
     choices = asked.select("query_id", "doc_id", F.col("doc_id").alias("doc_ord"), F.slice(json_nodes(reply), 1, 4).alias("ids"))
     best = sections.rank_sections(choices, tree, k)

@@ -19,7 +19,7 @@ from ..functions.splitter import split_column
 from ..functions.vectors import normalize
 from ..sources import files, snapshots
 from ..sources.shared import exists, materialise, rename, shared_dir, table_state
-from ..operators import agentic, ann, blocks, cache, evaluation, fusion, ingest, lexical, observability, pipelines, prompts, sections, set_join, shaping, vector
+from ..operators import agentic, ann, blocks, cache, evaluation, fusion, ingest, lexical, observability, pipelines, prompts, sections, set_join, shaping, tree_index, vector
 from ..streaming import cache_stream
 from . import oracle_parts as O
 
@@ -453,6 +453,20 @@ def section_results(spark, d):
     return shaping.section_results(hits).select("doc_id", "node_id", "section_title", "content")
 
 
+@register(f"""{_BENCH} {_TURNS}, own as (select doc_id, node_id, case when level = 1 then '# ' || title || chr(10) else repeat('#', level::int) || ' ' || title || chr(10) || body end as content from s),
+ tok as (select doc_id, node_id, unnest({O.tokens("content")}) as token from own),
+ term as (select token, ln((n - count(*) + 0.5::double) / (count(*) + 0.5::double) + 1) as idf from tok, (select count(*) as n from own) group by token, n),
+ qt as (select query_id, unnest({O.tokens("query")}) as token from query),
+ sc as (select query_id, doc_id, node_id, round(sum(idf), 9) as score from qt join term using (token) join tok using (token) group by query_id, doc_id, node_id),
+ best as (select *, row_number() over (partition by query_id, doc_id order by score desc, node_id) as b from sc),
+ r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from best where b = 1)
+ select query_id, doc_id, node_id, round(score, 6) as score, rank from r where rank <= 5""")
+def section_search(spark, d):
+    """The five documents that answer each passage best, by their best section, pruned by bounds summed up the trees."""
+    found = tree_index.search(tree_index.build(markdown(spark, d)), bench_queries(spark, d), 5)
+    return found.select("query_id", "doc_id", "node_id", r6("score", "score"), "rank")
+
+
 @register(f"""with {_TURNS}, tokened as (select doc_id, len({O.tokens("text")}) as n from documents)
   select 1::bigint as version, 'postings' as name, sum(n)::bigint as n_rows, sum(n * n)::bigint as checksum from tokened where coalesce(doc_id % 2, 0) = 0
   union all select 2, 'postings', sum(n)::bigint, sum(n * n)::bigint from tokened
@@ -468,6 +482,8 @@ def snapshot_versions(spark, d):
     snapshots.upsert(spark, root, "sections", trees, "doc_id")
     own = F.coalesce(F.col("key") % 2, F.lit(0))
     for number in (0, 1, 1):
+        if snapshots.open_snapshot(spark, root).batches.get("documents", -1) >= number:
+            continue
         index = lexical.build_index(docs.where(own == number), "key")
         vectors = {"vectors": stored_vectors(spark, d).select("key")} if number == 0 else {}
         snapshots.commit(spark, root, append={"postings": index.postings, "corpus": index.corpus} | vectors, batch=("documents", number))
