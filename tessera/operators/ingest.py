@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULTS, Settings
-from ..functions.splitter import split_column
+from ..functions.splitter import split_rows
 from ..models import Embedder, embed
 from ..sources.shared import materialise
 from . import sections
@@ -18,15 +19,21 @@ def contextual_prefix(title: Column, content: Column) -> Column:
 
 def chunk(docs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """docs(doc_id, title, content, ...) -> a row for each chunk with ``chunk_index`` from 0; other columns stay."""
-    parts = split_column(F.col("content"), settings.CHUNK_SIZE, settings.CHUNK_OVERLAP, settings.USE_CODE_AWARE_SPLITTING)
     others = [c for c in docs.columns if c != "content"]
-    return docs.withColumn("_parts", parts).select(*others, F.posexplode("_parts").alias("chunk_index", "content"))
+    kept = docs.select(*others, "content")
+    schema = T.StructType([*kept.schema.fields[:-1], T.StructField("chunk_index", T.IntegerType()), T.StructField("content", T.StringType())])
+    return kept.mapInArrow(split_rows(settings.CHUNK_SIZE, settings.CHUNK_OVERLAP, settings.USE_CODE_AWARE_SPLITTING), schema)
+
+
+def embedded(chunks: DataFrame, model: Embedder, settings: Settings = DEFAULTS) -> DataFrame:
+    """Chunks with ``embedding``, which is empty where it failed."""
+    text = contextual_prefix(F.col("title"), F.col("content")) if settings.USE_CONTEXTUAL_PREFIX else F.col("content")
+    return chunks.withColumn("embedding", embed(text, model))
 
 
 def embed_chunks(chunks: DataFrame, model: Embedder, settings: Settings = DEFAULTS) -> DataFrame:
     """Chunks with ``embedding``; chunks whose embedding failed drop out, the others are numbered anew."""
-    text = contextual_prefix(F.col("title"), F.col("content")) if settings.USE_CONTEXTUAL_PREFIX else F.col("content")
-    return renumbered(chunks.withColumn("embedding", embed(text, model)))
+    return renumbered(embedded(chunks, model, settings))
 
 
 def renumbered(chunks: DataFrame) -> DataFrame:
