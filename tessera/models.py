@@ -17,6 +17,7 @@ from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
 from typing import Any, Iterator, Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,18 +38,30 @@ class Llm(Protocol):
 class HashEmbedder:
     """Signed hashes of words added up, unit length; empty texts give an empty vector (a failed embedding)."""
 
+    #: Words whose hashes are remembered at once.
+    REMEMBERED = 200_000
+
     def __init__(self, dimension: int = 64):
         self.dimension = dimension
 
+    def _place(self, word: str) -> int:
+        """Component of a word, and the sign: components beyond ``dimension`` are subtracted."""
+        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        return h % self.dimension + (0 if h >> 63 else self.dimension)
+
     def embed(self, texts: list[str]) -> list[list[float]]:
+        known: dict[str, int] = {}
         out = []
         for text in texts:
-            v = [0.0] * self.dimension
-            for word in re.findall(r"\w+", (text or "").lower()):
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                v[h % self.dimension] += 1.0 if h >> 63 else -1.0
-            n = sum(x * x for x in v) ** 0.5
-            out.append([x / n for x in v] if n else [])
+            words = re.findall(r"\w+", (text or "").lower())
+            if len(known) > self.REMEMBERED:
+                known = {}
+            for word in set(words).difference(known):
+                known[word] = self._place(word)
+            counts = np.bincount(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), minlength=2 * self.dimension)
+            v = (counts[: self.dimension] - counts[self.dimension :]).astype(np.float64)
+            n = float((v * v).sum()) ** 0.5
+            out.append((v / n).tolist() if n else [])
         return out
 
 
@@ -113,19 +126,19 @@ def in_window(batches: Iterator[list], call: Callable[[Any], Any], concurrent: i
 def embed(text: Column, model: Embedder, per_request: int = 256, concurrent: int = 20, attempts: int = 2, pause: float = 0.2) -> Column:
     """``array<double>``; a request that fails is tried text by text, a text that fails gives an empty vector."""
 
-    def vectors(texts: list[str]) -> list[list[float]]:
-        got = [list(map(float, v)) for v in model.embed(texts)]
+    def vectors(texts: list[str]) -> list[np.ndarray]:
+        got = [np.asarray(v, dtype=np.float64) for v in model.embed(texts)]
         if len(got) != len(texts):
             raise ValueError("a model must give one vector a text")
         return got
 
-    def one(t: str) -> list[float]:
+    def one(t: str) -> np.ndarray | list[float]:
         try:
             return tried(vectors, attempts, pause)([t])[0]
         except Exception:  # noqa: BLE001
             return []
 
-    def request(texts: list[str]) -> list[list[float]]:
+    def request(texts: list[str]) -> list:
         try:
             return vectors(texts)
         except Exception:  # noqa: BLE001

@@ -71,7 +71,7 @@ def metadata_factor(timestamp: Column, source: Column, as_of: Column, recency_we
 
 
 def hybrid_search(
-    chunks: DataFrame, vectors: DataFrame, index: lexical.LexicalIndex | blocks.BlockIndex, queries: DataFrame, k: int = DEFAULTS.TOP_K_RESULTS,
+    chunks: DataFrame, vectors: DataFrame, index: lexical.LexicalIndex | lexical.Texts | blocks.BlockIndex, queries: DataFrame, k: int = DEFAULTS.TOP_K_RESULTS,
     method: str = "rrf", heuristics: bool = True, rerank=None, boost: dict | None = None, as_of: Column | None = None, settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """Top k chunks of each query: both retrievers over-fetch (3k before a reranker, else 2k), fuse, re-score, cut.

@@ -1,18 +1,25 @@
 """Exact vector search; the approximate one is in ``ann``.
 
 It compares a batch of query vectors with all stored vectors. The query side is counted
-first: up to ``BROADCAST_NUMBERS`` vector components it is broadcast, beyond that queries are dealt into
+first: up to ``BROADCAST_NUMBERS`` vector components it goes to every task, where slices of stored vectors are compared with all
+queries by matrix products (``scan``) and only a slice's k best rows of a query leave the task. Beyond that queries are dealt into
 blocks, and stored vectors into shares of each block, that meet in one equi-join: as many tasks as
 blocks times shuffle partitions, and nothing unbounded is ever broadcast. The result keeps k rows per query: the window's group limit prunes before the shuffle.
+
+Vectors that are null, zero, not finite or of another length than the queries are scored by the native expression, as are such queries.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import dot, norm
 from ..sources import snapshots
+from . import scan
 
 #: Components (queries x dimension) that are broadcast: 32 MB of doubles.
 BROADCAST_NUMBERS = 4_000_000
@@ -40,9 +47,39 @@ def similarities(vectors: DataFrame, queries: DataFrame, broadcast_numbers: int
     return pairs.select("query_id", "key", score.alias("score"))
 
 
+def sound(v: Column) -> Column:
+    """Whether a vector has a direction: finite components, not all zero."""
+    fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return F.coalesce(fine & (norm(v) > 0) & (norm(v) < float("inf")), F.lit(False))
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame | None:
+    """``(query_id, key, score)`` that holds every query's k best rows; None where the queries are too many for each task."""
+    asked = queries.where("embedding is not null").select("query_id", "embedding", sound(F.col("embedding")).alias("_sound"))
+    size = asked.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0]
+    if size > BROADCAST_NUMBERS:
+        return None
+    width = F.size("embedding")
+    common = asked.where("_sound").groupBy(width.alias("w")).count().orderBy(F.desc("count"), "w").first()
+    if common is None:
+        return similarities(vectors, queries)
+    # bounded by BROADCAST_NUMBERS
+    rows = asked.where(F.col("_sound") & (width == common["w"])).select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).collect()
+    stored = vectors.select("key", "embedding")
+    fits = sound(F.col("embedding")) & (width == common["w"])
+    ids = pa.array([r["query_id"] for r in rows], type=to_arrow_type(asked.schema["query_id"].dataType))
+    kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, key {stored.schema['key'].dataType.simpleString()}, score double"
+    near = stored.where(fits).mapInArrow(scan.nearest(ids, np.array([r["embedding"] for r in rows], dtype=np.float64), k), kinds)
+    near = near.unionByName(similarities(stored.where(~fits), queries))
+    odd = asked.where(~F.col("_sound") | (width != common["w"]))
+    return near.unionByName(similarities(stored.where(fits), odd)) if odd.limit(1).count() else near
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "key")
-    ranked = similarities(vectors, queries).withColumn("rank", F.row_number().over(order).cast("long"))
+    scored = _nearest(vectors, queries, k)
+    scored = similarities(vectors, queries) if scored is None else scored
+    ranked = scored.withColumn("rank", F.row_number().over(order).cast("long"))
     return ranked.where(F.col("rank") <= k)
 
 
