@@ -2,8 +2,8 @@
 
 A lookup takes the nearest entry and tests only that one: similarity at the threshold or above, not
 expired at ``as_of`` (always a parameter). With ``skip_expired`` expired entries are left out before
-the nearest is taken. ``lookup`` compares every query with every entry; ``lookup_hits`` passes over entries that cannot
-reach the threshold (``pivots``) and gives the same hits.
+the nearest is taken. ``lookup`` compares every query with every entry; ``lookup_hits`` keeps only what
+reaches the threshold, passes over entries that cannot where queries are many (``pivots``) and gives the same hits.
 """
 
 from __future__ import annotations
@@ -28,9 +28,19 @@ def lookup(cache: DataFrame, queries: DataFrame, as_of: Column, threshold: float
 
 
 def lookup_hits(cache: DataFrame, queries: DataFrame, as_of: Column, threshold: float = DEFAULTS.CACHE_SIMILARITY_THRESHOLD, ttl_seconds: float = DEFAULTS.CACHE_TTL_SECONDS, skip_expired: bool = False, n_pivots: int = 256) -> DataFrame:
-    """As ``lookup``, but the similarity is null where no entry reaches the threshold."""
+    """As ``lookup``, but the similarity is null where no entry reaches the threshold.
+
+    Distinct query vectors that fit each task are compared with all entries by matrix products; more of them go by pivots.
+    """
     entries = cache.where(~expired(F.col("created_at"), as_of, ttl_seconds)) if skip_expired else cache
-    near = pivots.nearest(entries.select(F.col("id").alias("key"), "embedding"), queries, threshold, n_pivots)
+    entries = entries.select(F.col("id").alias("key"), "embedding")
+    asked = queries.where("embedding is not null").groupBy("embedding").agg(F.min("query_id").alias("query_id"))
+    near = vector.nearest_above(entries, asked, threshold)
+    if near is None:
+        near = pivots.nearest(entries, queries, threshold, n_pivots)
+    else:
+        of = queries.select(F.col("query_id").alias("_each"), "embedding").join(asked, "embedding")
+        near = near.join(of, "query_id").select(F.col("_each").alias("query_id"), "key", "score")
     return _judged(cache, queries, near.select("query_id", F.col("key").alias("id"), "score"), as_of, threshold, ttl_seconds)
 
 

@@ -20,15 +20,19 @@ ROOM = 2e-9
 class Best:
     """The k best of each query, slice by slice; ``floor`` is a bound below each query's k-th best score."""
 
-    def __init__(self, n_queries: int, k: int):
-        self.k, self.floor = k, np.full(n_queries, -np.inf)
+    def __init__(self, n_queries: int, k: int, floor: np.ndarray | float = -np.inf):
+        self.k, self.floor = k, np.full(n_queries, floor, dtype=np.float64)
 
     def candidates(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, query) of near(row, query) that may be among the k best."""
-        if len(near) >= self.k:
-            kth = np.partition(near, len(near) - self.k, axis=0)[len(near) - self.k]
-            self.floor = np.maximum(self.floor, kth)
-        return np.nonzero(near >= self.floor - ROOM)
+        held = near >= self.floor - ROOM
+        # queries with more than k rows: their k-th best raises the bound
+        many = np.flatnonzero(np.count_nonzero(held, axis=0) > self.k)
+        if len(many):
+            some = near[:, many]
+            self.floor[many] = np.maximum(self.floor[many], np.partition(some, len(some) - self.k, axis=0)[len(some) - self.k])
+            held[:, many] = some >= self.floor[many] - ROOM
+        return np.nonzero(held)
 
     def cut(self, row: np.ndarray, query: np.ndarray, score: np.ndarray, keys: pa.Array) -> np.ndarray:
         """Positions of the k best of each query among candidates."""
@@ -52,22 +56,35 @@ def ordered_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest(ids: pa.Array, q: np.ndarray, k: int):
-    """Batches (key, embedding) of sound vectors of the queries' length -> (query_id, key, score)."""
+def scored(best: Best, x: np.ndarray, q: np.ndarray, q_length: np.ndarray, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, query, cosine) of the rows ``x`` that may be among the best of the queries ``q``."""
+    length = np.sqrt(ordered_dot(x, x))
+    row, query = best.candidates((x / length[:, None]) @ (q / q_length[:, None]).T)
+    score = np.concatenate([ordered_dot(x[row[i : i + 65536]], q[query[i : i + 65536]]) for i in range(0, len(row), 65536)] or [np.zeros(0)])
+    score /= length[row] * q_length[query]
+    at = best.cut(row, query, score, keys)
+    return row[at], query[at], score[at]
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def step(n_queries: int) -> int:
+    return max(64, min(ROWS, NUMBERS // max(1, n_queries)))
+
+
+def nearest(ids: pa.Array, q: np.ndarray, k: int, least: float = -np.inf):
+    """Batches (key, embedding) of sound vectors of the queries' length -> (query_id, key, score), rows below ``least`` left out."""
     q_length = np.sqrt(ordered_dot(q, q))
-    step = max(64, min(ROWS, NUMBERS // max(1, len(q))))
 
     def run(batches):
-        best, unit = Best(len(q), k), (q / q_length[:, None]).T
+        best = Best(len(q), k, least)
         for whole in batches:
-            for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                length = np.sqrt(ordered_dot(x, x))
-                row, query = best.candidates((x / length[:, None]) @ unit)
-                score = np.concatenate([ordered_dot(x[row[i : i + 65536]], q[query[i : i + 65536]]) for i in range(0, len(row), 65536)] or [np.zeros(0)])
-                score /= length[row] * q_length[query]
-                at = best.cut(row, query, score, batch.column(0))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(query[at])), batch.column(0).take(pa.array(row[at])), pa.array(score[at])], ["query_id", "key", "score"])
+            for batch in (whole.slice(i, step(len(q))) for i in range(0, whole.num_rows, step(len(q)))):
+                row, query, score = scored(best, matrix(batch.column(1)), q, q_length, batch.column(0))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), batch.column(0).take(pa.array(row)), pa.array(score)], ["query_id", "key", "score"])
 
     return run
 

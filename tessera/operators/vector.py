@@ -53,8 +53,8 @@ def sound(v: Column) -> Column:
     return F.coalesce(fine & (norm(v) > 0) & (norm(v) < float("inf")), F.lit(False))
 
 
-def _nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame | None:
-    """``(query_id, key, score)`` that holds every query's k best rows; None where the queries are too many for each task."""
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -np.inf) -> DataFrame | None:
+    """``(query_id, key, score)`` that holds every query's k best rows, of ``least`` or more; None where the queries are too many for each task."""
     asked = queries.where("embedding is not null").select("query_id", "embedding", sound(F.col("embedding")).alias("_sound"))
     size = asked.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0]
     if size > BROADCAST_NUMBERS:
@@ -69,12 +69,22 @@ def _nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame | None
     fits = sound(F.col("embedding")) & (width == common["w"])
     ids = pa.array([r["query_id"] for r in rows], type=to_arrow_type(asked.schema["query_id"].dataType))
     kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, key {stored.schema['key'].dataType.simpleString()}, score double"
-    near = stored.where(fits).mapInArrow(scan.nearest(ids, np.array([r["embedding"] for r in rows], dtype=np.float64), k), kinds)
+    near = stored.where(fits).mapInArrow(scan.nearest(ids, np.array([r["embedding"] for r in rows], dtype=np.float64), k, least), kinds)
     near = near.unionByName(similarities(stored.where(~fits), queries))
     odd = asked.where(~F.col("_sound") | (width != common["w"]))
     return near.unionByName(similarities(stored.where(fits), odd)) if odd.limit(1).count() else near
 
 
+def nearest_above(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame | None:
+    """``(query_id, key, score)``: the nearest row of each query that has one at ``least`` or more, of sound vectors; None where the queries are too many for each task."""
+    usable = lambda rows: rows.where(sound(F.col("embedding")))
+    found = _nearest(usable(vectors), usable(queries), 1, least)
+    if found is None:
+        return None
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "key")
+    return found.where(F.col("score") >= least).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "key")
     scored = _nearest(vectors, queries, k)

@@ -68,3 +68,15 @@ def test_empty(store):
     assert pivots.nearest(entries, queries.limit(0), 0.95).count() == 0
     with pytest.raises(ValueError):
         pivots.nearest(entries, queries, 0.0)
+
+
+def test_few_queries_are_compared_without_pivots(store, monkeypatch):
+    entries, queries = store
+    shown = lambda df: sorted((r["query_id"], r["cache_id"], r["similarity"]) for r in df.collect() if r["hit"])
+    t0 = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    full = entries.select(F.col("key").alias("id"), "embedding", t0.alias("created_at"))
+    monkeypatch.setattr(vector, "BROADCAST_NUMBERS", 1)
+    want = shown(cache.lookup_hits(full, queries, t0, 0.95, 3600, n_pivots=64))
+    monkeypatch.setattr(vector, "BROADCAST_NUMBERS", 4_000_000)
+    monkeypatch.setattr(pivots, "nearest", None)
+    assert shown(cache.lookup_hits(full, queries, t0, 0.95, 3600)) == want and want
