@@ -14,6 +14,10 @@ their vectors in double precision.
 exact search, and takes the fewest probes, then the smallest ``refine``, that reach the target. Where this takes
 more than half of all pairs the index is marked exact, and ``search`` compares all.
 
+*Exact answers.* ``search_exact`` takes the k-th score of the approximate answer as a bound: a row nearer than that lies in a cell
+whose centroid is no farther from the query than the bound's distance and the cell's radius together. These cells are compared in
+double precision with the vectors as given, all others are passed over, so its rows and scores are those of the exact search.
+
 Defined results: null, zero and non-finite vectors and vectors of another length than the most frequent one are not
 indexed and, as queries, get no rows; repeated keys are rows of their own; an empty table gives no rows. Ties at
 nine decimals fall to the smaller key.
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, norm
 from ..sources.shared import materialise
-from . import vector
+from . import scan, vector
 
 SAMPLE, SUB, CODES, BLOCK, ROUNDS, SEED = 50_000, 4, 256, 4096, 12, 13
 TARGET, ASKED, MOST_SHARE = 0.9, 200, 0.5
@@ -41,7 +45,7 @@ BATCH = 2048
 
 @dataclass(frozen=True)
 class AnnIndex:
-    """``rows(key, cell, block, code, unit)``; centroids (cell, component); books (part, entry, component).
+    """``rows(key, cell, block, code, unit, embedding)``; centroids (cell, component); books (part, entry, component).
 
     recall and share: of the calibration, None before it; exact: the search compares all pairs.
     """
@@ -60,7 +64,7 @@ def _units(rows: DataFrame, name: str, vector_column: str) -> DataFrame:
     v = F.transform(F.col(vector_column), lambda x: x.cast("double"))
     fine = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     kept = rows.select(F.col(name), v.alias("v")).where(fine).withColumn("_n", norm(F.col("v"))).where((F.col("_n") > 0) & (F.col("_n") < float("inf")))
-    return kept.select(name, F.transform("v", lambda x: (x / F.col("_n")).cast("float")).alias("unit"))
+    return kept.select(name, F.transform("v", lambda x: (x / F.col("_n")).cast("float")).alias("unit"), F.col("v").alias("embedding"))
 
 
 def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -119,7 +123,7 @@ def _coded(c: np.ndarray, books: np.ndarray):
                 x = _vectors(part.column(1))
                 cell = _nearest(x, c)[0]
                 code = np.stack([_nearest(p, b)[0] for p, b in zip(_rest(x, c, cell), books)], axis=1).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cell), pa.array([r.tobytes() for r in code], pa.binary()), part.column(1)], ["key", "cell", "code", "unit"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cell), pa.array([r.tobytes() for r in code], pa.binary()), part.column(1), part.column(2)], ["key", "cell", "code", "unit", "embedding"])
 
     return run
 
@@ -138,11 +142,11 @@ def build(vectors: DataFrame, cells: int | None = None) -> AnnIndex | None:
     c = np.frombuffer(made["centroids"], "<f4").reshape(-1, widths["w"])
     books = np.frombuffer(made["books"], "<f4").reshape(-1, CODES, SUB)
     kind = units.schema["key"].dataType.simpleString()
-    rows = units.mapInArrow(_coded(c, books), f"key {kind}, cell long, code binary, unit array<float>")
+    rows = units.mapInArrow(_coded(c, books), f"key {kind}, cell long, code binary, unit array<float>, embedding array<double>")
     sizes = rows.groupBy("cell").count()
     # at most one row a cell
     dealt = rows.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("key", "code"), F.ceil(F.col("count") / BLOCK)))
-    return AnnIndex(materialise(dealt.select("key", "cell", "block", "code", "unit")), c, books)
+    return AnnIndex(materialise(dealt.select("key", "cell", "block", "code", "unit", "embedding")), c, books)
 
 
 def save(index: AnnIndex, path: str) -> None:
@@ -232,13 +236,87 @@ def search(index: AnnIndex, queries: DataFrame, k: int = 5, probes: int | None =
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("near"), "key")
     some = near.where(F.col("near") > float("-inf")).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= keep).select("query_id", "key").distinct()
-    full = some.join(index.rows.select("key", "unit"), "key").join(_units(queries, "query_id", "embedding").withColumnRenamed("unit", "q"), "query_id")
+    full = some.join(index.rows.select("key", "unit"), "key").join(_units(queries, "query_id", "embedding").select("query_id", F.col("unit").alias("q")), "query_id")
     score = dot(F.col("unit"), F.col("q")) / (norm(F.col("unit")) * norm(F.col("q")))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "key")
     ranked = full.select("query_id", "key", score.alias("score")).withColumn("rank", F.row_number().over(order).cast("long"))
     return ranked.where(F.col("rank") <= k)
 
 
+def _radii(c: np.ndarray):
+    """Rows (cell, unit) -> each batch's largest distance from a centroid, by cell."""
+
+    def run(batches):
+        for batch in batches:
+            cell = batch.column(0).to_numpy()
+            gap = np.sqrt(((_vectors(batch.column(1)).astype(np.float64) - c[cell]) ** 2).sum(axis=1))
+            most = np.full(len(c), -1.0)
+            np.maximum.at(most, cell, gap)
+            held = np.flatnonzero(most >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int64)), pa.array(most[held])], ["cell", "radius"])
+
+    return run
+
+
+def _reached(c: np.ndarray, radius: np.ndarray):
+    """Queries (query_id, q, embedding, bound) -> a row for each cell that may hold a row at the bound or above; a null bound reaches all."""
+
+    def run(batches):
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                x = _vectors(part.column(1)).astype(np.float64)
+                bound = part.column(3).fill_null(-1.0).to_numpy()
+                away = np.sqrt(np.maximum(0, (x**2).sum(axis=1)[:, None] + (c.astype(np.float64) ** 2).sum(axis=1) - 2 * x @ c.T.astype(np.float64)))
+                row, cell = np.nonzero(away - radius <= (np.sqrt(np.maximum(0, 2 - 2 * bound)) + 1e-3)[:, None])
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(2).take(at), part.column(3).take(at), pa.array(cell.astype(np.int64))], ["query_id", "embedding", "bound", "cell"])
+
+    return run
+
+
+def _compared(k: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """One block and the queries that reach its cell -> rows that may be among their k best, with cosines."""
+        left, right = left.combine_chunks(), right.combine_chunks()
+        out = [pa.table({"query_id": left.column("query_id").slice(0, 0), "key": right.column("key").slice(0, 0), "score": pa.array([], pa.float64())})]
+        if left.num_rows and right.num_rows:
+            one = lambda t, name: pa.concat_arrays(t.column(name).chunks)
+            ids, q, keys = one(left, "query_id"), scan.matrix(one(left, "embedding")), one(right, "key")
+            best = scan.Best(len(q), k, one(left, "bound").fill_null(-np.inf).to_numpy(zero_copy_only=False))
+            length = np.sqrt(scan.ordered_dot(q, q))
+            x, size = scan.matrix(one(right, "embedding")), scan.step(len(q))
+            for i in range(0, len(x), size):
+                row, query, score = scan.scored(best, x[i : i + size], q, length, keys.slice(i, size))
+                out.append(pa.table({"query_id": ids.take(pa.array(query)), "key": keys.slice(i, size).take(pa.array(row)), "score": pa.array(score)}))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def search_exact(index: AnnIndex, queries: DataFrame, k: int = 5, vectors: DataFrame | None = None) -> DataFrame:
+    """``(query_id, key, score, rank)``: the k nearest rows of each query, exactly; query ids are unique."""
+    if index.exact:
+        return search(index, queries, k, vectors=vectors)
+    bound = search(index, queries, k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
+    # at most one row a cell
+    found = dict(index.rows.select("cell", "unit").mapInArrow(_radii(index.centroids), "cell long, radius double").groupBy("cell").agg(F.max("radius")).collect())
+    radius = np.array([found.get(i, -np.inf) for i in range(len(index.centroids))])
+    asked = _units(queries, "query_id", "embedding").where(F.size("unit") == index.centroids.shape[1]).join(bound, "query_id", "left")
+    kind, key = (df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (index.rows, "key")))
+    # the approximate scores are of single precision
+    near = asked.select("query_id", "unit", "embedding", (F.col("bound") - 1e-5).alias("bound"))
+    near = near.mapInArrow(_reached(index.centroids, radius), f"query_id {kind}, embedding array<double>, bound double, cell long")
+    blocks = index.rows.groupBy("cell").agg(F.max("block").alias("last"))
+    batches = -(-queries.count() // BATCH) or 1
+    upto = lambda last: F.explode(F.sequence(F.lit(0).cast("long"), last))
+    near = near.join(F.broadcast(blocks), "cell").withColumn("block", upto(F.col("last"))).withColumn("batch", F.pmod(F.xxhash64("query_id"), F.lit(batches)))
+    on = ("cell", "block", "batch")
+    rows = index.rows.withColumn("batch", upto(F.lit(batches - 1).cast("long"))).select(*on, "key", "embedding")
+    pairs = near.select(*on, "query_id", "embedding", "bound").groupBy(*on).cogroup(rows.groupBy(*on)).applyInArrow(_compared(k), f"query_id {kind}, key {key}, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "key")
+    return pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
 def exact_without_self(stored: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The exact search where a stored vector that asks is not its own answer."""
     return vector.search(stored, queries, k + 1).where(F.col("query_id") != F.col("key")).withColumn(

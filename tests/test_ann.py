@@ -71,3 +71,17 @@ def test_small_and_empty_tables(spark):
     q = spark.createDataFrame([(7, [1.0, 1.0]), (8, None), (9, [0.0, 0.0]), (10, [1.0, 2.0, 3.0])], "query_id long, embedding array<double>")
     assert {r["key"] for r in ann.search(one, q, probes=1).collect()} == {0}
     assert {r["query_id"] for r in ann.search(one, q, probes=1).collect()} == {7}
+
+
+def test_exact_answers_from_an_approximate_index(spark, clustered):
+    df, index = clustered
+    sound = df.where("key < 9001")
+    q = sound.where("key % 40 = 3").selectExpr("key as query_id", "embedding")
+    shown = lambda got: sorted((r["query_id"], r["rank"], r["key"], repr(r["score"])) for r in got.collect())
+    want = shown(vector.search(sound, q, 5))
+    # few probes and candidates: the approximate answer misses rows
+    import dataclasses
+
+    poor = dataclasses.replace(index, probes=1, refine=1)
+    assert {x[:3] for x in shown(ann.search(poor, q, 5))} != {x[:3] for x in want}
+    assert shown(ann.search_exact(poor, q, 5)) == want
