@@ -65,3 +65,20 @@ def test_embedder_forgets_words(monkeypatch):
     want = HashEmbedder(8).embed(texts)
     monkeypatch.setattr(HashEmbedder, "REMEMBERED", 1)
     assert HashEmbedder(8).embed(texts) == want and want[1] == want[3] == []
+
+
+def test_single_searches_build_no_index(spark, sf, tmp_path, monkeypatch):
+    """Queries that search ``documents`` once scan it; a stored index, if there is one, is read."""
+    from tessera.operators import blocks
+    from tessera.plans import catalog
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    want = {n: sorted(map(tuple, catalog.queries()[n](spark, sf).collect())) for n in ("bm25_topk", "missing_topics")}
+    catalog.stored_index(spark, sf)
+    for name, rows_ in want.items():
+        assert sorted(map(tuple, catalog.queries()[name](spark, sf).collect())) == rows_ and rows_
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "other"))
+    monkeypatch.setattr(blocks, "build", None)
+    monkeypatch.setattr(lexical, "build_index", None)
+    for name in ("bm25_topk", "rrf_fusion", "missing_topics"):
+        assert catalog.queries()[name](spark, sf).count()
