@@ -13,7 +13,7 @@ smaller id.
 3. What is left are the borders of shared passages: grams that several documents hold in different
    surroundings. Their 80 bytes are fetched once for each distinct surroundings and cut to what
    they share with any other surroundings of the gram to its left and to its right; under 50 bytes
-   hold no shared string. The others are concatenated per shard and sorted by induced sorting (``induced.py``); runs of 50-byte starts whose common
+   hold no shared string. Of equal ones all but the smallest document's are covered and a gram with one form left is done. The others are concatenated per shard and sorted by induced sorting (``induced.py``); runs of 50-byte starts whose common
    prefixes are 50 or more share a string, and those not of the run's smallest document are covered.
    A gram in more than ``HEAVY`` different surroundings is sorted in smaller groups: of the 30 other bytes of
    a string around it 15 or more stand on one side, so it goes by its 15 bytes to the left and, once more, to the right.
@@ -31,6 +31,7 @@ whole. Only ``doc_id`` and ``text`` are read. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -376,8 +377,8 @@ def _agreement(key: np.ndarray, ends: list[bytes]) -> np.ndarray:
     return np.minimum(out, sizes)
 
 
-def _trimmed(rows: list[tuple], width: int, gram: int) -> list[tuple[int, int, bytes]]:
-    """Whole keys' rows (key, doc, lo, piece, at) -> (doc, lo, piece) of those that may hold a shared string, cut to what is shared."""
+def _trimmed(rows: list[tuple], width: int, gram: int) -> list[tuple[int, int, int, bytes]]:
+    """Whole keys' rows (key, doc, lo, piece, at) -> (key, doc, lo, piece) of those that may hold a shared string, cut to what is shared."""
     if len(rows) < 2:
         return []
     side = width - gram
@@ -386,37 +387,59 @@ def _trimmed(rows: list[tuple], width: int, gram: int) -> list[tuple[int, int, b
     right = _agreement(key, [piece[at + gram : at + gram + side] for _, _, _, piece, at in rows])
     out = []
     for i in np.flatnonzero(left + right >= side).tolist():
-        _, doc, lo, piece, at = rows[i]
+        key_, doc, lo, piece, at = rows[i]
         first = at - int(left[i])
-        out.append((doc, lo + first, piece[first : at + gram + int(right[i])]))
+        out.append((key_, doc, lo + first, piece[first : at + gram + int(right[i])]))
     return out
 
 
+def _settled(rows: list[tuple[int, int, int, bytes]]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, bytes]]]:
+    """Trimmed rows of whole keys -> spans (doc, lo, hi) that go, and the rows (doc, lo, piece) left to sort.
+
+    Of equal pieces of a key only the smallest document's can hold more than what goes; it is sorted with the key's other pieces, if any:
+    what pieces of different keys share has its minimiser in a key of its own.
+    """
+    least: dict[tuple[int, bytes], int] = {}
+    for key, doc, _, piece in rows:
+        least[key, piece] = min(doc, least.get((key, piece), doc))
+    forms = Counter(key for key, _ in least)
+    gone = [(doc, lo, lo + len(piece)) for key, doc, lo, piece in rows if doc != least[key, piece]]
+    return gone, [(doc, lo, piece) for key, doc, lo, piece in rows if forms[key] > 1 and doc == least[key, piece]]
+
+
 def _sort_shard(width: int, gram: int, most_bytes: int = 1 << 20):
     """Rows sorted by key -> spans. A shard is sorted in runs of whole keys of about ``most_bytes``."""
 
-    def out(rows):
-        doc, lo, pieces = zip(*rows)
-        d, a, z = shared_spans(list(pieces), np.array(doc, dtype=np.int64), np.array(lo, dtype=np.int64), width)
+    def out(spans):
+        d, a, z = (np.asarray(v, dtype=np.int64) for v in spans)
         return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], ["doc_id", "lo", "hi"])
 
+    def sort(rows):
+        doc, lo, pieces = zip(*rows)
+        return out(shared_spans(list(pieces), np.array(doc, dtype=np.int64), np.array(lo, dtype=np.int64), width))
+
     def run(batches):
         ready, size, held, raw = [], 0, [], 0
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if raw >= most_bytes and row[0] != held[-1][0]:
-                    some = _trimmed(held, width, gram)
+                    gone, some = _settled(_trimmed(held, width, gram))
+                    if gone:
+                        yield out(merge_spans(*np.array(gone, dtype=np.int64).T))
                     ready += some
                     size += sum(len(r[2]) for r in some)
                     held, raw = [], 0
                     if size >= most_bytes:
-                        yield out(ready)
+                        yield sort(ready)
                         ready, size = [], 0
                 held.append(row)
                 raw += len(row[3])
-        ready += _trimmed(held, width, gram)
+        gone, some = _settled(_trimmed(held, width, gram))
+        if gone:
+            yield out(merge_spans(*np.array(gone, dtype=np.int64).T))
+        ready += some
         if ready:
-            yield out(ready)
+            yield sort(ready)
 
     return run
 
