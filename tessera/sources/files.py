@@ -91,6 +91,16 @@ def from_upload(spark: SparkSession, data: bytes, filename: str | None = None, t
     return from_records(spark, [{"title": title or filename or "Untitled", "content": content}])
 
 
+def save_texts(rows: DataFrame, path: str) -> int:
+    """Writes rows (name, content) as ``<path>/<folder>/<name>-<part>-<number>.txt`` by tasks, one file a row; returns their number.
+
+    A repeated name gives a file for each of its rows, in folders of at most ``recursive.FOLDER_FILES`` files; a null name or content is no file. Files are
+    written under their last names: a task that runs again writes the same ones, so the rows' order in a partition must not change.
+    """
+    done = rows.select("name", "content").where("name is not null and content is not null").mapInArrow(recursive.writer(path), "n long")
+    return done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def save_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 

@@ -15,10 +15,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 NAME = "tessera_files"
 PART_BYTES, PART_FILES, MOST_BYTES = 64 << 20, 2000, 1 << 30
+#: Files that leave the worker together, at most, and their bytes.
+BATCH_FILES, BATCH_BYTES = 256, 4 << 20
+FOLDER_FILES = 1000
 #: Schemes that can be listed and read from Python.
 SCHEMES = ("file", "hdfs", "s3", "gs")
 SCHEMA = "path string, bytes binary, error string"
@@ -58,6 +62,11 @@ class FilesReader(DataSourceReader):
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         system, _, before = open_path(self.path)
+        names, values, errors, held = [], [], [], 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.binary()), pa.array(errors, pa.string())], ["path", "bytes", "error"])
+
         for name, size in partition.names:
             value, error = None, None
             if size > self.most_bytes:
@@ -70,7 +79,37 @@ class FilesReader(DataSourceReader):
                     error = type(e).__name__
                 except OSError:
                     error = "OSError"
-            yield pa.RecordBatch.from_arrays([pa.array([before + name]), pa.array([value], pa.binary()), pa.array([error], pa.string())], ["path", "bytes", "error"])
+            if names and held + len(value or b"") > BATCH_BYTES:
+                yield batch()
+                names, values, errors, held = [], [], [], 0
+            names.append(before + name)
+            values.append(value)
+            errors.append(error)
+            held += len(value or b"")
+            if len(names) >= BATCH_FILES:
+                yield batch()
+                names, values, errors, held = [], [], [], 0
+        if names:
+            yield batch()
+
+
+def writer(path: str):
+    """Rows (name, content) -> files of their own, in folders by task and number; the number of files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inner, _ = open_path(path)
+        part, done = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for name, content in zip(*batch.columns):
+                folder = f"{inner}/{part}/{done // FOLDER_FILES}"
+                if done % FOLDER_FILES == 0:
+                    system.create_dir(folder, recursive=True)
+                with system.open_output_stream(f"{folder}/{name.as_py()}-{part}-{done}.txt") as f:
+                    f.write(content.as_buffer())
+                done += 1
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["n"])
+
+    return run
 
 
 class FilesSource(DataSource):
