@@ -27,6 +27,8 @@ from .pipelines import against_all
 
 #: Bytes of vocabulary rows that are broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Rows (text, word) that a task groups by text.
+TASK_ROWS = 2_000_000
 
 
 def _small(df: DataFrame, column: str, limit: int) -> DataFrame:
@@ -71,14 +73,17 @@ def prefix_candidates(texts: DataFrame, asked: DataFrame, t: float, broadcast_by
     """Pairs ``(asked_id, id)`` that share a prefix word, and the sets ``(id, size, held)`` of both sides."""
     if not 0 < t <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
-    mine = word_rows(asked)
+    mine = as_parquet(word_rows(asked))
     vocabulary = mine.select("word").distinct()
     postings = as_parquet(word_rows(texts).join(_small(vocabulary, "word", broadcast_bytes), "word"))
     df = vocabulary.join(postings.groupBy("word").agg(F.count("*").alias("df")), "word", "left").select("word", F.coalesce("df", F.lit(0)).alias("df"))
     order = _small(df, "word", broadcast_bytes)
 
     def sets(rows: DataFrame) -> DataFrame:
-        return rows.join(order, "word").groupBy("id").agg(F.first("size").alias("size"), F.collect_list(F.struct("df", "word")).alias("held"))
+        # a task's share stays the same however many rows there are
+        n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // TASK_ROWS + 1)
+        dealt = rows.repartition(n, "id").join(order, "word")
+        return as_parquet(dealt.groupBy("id").agg(F.first("size").alias("size"), F.collect_list(F.struct("df", "word")).alias("held")))
 
     left, right = sets(mine), sets(postings)
     met = _prefixes(left, t).select(F.col("id").alias("asked_id"), "word").join(_prefixes(right, t), "word")
@@ -88,11 +93,14 @@ def prefix_candidates(texts: DataFrame, asked: DataFrame, t: float, broadcast_by
 def similar(texts: DataFrame, asked: DataFrame, t: float, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(asked_id, id, score)`` of all pairs of classes with Jaccard similarity ``t`` or more."""
     pairs, left, right = prefix_candidates(texts, asked, t, broadcast_bytes)
-    left = left.select(F.col("id").alias("asked_id"), F.col("size").alias("asked_size"), F.col("held.word").alias("asked_held"))
-    right = right.select("id", "size", F.col("held.word").alias("held"))
+    sizes = [left.select(F.col("id").alias("asked_id"), F.col("size").alias("asked_size")), right.select("id", "size")]
     fits = F.least("size", "asked_size") >= F.greatest("size", "asked_size") * t - 1e-9
+    pairs = as_parquet(pairs.join(sizes[0], "asked_id").join(sizes[1], "id").where(fits))
+    # only the sets of pairs that fit travel
+    left = left.select(F.col("id").alias("asked_id"), F.col("held.word").alias("asked_held")).join(pairs.select("asked_id").distinct(), "asked_id", "left_semi")
+    right = right.select("id", F.col("held.word").alias("held")).join(pairs.select("id").distinct(), "id", "left_semi")
     both = F.size(F.array_intersect("held", "asked_held"))
-    found = pairs.join(left, "asked_id").join(right, "id").where(fits)
+    found = pairs.join(left, "asked_id").join(right, "id")
     return found.select("asked_id", "id", _jaccard(both, F.col("size"), F.col("asked_size")).alias("score")).where(F.col("score") >= t)
 
 

@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+from tessera.operators import set_join
 from tessera.sources import files, recursive
 
 
@@ -27,3 +28,16 @@ def test_files_leave_the_reader_in_batches(tmp_path, monkeypatch):
     got = [b for p in reader.partitions() for b in reader.read(p)]
     assert [b.num_rows for b in got] == [3, 2, 2, 2]
     assert [e for b in got for e in b.column(2).to_pylist()] == ["FileTooLarge", *[None] * 8]
+
+
+def test_sets_are_dealt_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(set_join, "TASK_ROWS", 50)
+    texts = [(i, " ".join(f"w{(i * 7 + k) % 40}" for k in range(20))) for i in range(40)]
+    rows = set_join.classes(spark.createDataFrame(texts, "key long, content string"), "content", "key")
+    _, left, right = set_join.prefix_candidates(rows, rows, 0.5)
+    # 800 words by 50 a task: 17 shares, more than the session's 8
+    assert right.inputFiles() and len(right.inputFiles()) > 8
+    words = {r["id"]: set(r["text"].split()) for r in rows.collect()}
+    want = {(a, b) for a in words for b in words if len(words[a] & words[b]) >= 0.5 * len(words[a] | words[b])}
+    got = {(bytes(r["asked_id"]), bytes(r["id"])) for r in set_join.similar(rows, rows, 0.5).collect()}
+    assert got == {(bytes(a), bytes(b)) for a, b in want}
