@@ -8,7 +8,7 @@ import pytest
 
 pytest.importorskip("tessera.llm.queries")
 
-from tessera.llm import suffix_dedup  # noqa: E402
+from tessera.llm import chroma, suffix_dedup  # noqa: E402
 
 
 def test_equal_pieces_are_settled_without_sorting(monkeypatch):
@@ -22,3 +22,14 @@ def test_equal_pieces_are_settled_without_sorting(monkeypatch):
     got = [r for b in suffix_dedup._sort_shard(50, 20)([batch]) for r in zip(*(c.to_pylist() for c in b.columns))]
     assert sorted(got) == [(7, 100, 150), (9, 0, 50)]
     assert asked == []
+
+
+def test_fingerprints_of_many_equal_those_alone():
+    rng = np.random.default_rng(2)
+    audios = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (0, 1, 255, 256, 495, 496, 511, 512, 3001, 700, 3001)]
+    audios[-1] = audios[-3]
+    for kind in ("u8", "s16le"):
+        together = chroma.fingerprints(audios, kind)
+        assert all(np.array_equal(got, chroma.fingerprint(a, kind)) for got, a in zip(together, audios, strict=True))
+        frames = [max(0, (len(a) // (1 if kind == "u8" else 2) - chroma.FRAME) // chroma.HOP + 1) for a in audios]
+        assert [len(got) for got in together] == [max(0, n - chroma.SPAN + 1) for n in frames]
