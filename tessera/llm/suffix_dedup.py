@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, packed_texts, partitions, unpacked
+from .common import cut, packed_texts, partitions, raw_texts, unpacked
 from .induced import permuted_common_prefixes, suffix_array
 
 WIDTH, GRAM = 50, 20
@@ -459,8 +459,7 @@ def repeated_spans(docs: DataFrame, packed: DataFrame, width: int = WIDTH, gram:
 def _cut_out(batches):
     for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
         n_bytes, n_removed, n_spans, digest = [], [], [], []
-        for text, spans in zip(batch.column(1), batch.column(2).to_pylist()):
-            raw = unpacked(text.as_py())
+        for raw, spans in zip(raw_texts(batch.column(0), batch.column(1)), batch.column(2).to_pylist()):
             lo = np.array([s["lo"] for s in spans or []], dtype=np.int64)
             hi = np.minimum(np.array([s["hi"] for s in spans or []], dtype=np.int64), len(raw))
             keep = lo < hi
