@@ -13,14 +13,16 @@ comparisons and emits n - 1 edges, never all pairs. A bucket of more than ``WIDE
 not walked: its members go to a second stage whose keys also fix the third segment (budget 2), which
 leaves 16 free bits, so no bucket there can exceed 65,536 fingerprints. Nothing is dropped.
 
-The pipeline's stage asks for more than 64 bits at 3 differing can tell: documents whose sets of
-5-word shingles have Jaccard similarity 0.8 or more (``similar_groups``). At 0.8 about 15 % of the bits
-differ, so a ring over one fingerprint has no chain left that is both selective and sure. Instead a
-document has ``LANES`` independent fingerprints, and its keys are chains over permuted rings of all
-their bits, each with budget 0; their length follows from the number of documents, their number from
-the wanted recall at the threshold. Inside a key's bucket all the lanes' bits together tell pairs that
-are sure to be alike, which make a tree, doubtful ones and ones too far apart. First each doubtful
-member is a candidate with the nearest member walked, so a group of n copies makes about n
+The pipeline's stage asks for documents whose sets of 5-word shingles have Jaccard similarity 0.8 or
+more (``similar_groups``). First the pigeonring filter as above finds all fingerprints of 5-word shingles
+at 3 differing bits or fewer; the pairs that shingle sets confirm make the classes it starts from. At 0.8
+about 15 % of the bits differ, which is beyond 64 bits at 3, and a ring wide enough for it has no chain
+that is both selective and sure. So a document has ``LANES`` independent fingerprints (the ring's is the
+first), and what the ring can't reach is looked for between different classes only, by keys that are chains
+over permuted rings of all the lanes' bits, each with budget 0; their length follows from the number of
+documents, their number from the wanted recall at the threshold. Inside a key's bucket all the lanes' bits
+together tell pairs that are sure to be alike, which make a tree, doubtful ones and ones too far apart. First
+each doubtful member is a candidate with the nearest member walked, so a group of n copies makes about n
 candidates; after the components of what the shingle sets confirm, a second round takes each member
 with the nearest member of every other component in its bucket. So no group makes all its pairs.
 
@@ -302,7 +304,7 @@ def _many_fingerprints(n: int, lanes: int):
             h, counts = shingle_sets(raw, n)
             salts = np.arange(1, lanes + 1, dtype=np.uint64) * MIX[2] if len(h) else []
             fps = np.stack([majority(mixed(h + s), counts) for s in salts], axis=1) if len(salts) else np.zeros((len(raw), lanes), dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f.tobytes() for f in fps], pa.binary())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f.tobytes() for f in fps], pa.binary()), pa.array(fps[:, 0].view(np.int64))], ["doc_id", "fp", "first"])
 
     return run
 
@@ -396,21 +398,26 @@ def other_pairs(ids: np.ndarray, labels: np.ndarray, fps: np.ndarray, far: int)
 
 
 def _meet(lanes: int, sure: int, far: int, again: bool):
-    """Sorted rows (key, id, label, fp) -> candidates (a, b): of the first round, or the rest."""
+    """Sorted rows (key, id, label, fp) -> candidates (a, b) of different labels: of the first round, or the rest."""
 
     def pairs(key, ids, labels, fps):
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(first, len(key)))
         a, b = [], []
         two = first[sizes == 2]
-        near = (_apart(fps[two], fps[two + 1]) <= far) & ((labels[two] != labels[two + 1]) | (not again))
+        near = (_apart(fps[two], fps[two + 1]) <= far) & (labels[two] != labels[two + 1])
         a.append(ids[two[near]])
         b.append(ids[two[near] + 1])
         for i, size in zip(first[sizes > 2], sizes[sizes > 2]):
             here = slice(i, i + size)
-            if again and (labels[here] == labels[i]).all():
+            if (labels[here] == labels[i]).all():
                 continue
-            x, y = other_pairs(ids[here], labels[here], fps[here], far) if again else near_walk(ids[here], fps[here], sure, far)
+            if again:
+                x, y = other_pairs(ids[here], labels[here], fps[here], far)
+            else:
+                x, y = near_walk(np.arange(i, i + size), fps[here], sure, far)
+                new = labels[x] != labels[y]
+                x, y = ids[x[new]], ids[y[new]]
             a.append(x)
             b.append(y)
         a, b = np.concatenate(a), np.concatenate(b)
@@ -449,18 +456,28 @@ def _similar(least: float):
     return run
 
 
+def ring_pairs(reps: DataFrame, t: int = 3) -> DataFrame:
+    """``(a, b)``, a < b: pairs of ``(rep, first)`` whose components are those of all fingerprints ``first`` at distance <= t."""
+    held = cut(reps.groupBy("first").agg(F.min("rep").alias("least")))
+    edges = hamming_edges(held.select(F.col("first").alias("fp")), t)
+    ends = [held.select(F.col("first").alias(c), F.col("least").alias(f"of_{c}")) for c in ("a", "b")]
+    across = edges.distinct().join(ends[0], "a").join(ends[1], "b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"))
+    same = reps.join(held, "first").where("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    return across.unionByName(same).distinct()
+
+
 def similar_groups(docs: DataFrame, n: int = SHINGLE, least: float = SIMILAR, recall: float = RECALL, lanes: int = LANES) -> DataFrame:
     """``(doc_id, component_id)``, one row per document: components of pairs whose n-word shingle sets are ``least`` alike."""
     parts = partitions(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    prints = cut(texts.mapInArrow(_many_fingerprints(n, lanes), "doc_id long, fp binary"))
-    reps = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    prints = cut(texts.mapInArrow(_many_fingerprints(n, lanes), "doc_id long, fp binary, first long"))
+    reps = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("first").alias("first")))
     bits, tables = plan_keys(reps.count(), least, recall)
     sure, far = reach(least, lanes)
 
     def candidates(labelled: DataFrame, again: bool) -> DataFrame:
         rows = labelled.mapInArrow(_ring_keys(bits, tables, lanes), "key long, id long, label long, fp binary")
-        ordered = rows.repartition(parts, "key").sortWithinPartitions("key")
+        ordered = rows.repartition(parts, "key").sortWithinPartitions("key", "id")
         return cut(ordered.mapInArrow(_meet(lanes, sure, far, again), "a long, b long").where("a < b").distinct())
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -470,12 +487,15 @@ def similar_groups(docs: DataFrame, n: int = SHINGLE, least: float = SIMILAR, re
         left, right = (sets.select(F.col("id").alias(c), F.col("held").alias(f"held_{c}")) for c in ("a", "b"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "held_a", "held_b").mapInArrow(_similar(least), "a long, b long")
 
-    first = cut(confirmed(candidates(reps.select("rep", F.col("rep").alias("label"), "fp"), False)))
-    groups = components(first)
-    labelled = reps.join(groups, reps.rep == groups.node, "left").select("rep", F.coalesce("component", "rep").alias("label"), "fp")
-    rest = candidates(labelled, True)
+    def labels(groups: DataFrame) -> DataFrame:
+        return reps.join(groups, reps.rep == groups.node, "left").select("rep", F.coalesce("component", "rep").alias("label"), "fp")
+
+    links = cut(confirmed(cut(ring_pairs(reps.select("rep", "first")))))
+    links = cut(links.unionByName(confirmed(candidates(labels(components(links)), False))))
+    groups = components(links)
+    rest = candidates(labels(groups), True)
     if rest.limit(1).count():
-        groups = components(first.unionByName(confirmed(rest)))
+        groups = components(links.unionByName(confirmed(rest)))
     by_fp = reps.join(groups, reps.rep == groups.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     known = prints.where("doc_id is not null").join(by_fp, "fp").select("doc_id", "component_id")
     return known.unionByName(prints.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("component_id")))
