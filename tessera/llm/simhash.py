@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, partitions
+from .common import components, partitions, stored
 from .words import MIX, Words, grams, mixed, text_groups
 
 BITS, SEGMENTS, SEED = 64, 4, 42
@@ -253,7 +253,7 @@ def hamming_edges(fps: DataFrame, t: int = 3, wide: int = WIDE) -> DataFrame:
         raise ValueError("the ring keys are laid out for at most 3 differing bits")
     n = partitions(fps.sparkSession)
     rows = fps.select("fp", F.lit(-1).cast("int").alias("only")).mapInArrow(_keys(t, 2), "key long, start byte, fp long")
-    found = cut(
+    found = stored(
         rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_walks(t, wide), "a long, b long, start int")
     )
     hot = found.where("start >= 0").select(F.col("a").alias("fp"), F.col("start").alias("only")).distinct()
@@ -264,8 +264,8 @@ def hamming_edges(fps: DataFrame, t: int = 3, wide: int = WIDE) -> DataFrame:
 
 def simhash_groups(docs: DataFrame, t: int = 3, n: int = 3) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row per document."""
-    prints = cut(fingerprints(docs, n))
-    reps = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    prints = stored(fingerprints(docs, n))
+    reps = stored(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     edges = hamming_edges(reps.select("fp"), t)
     ids = (
         edges.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a")
@@ -458,7 +458,7 @@ def _similar(least: float):
 
 def ring_pairs(reps: DataFrame, t: int = 3) -> DataFrame:
     """``(a, b)``, a < b: pairs of ``(rep, first)`` whose components are those of all fingerprints ``first`` at distance <= t."""
-    held = cut(reps.groupBy("first").agg(F.min("rep").alias("least")))
+    held = stored(reps.groupBy("first").agg(F.min("rep").alias("least")))
     edges = hamming_edges(held.select(F.col("first").alias("fp")), t)
     ends = [held.select(F.col("first").alias(c), F.col("least").alias(f"of_{c}")) for c in ("a", "b")]
     across = edges.distinct().join(ends[0], "a").join(ends[1], "b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"))
@@ -470,15 +470,15 @@ def similar_groups(docs: DataFrame, n: int = SHINGLE, least: float = SIMILAR, re
     """``(doc_id, component_id)``, one row per document: components of pairs whose n-word shingle sets are ``least`` alike."""
     parts = partitions(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    prints = cut(texts.mapInArrow(_many_fingerprints(n, lanes), "doc_id long, fp binary, first long"))
-    reps = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("first").alias("first")))
+    prints = stored(texts.mapInArrow(_many_fingerprints(n, lanes), "doc_id long, fp binary, first long"))
+    reps = stored(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("first").alias("first")))
     bits, tables = plan_keys(reps.count(), least, recall)
     sure, far = reach(least, lanes)
 
     def candidates(labelled: DataFrame, again: bool) -> DataFrame:
         rows = labelled.mapInArrow(_ring_keys(bits, tables, lanes), "key long, id long, label long, fp binary")
         ordered = rows.repartition(parts, "key").sortWithinPartitions("key", "id")
-        return cut(ordered.mapInArrow(_meet(lanes, sure, far, again), "a long, b long").where("a < b").distinct())
+        return stored(ordered.mapInArrow(_meet(lanes, sure, far, again), "a long, b long").where("a < b").distinct())
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -490,8 +490,8 @@ def similar_groups(docs: DataFrame, n: int = SHINGLE, least: float = SIMILAR, re
     def labels(groups: DataFrame) -> DataFrame:
         return reps.join(groups, reps.rep == groups.node, "left").select("rep", F.coalesce("component", "rep").alias("label"), "fp")
 
-    links = cut(confirmed(cut(ring_pairs(reps.select("rep", "first")))))
-    links = cut(links.unionByName(confirmed(candidates(labels(components(links)), False))))
+    links = stored(confirmed(stored(ring_pairs(reps.select("rep", "first")))))
+    links = stored(links.unionByName(confirmed(candidates(labels(components(links)), False))))
     groups = components(links)
     rest = candidates(labels(groups), True)
     if rest.limit(1).count():
