@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import chaining
+from tessera.llm import chaining, chroma, simhash
 from tessera.llm.common import components, stored
 
 
@@ -67,6 +67,25 @@ def test_components_leave_one_table(spark):
     assert again.select("component").distinct().count() == 1
 
 
+def test_steps_of_near_dedup_leave_no_shuffles(spark):
+    reps = spark.range(300).select(F.col("id").alias("rep"), (F.xxhash64(F.col("id") % 250)).alias("first"))
+    before = _shuffle_files(spark)
+    pairs = simhash.ring_pairs(reps)
+    assert _shuffle_files(spark) <= before
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == {(k, k + 250) for k in range(50)}
+
+
+def test_pairs_of_recordings_leave_no_shuffles(spark):
+    rng = np.random.default_rng(3)
+    audio = [rng.integers(0, 256, 4000, dtype=np.uint8).tobytes() for _ in range(3)]
+    rows = [(k, chroma.pack(chroma.fingerprint(a, "u8"))) for k, a in enumerate([*audio, audio[0][:3600]])]
+    marks = spark.createDataFrame(rows, "id long, items binary").mapInArrow(chroma._anchors, chroma._ROW_TYPE)
+    before = _shuffle_files(spark)
+    pairs = chroma.likely_pairs(marks)
+    assert _shuffle_files(spark) <= before
+    assert {r["a"] for r in pairs.collect()} | {r["b"] for r in pairs.collect()} >= {0, 3}
+
+
 def _listed(spark, folder):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
