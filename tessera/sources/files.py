@@ -3,18 +3,23 @@
 Files are read whole, by tasks, through the data source in ``recursive``: every file below a folder comes once, also
 one whose name or folder begins with ``_`` or ``.``. Paths of file systems that only Spark can open go through Spark's
 reader; as it passes over such names, a folder that holds any is refused there (``ValueError``).
-A file that is not UTF-8 or cannot be read gives no document but a row of ``load_errors`` with the cause.
+A supported file that cannot be read (too large, gone, no permission, broken) ends a load with its path and cause, so a
+failed read never looks like a smaller folder; one that is not UTF-8 gives no document but a row of ``load_errors``. With
+``failed="raise"`` that ends the load as well, with ``failed="skip"`` neither does and ``load_errors`` tells both.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
 from . import recursive, snapshots
 
+#: Which files without a document end a load: all, those that cannot be read, none.
+FAILED = ("raise", "unread", "skip")
+
 
 def _raw(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, error) of a file or of all files below a folder."""
@@ -32,25 +37,35 @@ def _raw(spark: SparkSession, path: str) -> DataFrame:
         below = found.next().getPath().toString()[len(top) :].split("/")
         if any(part[:1] in ("_", ".") and "=" not in part for part in below):
             raise ValueError("names that begin with '_' or '.' cannot be read from this file system")
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    whole = {"recursiveFileLookup": True, "ignoreMissingFiles": False, "ignoreCorruptFiles": False}
+    rows = spark.read.format("binaryFile").options(**whole).load(path)
     return rows.select("path", F.col("content").alias("bytes"), F.lit(None).cast("string").alias("error"))
 
 
-def _texts(spark: SparkSession, path: str) -> DataFrame:
-    rows = _raw(spark, path).withColumn("content", F.col("bytes").cast("string"))
-    return rows.where(F.is_valid_utf8("content")).select("path", "content")
+def _error() -> Column:
+    return F.coalesce("error", F.when(~F.is_valid_utf8(F.col("bytes").cast("string")), "UnicodeDecodeError"))
+
+
+def _texts(spark: SparkSession, path: str, wanted: Column, failed: str) -> DataFrame:
+    """(path, content) of the wanted files; ``failed``: which of them without a text end the query."""
+    if failed not in FAILED:
+        raise ValueError(f"failed must be one of {', '.join(FAILED)}")
+    ends = {"raise": _error().isNotNull(), "unread": F.col("error").isNotNull(), "skip": F.lit(False)}[failed]
+    told = F.raise_error(F.concat(F.lit("no document of "), "path", F.lit(": "), _error())).cast("boolean")
+    # one condition, and a filter: it is neither pruned with the columns nor asked of files that are not wanted
+    rows = _raw(spark, path).where(F.when(wanted & ends, told).otherwise(wanted & _error().isNull()))
+    return rows.select("path", F.col("bytes").cast("string").alias("content"))
 
 
 def load_errors(spark: SparkSession, path: str) -> DataFrame:
     """(path, error) of the supported files that give no document."""
     rows = _raw(spark, path).where(T.suffix(F.col("path")).isin(*K.SUFFIXES))
-    error = F.coalesce("error", F.when(~F.is_valid_utf8(F.col("bytes").cast("string")), "UnicodeDecodeError"))
-    return rows.select("path", error.alias("error")).where("error is not null")
+    return rows.select("path", _error().alias("error")).where("error is not null")
 
 
-def load_documents(spark: SparkSession, path: str, version: str = "latest", component: str = "generic", domain: bool = False) -> DataFrame:
+def load_documents(spark: SparkSession, path: str, version: str = "latest", component: str = "generic", domain: bool = False, failed: str = "unread") -> DataFrame:
     """(title, content, metadata) of a file or of a folder's supported files, read recursively."""
-    rows = _texts(spark, path).where(T.suffix(F.col("path")).isin(*K.SUFFIXES))
+    rows = _texts(spark, path, T.suffix(F.col("path")).isin(*K.SUFFIXES), failed)
     tags = T.tags(F.col("content")) if domain else F.array().cast("array<string>")
     category = T.category(F.col("path"), K.DOMAIN_CATEGORIES if domain else K.CATEGORIES)
     entries = {"version": F.lit(version), "category": category, "doc_type": T.doc_type(F.col("content"), F.col("path")), "component": F.lit(component), "tags": F.array_join(tags, ","), "source_file": F.col("path"), "file_type": T.suffix(F.col("path"))}
@@ -58,13 +73,13 @@ def load_documents(spark: SparkSession, path: str, version: str = "latest", comp
     return rows.select(T.title(F.col("content"), F.col("path")).alias("title"), "content", metadata.alias("metadata"))
 
 
-def load_domain_documents(spark: SparkSession, path: str, version: str = "latest") -> DataFrame:
-    return load_documents(spark, path, version, "kubernetes", True)
+def load_domain_documents(spark: SparkSession, path: str, version: str = "latest", failed: str = "unread") -> DataFrame:
+    return load_documents(spark, path, version, "kubernetes", True, failed)
 
 
-def load_markdown(spark: SparkSession, path: str, source: str) -> DataFrame:
+def load_markdown(spark: SparkSession, path: str, source: str, failed: str = "unread") -> DataFrame:
     """Markdown only, without index files and texts under 50 characters; title ``Source: Stem``."""
-    rows = _texts(spark, path).where((T.suffix(F.col("path")) == ".md") & ~F.endswith(T.file_name(F.col("path")), F.lit("_index.md")))
+    rows = _texts(spark, path, (T.suffix(F.col("path")) == ".md") & ~F.endswith(T.file_name(F.col("path")), F.lit("_index.md")), failed)
     rows = rows.where(F.length(F.trim(F.regexp_replace("content", r"^\s+|\s+$", ""))) >= 50)
     base = path.rstrip("/").split("/")[-1]
     relative = F.when(F.lit(base.endswith(".md")), T.file_name(F.col("path"))).otherwise(F.regexp_extract("path", rf"/{base}/(.*)$", 1))
